@@ -39,9 +39,8 @@ def test_empty_table_and_extra_columns(spark):
 
 
 def test_heavy_minimisers_split_and_lose_nothing(spark):
-    rng = random.Random(3)
     passage = [f"p{i}" for i in range(45)]
-    data = [(i, " ".join([*rng.choices("abcdefgh", k=20), *passage, *rng.choices("abcdefgh", k=20)])) for i in range(60)]
+    data = [(i, " ".join([*(f"a{i}.{j}" for j in range(20)), *passage, *(f"b{i}.{j}" for j in range(20))])) for i in range(60)]
     docs = keyed(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
     for heavy in (5, 10**9):
         spans = repeated_spans(docs, Units("words", 35, 8), op.resolve_words, heavy=heavy)

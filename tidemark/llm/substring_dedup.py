@@ -19,9 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.llm.arrowtext import gram_hashes, merged, mix64, split_words
-from tidemark.llm.superkmer import Units, keyed, repeated_spans, spans_of_windows
+from tidemark.llm.superkmer import Units, keyed, repeated_spans, rows_key, spans_of_windows
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
@@ -121,16 +122,15 @@ def _strip(batches):
                     at = int(starts[b]) if b < len(starts) else int(ends[b - 1])
                 raw = b"".join([*pieces, raw[at:]])
             out.append(raw.decode())
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("_k", "_id", "_t", "spans")]
-        names = [c for c in batch.schema.names if c not in ("_k", "_id", "_t", "spans")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())], names=[*names, "_stripped"])
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, pa.string())], names=["_row", "_text"])
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """docs with the words of repeated windows taken out of their texts, other text left as it is. All rows and columns stay."""
     rows = keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, Units("words", window, gram), resolve_words)
-    own = docs.withColumns({"_k": F.xxhash64(F.col(id_col), F.col(text_col)), "_id": F.col(id_col).cast("long"), "_t": F.coalesce(F.col(text_col), F.lit(""))})
-    schema = docs.schema.add("_stripped", "string")
-    done = own.join(spans, "_k", "left").select(*docs.columns, "_k", "_id", "_t", "spans").mapInArrow(_strip, schema)
-    return done.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("_stripped"))).drop("_stripped")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *rows_key(docs, id_col, text_col))
+    joined = own.join(spans, "_k", "left").select("_row", "_id", "_t", "spans")
+    done = joined.mapInArrow(_strip, StructType([joined.schema["_row"], StructField("_text", StringType())]))
+    text = F.when(F.col(f"_row.`{text_col}`").isNotNull(), F.col("_text"))
+    return done.select(*(text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

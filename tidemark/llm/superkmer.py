@@ -26,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import BYTE_CODES, SPACES, chunks, gram_hashes, merged, mix64, rolling, sliding_min, split_words, text_buffer
@@ -228,9 +228,13 @@ def spans_of_windows(flags: np.ndarray, owner: np.ndarray, at: np.ndarray, k: in
     return {o: merged(x) for o, x in out.items()}
 
 
+def rows_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """_k, _id, _t: a key that tells rows apart by id and text; equal rows share it and so their result, as it must be."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_k, _id, _t): a key that tells rows apart by id and text; equal rows share it and so their result, as it must be."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    return docs.select(*rows_key(docs, id_col, text_col))
 
 
 def repeated_spans(docs: DataFrame, units: Units, resolve: Callable, *, heavy: int = 4096, buckets_per_partition: int = 8) -> DataFrame:
