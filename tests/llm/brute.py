@@ -34,3 +34,33 @@ def suffix_dedup(rows, k):
         spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
         out.append((i, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def quality(rows, max_rate=0.5):
+    """rows: (doc_id, source, text) -> the rows of the quality query, without kept."""
+    import re
+
+    out = []
+    for i, _, t in rows:
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen = Counter(tuple(words[j : j + 3]) for j in range(len(words) - 2))
+        gone = cover(len(words), [j for j in range(len(words) - 2) if seen[tuple(words[j : j + 3])] > 1], 3)
+        out.append((i, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), sum(gone), len(words) < 50 or 100 * sum(gone) > 50 * len(words)))
+    return out
+
+
+def licenses(rows):
+    """rows: (doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels."""
+    import re
+
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    out = []
+    for i, t in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        hits = [(j, k) for k, p in phrases.items() for j in range(len(words)) if words[j : j + len(p.split())] == p.split()]
+        at = [j for j, _ in hits]
+        out.append((i, len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in hits}))))
+    return out
