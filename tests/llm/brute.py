@@ -64,3 +64,49 @@ def licenses(rows):
         at = [j for j, _ in hits]
         out.append((i, len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in hits}))))
     return out
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def near_classes(rows, similarity=0.8):
+    """rows: (doc_id, text) -> {doc_id: class}, comparing all pairs that share a shingle."""
+    import re
+
+    texts, first, sets = {}, {}, {}
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def link(i, j):
+        i, j = sorted((find(i), find(j)))
+        parent[j] = i
+
+    for i, t in sorted(rows):
+        if t is None:
+            continue
+        if t in first:
+            link(first[t], i)
+            continue
+        first[t] = i
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        texts[i] = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+        sets[i] = Counter(texts[i])
+    ids = sorted(texts)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = texts[i], texts[j]
+            n = max(len(a), len(b))
+            if min(len(a), len(b)) >= similarity * n > 0 and sum((sets[i] & sets[j]).values()) >= similarity * n and distance(a, b) <= (1 - similarity) * n + 1e-9:
+                link(i, j)
+    return {i: find(i) for i in parent}
