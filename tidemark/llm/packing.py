@@ -11,9 +11,8 @@ Packing needs lengths only, so documents are dealt into shards by hash, some
 `docs_per_shard` in each, and every shard packs its own rests. A shard leaves a
 sequence or two that are not full.
 
-Tokens of a text are those of its pieces between ASCII white space, as long as
-the tokenizer never joins across white space (the default one doesn't); pieces
-repeat, so each is encoded once a task.
+Tokens of a text are those of its pieces (see Encoder), as the default vocabulary
+never joins them; pieces repeat, so each is encoded once a task.
 
 Cases: null texts are empty and give the end id alone; repeated rows are
 separate documents; texts of any length are tokenized whole; ids may be null; an
@@ -40,7 +39,7 @@ DOCS_PER_SHARD = 8192
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1 << 20
 #: Encoded pieces that a task keeps; past that it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -51,8 +50,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Between two pieces of one call; no other piece may hold it.
+BAR = b"~"
+CLOSERS = np.zeros(256, dtype=bool)
+CLOSERS[list(b".,;:!?")] = True
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
 class Encoder:
-    """Ids of texts, through a table of the ids of their white-space pieces."""
+    """Ids of texts, through a table of the ids of their pieces.
+
+    Pieces end at ASCII white space and between an ASCII letter and one of .,;:!?,
+    where the vocabulary's splitting rule always ends a piece. Its normalizer
+    lowers case, so ASCII letters are lowered first, but for pieces with a `<`,
+    which may hold a special token. New pieces are encoded many in a call, with
+    bars between them.
+    """
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,27 +76,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.end_id = end_id
-        self.known: dict[bytes, list[int]] = {}
-
-    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = e.ids
-        return [self.known[p] for p in pieces]
+        bar = self.tokenizer.encode(BAR.decode(), add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+        self._clear()
+
+    def _clear(self):
+        self.known: dict[bytes, int] = {}
+        self.flat, self.at, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.used = 0
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray):
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while n + len(pieces) > len(self.at):
+            self.at, self.size = (np.append(x, np.zeros_like(x)) for x in (self.at, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[n : n + len(pieces)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(pieces)] = size
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The place of each piece in the table."""
+        if len(self.known) + len(pieces) > KEPT_PIECES:
+            self._clear()
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        apart = [p for p in new if self.bar is None or BAR in p or b"<" in p]
+        if apart:
+            each = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in apart], add_special_tokens=False)]
+            self._add(apart, np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64))
+            new = [p for p in new if p not in known]
+        for lo in range(0, len(new), 8192):
+            part = new[lo : lo + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + BAR + b" ").join(part).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            bars = np.flatnonzero(ids == self.bar)
+            if len(bars) != len(part) - 1:
+                raise ValueError("the vocabulary joins pieces across white space")
+            size = np.diff(np.concatenate([[-1], bars, [len(ids)]])) - 1
+            self._add(part, np.delete(ids, bars), size)
+        return np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, each closed by the end id; where each document's ids start)."""
         n = len(offsets) - 1
         starts, ends, doc = split_words(raw, offsets)
+        if len(starts):
+            low = LOWER[raw]
+            marked = np.add.reduceat((raw == 0x3C).astype(np.int64), starts) > 0
+            for a, b in zip(starts[marked].tolist(), ends[marked].tolist(), strict=True):
+                low[a:b] = raw[a:b]
+            cut = np.flatnonzero(CLOSERS[raw[1:]] & LETTERS[raw[:-1]]) + 1
+            owner = np.searchsorted(starts, cut, side="right") - 1
+            inner = (starts[owner] < cut) & (cut < ends[owner]) & ~marked[owner]
+            cut, owner = cut[inner], owner[inner]
+            doc = np.insert(doc, owner + 1, doc[owner])
+            starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
+            raw = low
         coded = pc.dictionary_encode(binary_array(raw, starts, ends))
-        table = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-        flat = np.fromiter(itertools.chain.from_iterable(table), dtype=np.uint32, count=int(size.sum()))
-        at = np.cumsum(size) - size
+        table = self._numbers(coded.dictionary.to_pylist())
+        size, at = self.size[table], self.at[table]
         word = np.asarray(coded.indices, dtype=np.int64)
         held = size[word] if len(word) else np.zeros(0, dtype=np.int64)
         total = np.bincount(doc, weights=held, minlength=n).astype(np.int64) + 1
@@ -90,7 +146,7 @@ class Encoder:
         before = np.cumsum(held) - held
         within = np.arange(int(held.sum())) - np.repeat(before, held)
         # each document's end id moves what follows by one
-        out[np.repeat(before + doc, held) + within] = flat[np.repeat(at[word], held) + within]
+        out[np.repeat(before + doc, held) + within] = self.flat[np.repeat(at[word], held) + within]
         return out, first
 
 
