@@ -455,7 +455,9 @@ def analyzed(candidates: DataFrame) -> DataFrame:
     kind is ok, ineligible, unsupported or insufficientData; the other added columns are set where kind is ok.
     """
     rule, subjects, past = F.col("rule"), F.col("subjects"), F.col("history")
-    df = candidates.withColumn("_failed", eligibility_failures(rule, subjects)).withColumn("_c", converted(rule, subjects))
+    df = candidates.withColumn("_failed", eligibility_failures(rule, subjects))
+    # one-element generators keep the optimizer from copying the long expression into every filter and column that reads it
+    df = df.withColumn("_c", F.explode(F.array(converted(rule, subjects))))
     c = F.col("_c")
     reference = F.when(c["method"] == "exact", past["cut_score"]).otherwise(past["percentile_cut"])
     df = df.withColumn("_ref", reference).withColumn("_gap", round2(c["score"] - reference))
@@ -464,9 +466,10 @@ def analyzed(candidates: DataFrame) -> DataFrame:
     moved = band_adjustment(F.col("quota"), F.col("prev_quota"), past["additional_pass"], english_spread(rule), Scores(subjects).of("english")["grade"], F.coalesce(rule["inquiry_policy"]["conversion_risk"], F.lit(False)), F.col("exam_type"), F.col("confidence"))
     df = df.withColumn("band", band(F.col("_gap"), c["scale"], moved, F.col("confidence")))
     reasons, warnings = reason_codes(rule, subjects, F.col("exam_type"), F.col("band"), F.col("confidence"), F.col("quota") < 10)
-    fine = F.col("kind") == "ok"
-    added = {"converted_score": c["score"], "reference_score": F.col("_ref"), "score_gap": F.col("_gap"), "band": F.col("band"), "confidence": F.col("confidence"), "reason_codes": reasons, "warnings": warnings}
-    return df.withColumns({k: F.when(fine, v) for k, v in added.items()}).drop("_failed", "_c", "_ref", "_gap")
+    df = df.withColumn("_codes", F.explode(F.array(F.struct(F.col("band").alias("band"), F.col("confidence").alias("confidence"), reasons.alias("reasons"), warnings.alias("warnings")))))
+    fine, x = F.col("kind") == "ok", F.col("_codes")
+    added = {"converted_score": c["score"], "reference_score": F.col("_ref"), "score_gap": F.col("_gap"), "band": x["band"], "confidence": x["confidence"], "reason_codes": x["reasons"], "warnings": x["warnings"]}
+    return df.withColumns({k: F.when(fine, v) for k, v in added.items()}).drop("_failed", "_c", "_ref", "_gap", "_codes")
 
 
 def simulated(subjects: Column, changes: Column) -> Column:
@@ -548,3 +551,14 @@ def plan_risk(picks: DataFrame, *, by: str = "plan_id") -> DataFrame:
         F.max_by("recruitment_group", F.struct(rank, -place)).alias("riskiest_group"),
         F.min_by("recruitment_group", F.struct(rank, place)).alias("safest_group"),
     )
+
+
+def rule_struct(**fields: Column) -> Column:
+    """A RULE column from some of its fields; the others are null."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(RULE)
+    unknown = set(fields) - set(kind.names)
+    if unknown:
+        raise ValueError(f"not fields of a rule: {sorted(unknown)}")
+    return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
