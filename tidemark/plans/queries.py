@@ -641,3 +641,25 @@ def validate_scores(spark, sf):
     none, value = F.lit(None).cast("double"), F.col("value")
     found = scoring.score_problems(F.lit("math"), none, none, value, none)
     return table(spark, sf, "events").select("event_id", "event_type", F.array_join(found, "|").alias("problems"))
+
+
+# --- windows over events (an extension) ---
+
+
+@query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, max(value) as high from events group by all")
+def event_windows(spark, sf):
+    from tidemark.streaming.events import tumbling
+
+    return tumbling(table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+with g as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 2 hour, true) as fresh from events),
+s as (select user_id, ts, sum(fresh::int) over (partition by user_id order by ts) as k from g)
+select user_id, min(ts) as start, max(ts) + interval 2 hour as stop, count(*) as n from s group by user_id, k
+""")
+def event_sessions(spark, sf):
+    from tidemark.streaming.events import sessions
+
+    found = sessions(table(spark, sf, "events"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop")})
