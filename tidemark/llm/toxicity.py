@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import _powers, mix64
+from tidemark.llm.shared import written
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("_i"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).join(known, "_i")
     counts = rows.select("_t", "_y").mapInArrow(_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.withColumn("all", F.col("f") < 0)
+    counts = written(counts, "grams").withColumn("all", F.col("f") < 0)
     total = counts.filter("all").first()
     n0, n1 = (total.n0, total.n1) if total else (0, 0)
     none = np.zeros(0, dtype=np.int64)
