@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}

@@ -134,3 +134,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     done = joined.mapInArrow(_strip, StructType([joined.schema["_row"], StructField("_text", StringType())]))
     text = F.when(F.col(f"_row.`{text_col}`").isNotNull(), F.col("_text"))
     return done.select(*(text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
+ORACLE = r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select r, i, md5(array_to_string(ws[i:i + 34], ' ')) as h from (select r, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35)),
+d as (select r, i from g qualify count(*) over (partition by h) > 1),
+c as (select distinct r, unnest(range(i, i + 35)) as p from d),
+k as (select r, string_agg(word, ' ' order by p) as kept, count(*) as n from (select r, unnest(ws) as word, generate_subscripts(ws, 1) as p from w) anti join c using (r, p) group by r)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (r)
+"""

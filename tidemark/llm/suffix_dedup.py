@@ -216,3 +216,15 @@ def _digests(batches):
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return repeated_byte_spans(docs).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = r"""
+with b as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as t from documents),
+g as (select r, i, md5(t[i:i + 399]) as h from (select r, t, unnest(range(1, octet_length(t) - 398)) as i from b where octet_length(t) >= 400)),
+d as (select r, i from g qualify count(*) over (partition by h) > 1),
+s as (select r, i, sum(fresh::int) over (partition by r order by i) as k from (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 400, true) as fresh from d)),
+e as (select r, min(i) as a, max(i) + 400 as z from s group by r, k),
+p as (select r, octet_length(t) as n, t, a, z, coalesce(lag(z) over (partition by r order by a), 1) as z0, lead(a) over (partition by r order by a) is null as final from b join e using (r)),
+x as (select r, sum(z - a) as n_removed, count(*) as n_spans, unhex(string_agg(hex(t[z0:a - 1]) || case when final then hex(t[z:n]) else '' end, '' order by a)) as kept from p group by r)
+select doc_id, octet_length(t) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(case when x.r is null then t else kept end) as kept_sha256 from b left join x using (r)
+"""

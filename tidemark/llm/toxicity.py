@@ -148,7 +148,7 @@ def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, ratio: np.ndarray, p
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, rows_per_class: int = ROWS_PER_CLASS, penalty: float = PENALTY) -> Model:
     """The model of the labelled rows of docs. A document with several labels has the largest one."""
     known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).filter("_i is not null and _y in (0, 1)").groupBy("_i").agg(F.max("_y").alias("_y"))
-    if known.count() * 16 <= BROADCAST_BYTES:
+    if known.count() * 64 <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("_i"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).join(known, "_i")
     counts = rows.select("_t", "_y").mapInArrow(_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
