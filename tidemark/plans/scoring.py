@@ -337,11 +337,13 @@ def _first_best(results: Column) -> Column:
 def converted(rule: Column, subjects: Column) -> Column:
     """struct(score, scale, stand_in, method): method is exact, relative, approx or unsupported."""
     s, kind = Scores(subjects), rule["score_type"]
-    own: Get = lambda f: rule[f]
     of = lambda a: (lambda f: F.coalesce(a[f], rule[f]))
     several = F.coalesce(F.size(rule["alternatives"]), F.lit(0)) > 0
-    exact = F.when(several, _first_best(F.transform(rule["alternatives"], lambda a: _exact(of(a), s, kind)))).otherwise(_exact(own, s, kind))
-    near = F.when(several, _first_best(F.transform(rule["alternatives"], lambda a: _approximate(of(a), s)))).otherwise(_approximate(own, s))
+    # a rule without alternatives is its own only one, so that the formulas stand once
+    names = [x.strip().split(" ", 1)[0] for x in _split(_LEAVES)]
+    forms = F.when(several, rule["alternatives"]).otherwise(F.array(F.struct(*(rule[n].alias(n) for n in names))))
+    exact = _first_best(F.transform(forms, lambda a: _exact(of(a), s, kind)))
+    near = _first_best(F.transform(forms, lambda a: _approximate(of(a), s)))
     some = lambda f: F.coalesce((F.size(rule[f]) > 0), F.lit(False)) | F.coalesce(F.exists(rule["alternatives"], lambda a: F.size(a[f]) > 0), F.lit(False))
     open_inputs = some("required_inputs") | some("external_components")
     verified = rule["verified_status"].isin("verified", "live")
