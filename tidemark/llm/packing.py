@@ -12,7 +12,7 @@ Packing needs lengths only, so documents are dealt into shards by hash, some
 sequence or two that are not full.
 
 Tokens of a text are those of its pieces (see Encoder), as the default vocabulary
-never joins them; pieces repeat, so each is encoded once a task.
+never joins them; pieces repeat, so each is encoded once a Python worker.
 
 Cases: null texts are empty and give the end id alone; repeated rows are
 separate documents; texts of any length are tokenized whole; ids may be null; an
@@ -21,8 +21,11 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -38,7 +41,7 @@ END_ID = 1
 DOCS_PER_SHARD = 8192
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1 << 20
-#: Encoded pieces that a task keeps; past that it starts anew.
+#: Encoded pieces that a worker keeps; past that it starts anew.
 KEPT_PIECES = 600_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -54,6 +57,8 @@ def default_vocabulary() -> str:
 BAR = b"~"
 CLOSERS = np.zeros(256, dtype=bool)
 CLOSERS[list(b".,;:!?")] = True
+#: Lower-case ASCII and Latin-1 letters of either case: no composition, one lower-case letter each, no other piece inside.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -78,8 +83,24 @@ class Encoder:
         self.end_id = end_id
         bar = self.tokenizer.encode(BAR.decode(), add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        self.plain = self._model_alone(vocabulary)
         self._clear()
 
+    def _model_alone(self, vocabulary: str):
+        """The model behind a split at white space, if the vocabulary marks ends of words and keeps runs of letters whole."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(vocabulary, encoding="utf-8") as f:
+            rules = json.load(f)
+        suffix, how = rules["model"].get("end_of_word_suffix"), (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if not suffix or [x["type"] for x in how] != ["Split", "ByteLevel"] or "[\\p{L}]+" not in how[0]["pattern"].get("Regex", ""):
+            return None
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.last[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        model = Tokenizer(self.tokenizer.model)
+        model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return model
+
     def _clear(self):
         self.known: dict[bytes, int] = {}
         self.flat, self.at, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
@@ -103,6 +124,16 @@ class Encoder:
             self._clear()
         known = self.known
         new = [p for p in pieces if p not in known]
+        if self.plain:
+            letters = [p for p in new if PLAIN(p)]
+            for lo in range(0, len(letters), 8192):
+                part = letters[lo : lo + 8192]
+                ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode().lower()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                ends = np.flatnonzero(self.last[ids])
+                if len(ends) != len(part):
+                    raise ValueError("the vocabulary doesn't end each word once")
+                self._add(part, ids, np.diff(ends, prepend=-1))
+            new = [p for p in new if p not in known]
         apart = [p for p in new if self.bar is None or BAR in p or b"<" in p]
         if apart:
             each = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in apart], add_special_tokens=False)]
@@ -150,9 +181,15 @@ class Encoder:
         return out, first
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, end_id: int) -> Encoder:
+    """One encoder a Python worker: Spark gives a worker many tasks, which share its table of pieces."""
+    return Encoder(vocabulary, end_id)
+
+
 def _cut(vocabulary: str, window: int, end_id: int, with_ids: bool):
     def run(batches):
-        encoder = Encoder(vocabulary, end_id)
+        encoder = encoder_of(vocabulary, end_id)
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             key, shard = batch.column("_id").to_pylist(), batch.column("_shard").to_pylist()
