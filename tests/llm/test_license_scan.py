@@ -28,3 +28,8 @@ def test_edge_cases(spark):
     assert sorted((x[:6] for x in got), key=repr) == sorted(brute.licenses(data), key=repr)
     assert {x[0]: x[6] for x in got} == {1: "", 2: "", 3: "mit", 4: "mit", 5: "", None: "cc-by-nc", 6: "", 7: ""}
     assert op.scan(docs.limit(0)).count() == 0
+
+
+def test_a_licence_that_every_document_carries(spark):
+    docs = spark.createDataFrame([(i, f"page{i} {MIT} end{i}") for i in range(40)], "doc_id long, text string")
+    assert {(r.labels, r.score) for r in op.scan(docs).collect()} == {("mit", 1.0)}

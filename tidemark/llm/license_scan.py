@@ -3,7 +3,7 @@
 1. Words of templates and phrases form a small fixed vocabulary. Their document
    frequencies are counted over all documents (one partial count a batch).
 2. A file looks up the postings (template, position) of its licence words of
-   highest IDF; words in more than `common` of the documents never anchor.
+   highest IDF; every word has its rank, however frequent it is.
 3. Postings and file positions intersect by relative position: places that agree
    on one start of one template vote for it.
 4. A start with enough votes stands if every mandatory key phrase of the template
@@ -53,7 +53,6 @@ TEMPLATES = [
 ]
 # --- end of fixed values ---
 
-COMMON = 0.02
 RARE_WORDS = 8
 MIN_VOTES = 2
 MIN_SCORE = 0.6
@@ -213,7 +212,7 @@ def _scan(index: Index, idf: dict[int, float], rare: int, votes: int, least: flo
     return run
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, common: float = COMMON, rare: int = RARE_WORDS, votes: int = MIN_VOTES, least: float = MIN_SCORE, slack: int = SLACK) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, rare: int = RARE_WORDS, votes: int = MIN_VOTES, least: float = MIN_SCORE, slack: int = SLACK) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 with a base label, else the best share of a verified template, else 0.
@@ -223,5 +222,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ind
     # at most as many rows as the vocabulary has words
     counts = {r.w: r.n for r in rows.select("_t").mapInArrow(_frequencies(index), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     documents = counts.pop(-1, 0)
-    idf = {w: math.log((1 + documents) / n) for w, n in counts.items() if n <= max(common * documents, 8)}
+    idf = {w: math.log((1 + documents) / n) for w, n in counts.items()}
     return rows.mapInArrow(_scan(index, idf, rare, votes, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
