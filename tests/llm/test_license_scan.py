@@ -33,3 +33,11 @@ def test_edge_cases(spark):
 def test_a_licence_that_every_document_carries(spark):
     docs = spark.createDataFrame([(i, f"page{i} {MIT} end{i}") for i in range(40)], "doc_id long, text string")
     assert {(r.labels, r.score) for r in op.scan(docs).collect()} == {("mit", 1.0)}
+
+
+def test_two_licences_and_a_long_text_of_licence_words(spark):
+    gpl = op.TEMPLATES[5][1]
+    prose = " ".join(w for i, w in enumerate(op.Index().vocabulary * 3) if i % 2)
+    data = [(1, f"{MIT} {gpl}"), (2, f"{prose} {gpl} {prose}"), (3, " ".join(x[1] for x in op.TEMPLATES)), (4, MIT)] + [(10 + i, gpl) for i in range(30)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in op.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: {"mit", "gpl-3"}, 2: {"gpl-3"}, 3: {x[0] for x in op.TEMPLATES}, 4: {"mit"}} | {10 + i: {"gpl-3"} for i in range(30)}

@@ -2,10 +2,11 @@
 
 1. Words of templates and phrases form a small fixed vocabulary. Their document
    frequencies are counted over all documents (one partial count a batch).
-2. A file looks up the postings (template, position) of its licence words of
-   highest IDF; every word has its rank, however frequent it is.
-3. Postings and file positions intersect by relative position: places that agree
-   on one start of one template vote for it.
+2. Each template is anchored at its places of highest IDF, as many as any start
+   with `least` of its words must hit `votes` times. So no start is lost, whatever
+   else a text holds, and the most frequent words look nothing up.
+3. Anchor postings (template, position) and file positions intersect by relative
+   position: places that agree on one start of one template vote for it.
 4. A start with enough votes stands if every mandatory key phrase of the template
    occurs, its words consecutive, within `slack` words of its relative position.
    The score is the share of template words found at their relative positions.
@@ -19,7 +20,7 @@ are scanned apart; ids may be null; texts of any length are scanned whole.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,6 @@ TEMPLATES = [
 ]
 # --- end of fixed values ---
 
-RARE_WORDS = 8
 MIN_VOTES = 2
 MIN_SCORE = 0.6
 SLACK = 3
@@ -139,44 +139,60 @@ def _frequencies(index: Index):
     return run
 
 
-def _matches(index: Index, idf: dict[int, float], words: list[int], places: list[int], rare: int, votes: int, least: float, slack: int) -> dict[str, float]:
-    """Labels and scores of one document from its vocabulary words and their places."""
-    anchors = set(sorted({w for w in words if w in idf}, key=lambda w: (-idf[w], w))[:rare])
-    if not anchors:
-        return {}
-    found: Counter = Counter()
-    for w, p in zip(words, places, strict=True):
-        if w in anchors:
-            for t, q in index.postings[w]:
-                found[t, p - q] += 1
-    at = dict(zip(places, words, strict=True))
-    out: dict[str, float] = {}
-    for (t, start), n in found.items():
-        text = index.texts[t]
-        if n < min(votes, len(text)):
-            continue
-        score = sum(at.get(start + q) == w for q, w in enumerate(text)) / len(text)
-        if score < least:
-            continue
-        for phrase, q in zip(index.keys[t], index.places[t], strict=True):
-            around = range(start - slack, start + len(text) + slack) if q is None else range(start + q - slack, start + q + slack + 1)
-            if not any(all(at.get(p + j) == w for j, w in enumerate(phrase)) for p in around):
-                break
-        else:
-            out[index.labels[t]] = max(score, out.get(index.labels[t], 0.0))
-    return out
-
-
-def _scan(index: Index, idf: dict[int, float], rare: int, votes: int, least: float, slack: int):
+def anchors(index: Index, idf: dict[int, float], votes: int, least: float) -> list[tuple[int, int, int]]:
+    """(word, template, position) of each template's anchors: without all but `votes` - 1 of them no start reaches `least`."""
+    out = []
+    for t, text in enumerate(index.texts):
+        needed = max(math.ceil(least * len(text) - 1e-9), 1)
+        # a word that no document holds can't be found, but counts as a place
+        rarest = sorted(range(len(text)), key=lambda q: (-idf.get(text[q], math.inf), text[q], q))
+        out += [(text[q], t, q) for q in rarest[: len(text) - needed + min(votes, needed)]]
+    return sorted(out)
+
+
+def _starts(index: Index, posts: np.ndarray, cut: np.ndarray, number: np.ndarray, doc: np.ndarray, votes: int, least: float):
+    """(document, template, start, score) of all starts with `votes` anchors and `least` of the words; starts are places in `number`."""
+    at = np.flatnonzero(number >= 0)
+    lo, n = cut[number[at]], cut[number[at] + 1] - cut[number[at]]
+    which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+    at = np.repeat(at, n)
+    longest = max(map(len, index.texts), default=0)
+    span, kinds = len(number) + longest, len(index.texts)
+    key, found = np.unique((doc[at] * kinds + posts[which, 1]) * span + at - posts[which, 2] + longest, return_counts=True)
+    owner, start = key // span, key % span - longest
+    for t, text in enumerate(index.texts):
+        mine = np.flatnonzero((owner % kinds == t) & (found >= min(votes, len(text))))
+        equal = np.zeros(len(mine), dtype=np.int64)
+        for q, w in enumerate(text):
+            place = start[mine] + q
+            inside = (place >= 0) & (place < len(number))
+            place = np.where(inside, place, 0)
+            equal += inside & (number[place] == w) & (doc[place] == owner[mine] // kinds)
+        score = equal / max(len(text), 1)
+        for i in np.flatnonzero(score >= least).tolist():
+            yield int(owner[mine[i]] // kinds), t, int(start[mine[i]]), float(score[i])
+
+
+def _verified(index: Index, own: np.ndarray, t: int, start: int, slack: int) -> bool:
+    """Whether each key phrase of template t, laid at `start` of a document's word numbers, occurs near its place."""
+    for phrase, q in zip(index.keys[t], index.places[t], strict=True):
+        around = range(start - slack, start + len(index.texts[t]) + slack) if q is None else range(start + q - slack, start + q + slack + 1)
+        if not any(p >= 0 and own[p : p + len(phrase)].tolist() == phrase for p in around):
+            return False
+    return True
+
+
+def _scan(index: Index, idf: dict[int, float], votes: int, least: float, slack: int):
+    posts = np.array(anchors(index, idf, votes, least), dtype=np.int64).reshape(-1, 3)
+    cut = np.searchsorted(posts[:, 0], np.arange(len(index.vocabulary) + 1))
+
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             n = len(offsets) - 1
             total = np.zeros(n, dtype=np.int64)
             base: dict[int, list[tuple[int, str]]] = defaultdict(list)
-            labels: dict[int, dict[str, float]] = {}
-            anchor = np.zeros(len(index.vocabulary) + 1, dtype=bool)
-            anchor[list(idf)] = True
+            labels: dict[int, dict[str, float]] = defaultdict(dict)
             for lo, hi in chunks(offsets, CHUNK_BYTES):
                 o = offsets[lo : hi + 1]
                 number, doc = index.numbers(raw[o[0] : o[-1]], o - o[0])
@@ -191,13 +207,10 @@ def _scan(index: Index, idf: dict[int, float], rare: int, votes: int, least: flo
                             hit &= number[j : last + j] == w
                         for i in np.flatnonzero(hit).tolist():
                             base[lo + int(doc[i])].append((i - int(first[doc[i]]), label))
-                # only documents with two words or more that anchor can get a start with two votes
-                anchored = np.bincount(doc[anchor[number]], minlength=hi - lo)
-                for d in np.flatnonzero(anchored).tolist():
-                    own = number[first[d] : first[d] + size[d]]
-                    at = np.flatnonzero(own >= 0)
-                    if x := _matches(index, idf, own[at].tolist(), at.tolist(), rare, votes, least, slack):
-                        labels[lo + d] = x
+                for d, t, start, score in _starts(index, posts, cut, number, doc, votes, least):
+                    label = index.labels[t]
+                    if score > labels[lo + d].get(label, 0.0) and _verified(index, number[first[d] : first[d] + size[d]], t, start - int(first[d]), slack):
+                        labels[lo + d][label] = score
             cols = [[], [], [], [], [], []]
             for i in range(n):
                 hits = base.get(i, ())
@@ -212,7 +225,7 @@ def _scan(index: Index, idf: dict[int, float], rare: int, votes: int, least: flo
     return run
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, rare: int = RARE_WORDS, votes: int = MIN_VOTES, least: float = MIN_SCORE, slack: int = SLACK) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, votes: int = MIN_VOTES, least: float = MIN_SCORE, slack: int = SLACK) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 with a base label, else the best share of a verified template, else 0.
@@ -223,4 +236,4 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ind
     counts = {r.w: r.n for r in rows.select("_t").mapInArrow(_frequencies(index), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     documents = counts.pop(-1, 0)
     idf = {w: math.log((1 + documents) / n) for w, n in counts.items()}
-    return rows.mapInArrow(_scan(index, idf, rare, votes, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(_scan(index, idf, votes, least, slack), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
