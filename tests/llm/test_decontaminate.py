@@ -35,3 +35,14 @@ def test_substitutions_and_edge_cases(spark):
     assert sorted(r.doc_id for r in op.without_leaks(docs, items).collect()) == [2, 4, 5, 6, 9]
     assert op.overlaps(docs, items.limit(0)).count() == 0 == op.overlaps(docs.limit(0), items).count()
     assert op.without_leaks(docs, items.limit(0)).count() == docs.count()
+
+
+def test_substitutions_in_the_middle_and_spread_over_an_item(spark):
+    a, b, c = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 16), ("b", 15), ("c", 38)))
+    laid = lambda ws, *out: " ".join(["f", "g", *("zzz" if i in out else w for i, w in enumerate(ws)), "h"])
+    data = [(1, laid(a, 7, 8)), (2, laid(b, 7, 8)), (3, laid(c, 4, 9, 14, 19, 24, 29, 34)), (4, laid(a, 5, 6, 7, 8)), (5, laid(c, *range(1, 38, 4)))]
+    items = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((a, b, c), 1)], "item_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap_words, r.matched_words) for r in op.overlaps(docs, items).collect()}
+    assert got == {(1, 1): (16, 14), (2, 2): (15, 13), (3, 3): (38, 31)}
+    assert sorted(r.doc_id for r in op.without_leaks(docs, items).collect()) == [4, 5]

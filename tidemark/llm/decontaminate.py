@@ -4,9 +4,10 @@ A mask such as 1101011 takes the words under its ones and ignores the others, so
 a hit survives substitutions at ignored places. Every position of every whole
 text is hashed under each mask and looked up among the benchmark's hashes. A hit
 gives a diagonal (document position minus item position), along which the item
-is laid over the text: the segment of the highest score (+1 a match, -4 a
-mismatch, so at least 80 % of its words match) is the overlap. It counts if it
-has `least` matching words, or 80 % of all words of a shorter item.
+is laid over the text: the longest segment whose score (+1 a match, -4 a
+mismatch) is not negative, so that at least 80 % of its words match, is the
+overlap, without mismatches at its ends. No such segment has more matches. It
+counts if it has `least` matching words, or 80 % of all words of a shorter item.
 
 Words are runs of ASCII letters, digits and other characters beyond ASCII, in
 lower case. The benchmark is read in blocks of at most BLOCK_BYTES of text; each
@@ -110,9 +111,15 @@ class Table:
             own = first[d] + diagonal
             equal = codes[own + a : own + b] == words[a:b]
             gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-            low = np.minimum.accumulate(gain)
-            stop = int(np.argmax(gain - low))
-            start = int(np.argmax(gain[: stop + 1] == low[stop]))
+            # the last place from which on no gain is as high as at a start ends its segment
+            high = np.maximum.accumulate(gain[::-1])[::-1]
+            stops = np.searchsorted(-high, -gain, side="right") - 1
+            start = int(np.argmax(stops - np.arange(len(gain))))
+            stop = int(stops[start])
+            hits = np.flatnonzero(equal[start:stop])
+            if not len(hits):
+                continue
+            start, stop = start + int(hits[0]), start + int(hits[-1]) + 1
             matched = int(equal[start:stop].sum())
             if matched >= min(least, -(-4 * len(words) // 5)) and matched > 0:
                 x = (matched, -(stop - start), -(diagonal + a + start), a + start)
