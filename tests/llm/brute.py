@@ -23,16 +23,16 @@ def substring_dedup(rows, k):
     return out
 
 
-def suffix_dedup(rows, k):
-    """rows: (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+def suffix_dedup(rows, k, shared):
+    """rows: (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared)."""
     docs = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(hash(w[a : a + k]) for _, w in docs for a in range(len(w) - k + 1))
+    seen = Counter((n, hash(w[a : a + n])) for _, w in docs for n in (k, shared) for a in range(len(w) - n + 1))
     out = []
     for i, w in docs:
-        gone = cover(len(w), [a for a in range(len(w) - k + 1) if seen[hash(w[a : a + k])] > 1], k)
+        gone, also = (cover(len(w), [a for a in range(len(w) - n + 1) if seen[n, hash(w[a : a + n])] > 1], n) for n in (k, shared))
         kept = bytes(x for x, g in zip(w, gone, strict=True) if not g)
         spans = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
-        out.append((i, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(w), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(also)))
     return out
 
 

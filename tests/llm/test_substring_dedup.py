@@ -43,6 +43,6 @@ def test_heavy_minimisers_split_and_lose_nothing(spark):
     data = [(i, " ".join([*(f"a{i}.{j}" for j in range(20)), *passage, *(f"b{i}.{j}" for j in range(20))])) for i in range(60)]
     docs = keyed(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
     for heavy in (5, 10**9):
-        spans = repeated_spans(docs, Units("words", 35, 8), op.resolve_words, heavy=heavy)
+        spans = repeated_spans(docs, Units("words", (35,), 8), op.resolve_words, heavy=heavy)
         got = {x["id"]: op._own([x.asDict() for x in r.spans], x["id"]) for r in spans.collect() for x in r.spans}
         assert got == {i: [(20, 65)] for i, _ in data}

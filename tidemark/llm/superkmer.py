@@ -1,22 +1,28 @@
-"""Where a window of k units occurs more than once in a corpus: super-k-mer partitioning.
+"""Where a window of units occurs more than once in a corpus: super-k-mer partitioning.
 
 A unit is a word or a byte. Of the m-unit grams of a window the one with the
 smallest hash is its minimiser. Consecutive windows with one minimiser form a
 super-k-mer, which travels as ONE packed string to the bucket of its minimiser;
 equal windows have equal minimisers and so always meet in a bucket.
 
-1. `minimisers` counts every minimiser over all documents (map-side combined).
-   A window whose minimiser occurs once in the corpus cannot repeat, so its
-   string need not travel. This is exact: nothing that could repeat is left out.
+1. Every text is hashed once to count the minimisers of all documents. A window
+   whose minimiser occurs once in the corpus cannot repeat, so its string need not
+   travel. This is exact: nothing that could repeat is left out.
 2. Documents join the repeated minimisers they hold and pack those super-k-mers.
-   Equal strings met in one task settle there: all their windows repeat, one
+   Equal strings met in one batch settle there: all their windows repeat, one
    copy travels on behalf of all. A group of copies thus sends at most one
-   string a task, however large it is.
+   string a batch, however large it is.
 3. Buckets settle the distinct strings, by a function of the caller (sorting).
+   Their number follows from the counted minimisers, so a bucket stays small.
 4. Spans of repeated windows return to their documents.
 
-A minimiser with more than `heavy` occurrences splits its bucket by a second
-minimiser (another hash order), again equal for equal windows.
+A minimiser with more than `heavy` occurrences has no bucket: strings around one
+common passage differ at its ends and would all meet there. Its windows travel
+as hashes of 128 bits instead, each to the bucket of its own hash and, of equal
+ones met in a batch, once. So no bucket grows with a passage's number of copies.
+
+Several window lengths (levels) are settled at once: minimisers are those of the
+shortest one, and strings reach as far as the longest one from each start.
 The documents' shuffle by key is the same in steps 2 and 4 and so written once.
 """
 
@@ -29,61 +35,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import BYTE_CODES, SPACES, chunks, gram_hashes, merged, mix64, rolling, sliding_min, split_words, text_buffer
+from tidemark.llm.arrowtext import BYTE_CODES, chunks, gram_hashes, merged, mix64, rolling, sliding_min, split_words, text_buffer
+from tidemark.llm.shared import written
 
 CHUNK_BYTES = 1 << 19
-SECOND_ORDER = np.uint64(0xA0761D6478BD642F)
+SECOND_CODES = np.uint64(0xA0761D6478BD642F)
+#: Occurrences of a minimiser beyond which its windows travel as hashes, and strings a bucket.
+HEAVY = 4096
+BUCKET_STRINGS = 8192
 
 
 class Units:
-    """How a text falls into units: `words` (white space between) or `bytes`."""
-
-    def __init__(self, kind: str, k: int, m: int):
-        assert kind in ("words", "bytes") and 0 < m <= k
-        self.kind, self.k, self.m = kind, k, m
-
-    def runs(self, raw: np.ndarray, offsets: np.ndarray, heavy: np.ndarray | None = None):
-        """(document, first unit in it, windows, [minimiser, x]) of each super-k-mer.
-
-        x: without `heavy`, the minimiser's places in the run; else the bucket's
-        key, which for the sorted minimisers `heavy` has a second one mixed in.
-        """
-        if self.kind == "words":
-            starts, ends, doc = split_words(raw, offsets)
-            units = mix64(rolling(BYTE_CODES[raw])(starts, ends) + (ends - starts).astype(np.uint64))
-            size = np.bincount(doc, minlength=len(offsets) - 1)
-        else:
-            units, size = BYTE_CODES[raw], np.diff(offsets)
+    """How a text falls into units: `words` (white space between) or `bytes`; levels: the lengths of windows, ascending."""
+
+    def __init__(self, kind: str, levels: tuple[int, ...], m: int):
+        assert kind in ("words", "bytes") and 0 < m <= levels[0] and list(levels) == sorted(levels)
+        self.kind, self.levels, self.m = kind, levels, m
+        self.k, self.reach = levels[0], levels[-1]
+
+    def codes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each unit, units of each document)."""
+        if self.kind == "bytes":
+            return BYTE_CODES[raw], np.diff(offsets)
+        starts, ends, doc = split_words(raw, offsets)
+        codes = mix64(rolling(BYTE_CODES[raw])(starts, ends) + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, dtype=np.uint64)
+        return codes, np.bincount(doc, minlength=len(offsets) - 1)
+
+    def runs(self, units: np.ndarray, size: np.ndarray, counted: bool = False):
+        """(document, first unit in it, windows, minimiser, its places in the run if `counted`) of each super-k-mer."""
         none = np.zeros(0, dtype=np.int64)
         if len(units) < self.k:
-            return none, none, none, np.zeros((2, 0), dtype=np.uint64)
+            return none, none, none, none.astype(np.uint64), none
         first = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=first[1:])
         grams = gram_hashes(units, self.m)
-        key = sliding_min(grams, self.k - self.m + 1)
         # window i lies in one document if that of its first unit also has its last
         windows = np.maximum(size - self.k + 1, 0)
         doc = np.repeat(np.arange(len(size)), windows)
         before = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(windows, out=before[1:])
         at = np.arange(before[-1]) - np.repeat(before[:-1] - first[:-1], windows)
-        key = key[at]
-        if heavy is not None and len(heavy) and len(key):
-            many = heavy[np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)] == key
-            if many.any():
-                second = sliding_min(mix64(grams ^ SECOND_ORDER), self.k - self.m + 1)[at]
-                base, key = key, np.where(many, mix64(key ^ (second * SECOND_ORDER)), key)
-            else:
-                base = key
-        else:
-            base = key
+        key = sliding_min(grams, self.k - self.m + 1)[at]
         if not len(key):
-            return none, none, none, np.zeros((2, 0), dtype=np.uint64)
+            return none, none, none, none.astype(np.uint64), none
         new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (base[1:] != base[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         i = np.flatnonzero(new)
         n = np.diff(np.append(i, len(key)))
-        return doc[i], at[i] - first[doc[i]], n, (np.stack([base[i], self._places(grams, at[i], n, base[i])]) if heavy is None else np.stack([base[i], key[i]]))
+        return doc[i], at[i] - first[doc[i]], n, key[i], self._places(grams, at[i], n, key[i]) if counted else none
 
     def _places(self, grams: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         """How often each run's minimiser stands in the run: windows that repeat within one run have it twice."""
@@ -99,15 +98,16 @@ class Units:
 
 
 def _minimisers(units: Units):
+    """Each document's minimisers and how often they stand in it."""
+
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             k = batch.column("_k").to_numpy(zero_copy_only=False)
             for lo, hi in chunks(offsets, CHUNK_BYTES):
                 o = offsets[lo : hi + 1]
-                doc, _, _, key = units.runs(raw[o[0] : o[-1]], o - o[0])
+                doc, _, _, key, places = units.runs(*units.codes(raw[o[0] : o[-1]], o - o[0]), counted=True)
                 if len(doc):
-                    key, places = key
                     order = np.lexsort((key, doc))
                     doc, key, places = doc[order], key[order], places[order].astype(np.int64)
                     new = np.ones(len(doc), dtype=bool)
@@ -119,96 +119,152 @@ def _minimisers(units: Units):
     return run
 
 
-def _unsigned(values) -> np.ndarray:
-    return np.sort(np.asarray(values, dtype=np.int64).view(np.uint64))
+def _unsigned(lists: pa.Array, lo: int, hi: int) -> np.ndarray:
+    return np.sort(np.asarray(pa.concat_arrays([lists[i].values for i in range(lo, hi)]), dtype=np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), dtype=bool)
+
+
+#: One row a string (s, its number of window starts w > 0), a window's hash (s, w = -1 - level) or, without s, a span that is settled
+#: (w as before). n > 1: known to occur twice. k, id, start, stop: where; null for one that stands for settled copies.
+PACKED = pa.schema([("b", pa.int32()), ("s", pa.binary()), ("n", pa.int32()), ("w", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+PACKED_SQL = "b int, s binary, n int, w int, k long, id long, start int, stop int"
+
+
+def _hashed(units: Units, codes: np.ndarray, strings: list[tuple], buckets: int):
+    """Rows of the windows of heavy strings (first code, starts, units, known twice, owner), equal ones once."""
+    for level, length in enumerate(units.levels):
+        held = [(x, min(w, size - length + 1)) for x in strings for _, w, size, _, _ in [x] if size >= length]
+        if not held:
+            continue
+        n = np.array([c for _, c in held])
+        which = np.repeat(np.arange(len(held)), n)
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.array([x[0] for x, _ in held])[which] + inner
+        pair = np.stack([_window_codes(codes, at, length), _window_codes(mix64(codes ^ SECOND_CODES), at, length)], axis=1)
+        order = np.lexsort((pair[:, 1], pair[:, 0]))
+        same = (pair[order[1:]] == pair[order[:-1]]).all(axis=1)
+        lead = np.append(True, ~same)
+        group = np.cumsum(lead) - 1
+        often = np.bincount(group, minlength=int(group[-1]) + 1) > 1
+        twice = np.array([x[3] for x, _ in held])
+        np.logical_or.at(often, group, twice[which[order]])
+        settled = np.zeros(len(at), dtype=bool)
+        settled[order] = often[group]
+        for i, spans in spans_of_windows(settled, which, inner, length).items():
+            _, _, _, _, (k, doc_id, start) = held[i][0]
+            if k is not None:
+                for a, b in spans:
+                    yield 0, None, 2, -1 - level, k, doc_id, start + a, start + b
+        for i, some in zip(order[lead].tolist(), often.tolist(), strict=True):
+            k, doc_id, start = (None, None, None) if some else held[which[i]][0][4]
+            a = None if start is None else start + int(inner[i])
+            yield int(pair[i, 0] % np.uint64(buckets)), pair[i].tobytes(), 1 + some, -1 - level, k, doc_id, a, None if a is None else a + length
 
 
-SPANS = "b int, s binary, n int, k long, id long, start int, stop int"
+def _window_codes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return gram_hashes(codes, length)[at]
 
 
 def _pack(units: Units, buckets: int):
     """Super-k-mers of repeated minimisers; equal ones of a batch settle at once."""
-    schema = pa.schema([("b", pa.int32()), ("s", pa.binary()), ("n", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             ks, ids = batch.column("_k").to_pylist(), batch.column("_id").to_pylist()
             hots, heavies = batch.column("hot"), batch.column("heavy")
-            seen: dict[bytes, list] = {}
-            done: list[tuple] = []
+            rows: list[tuple] = []
             for lo, hi in chunks(offsets, CHUNK_BYTES):
                 o = offsets[lo : hi + 1]
-                heavy = _unsigned(np.concatenate([np.asarray(heavies[i].values) for i in range(lo, hi)]))
-                # a document's own list is a subset of the corpus's repeated minimisers, so the union of a chunk holds for each of them
-                hot = _unsigned(np.concatenate([np.asarray(hots[i].values) for i in range(lo, hi)]))
-                doc, start, n, keys = units.runs(raw[o[0] : o[-1]], o - o[0], heavy)
+                codes, size = units.codes(raw[o[0] : o[-1]], o - o[0])
+                doc, start, n, key, _ = units.runs(codes, size)
                 if not len(doc):
                     continue
-                base, key = keys
-                keep = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, base), len(hot) - 1)] == base)
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                first = np.cumsum(size) - size
+                # a document's own list is a subset of the corpus's repeated minimisers, so the union of a chunk holds for each of them
+                keep = np.flatnonzero(_among(key, _unsigned(hots, lo, hi)))
+                many = _among(key[keep], _unsigned(heavies, lo, hi))
+                stops = np.minimum(start + n - 1 + units.reach, size[doc])
                 current, words = -1, None
-                for d, a, c, b in zip(doc[keep].tolist(), start[keep].tolist(), n[keep].tolist(), bucket[keep].tolist(), strict=True):
+                seen: dict[bytes, list] = {}
+                for i, big in zip(keep.tolist(), many.tolist(), strict=True):
+                    d, a, stop = int(doc[i]), int(start[i]), int(stops[i])
                     if d != current:
                         current = d
                         words = raw[o[d] : o[d + 1]].tobytes()
                         if units.kind == "words":
                             words = words.split()
-                    stop = a + c + units.k - 1
                     s = b" ".join(words[a:stop]) if units.kind == "words" else words[a:stop]
                     own = (ks[lo + d], ids[lo + d], a, stop)
                     if (x := seen.get(s)) is None:
-                        seen[s] = [b, 1, own]
+                        seen[s] = [-1 if big else int(key[i] % np.uint64(buckets)), 1, int(n[i]), own, int(first[d]) + a]
                     else:
                         if x[1] == 1:
-                            done.append(x[2])
-                            x[1], x[2] = 2, (None, None, None, None)
-                        done.append(own)
-            cols = [[], [], [], [], [], [], []]
-            for s, (b, n, own) in seen.items():
-                for col, v in zip(cols, (b, s, n, *own), strict=True):
-                    col.append(v)
-            for own in done:
-                for col, v in zip(cols, (own[0] % buckets, None, None, *own), strict=True):
-                    col.append(v)
-            del seen, done
-            for i in range(0, len(cols[0]), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4096], type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                            rows.append((x[0] % buckets, None, 2, x[2], *x[3]))
+                            x[1] = 2
+                        rows.append((x[0] % buckets, None, 2, x[2], *own))
+                rows += [(b, s, m, w, *(own if m == 1 else (None,) * 4)) for s, (b, m, w, own, _) in seen.items() if b >= 0]
+                big = [(at, w, own[3] - own[2], m > 1, own[:3] if m == 1 else (None, None, None)) for b, m, w, own, at in seen.values() if b < 0]
+                if big:
+                    rows += _hashed(units, codes, big, buckets)
+            for i in range(0, len(rows), 4096):
+                cols = zip(*rows[i : i + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
 
     return run
 
 
 def _settle(units: Units, resolve: Callable):
-    """Of a bucket's strings, the spans of windows that occur twice or more."""
-    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    """Of a bucket's strings and window hashes, the spans of windows that occur twice or more."""
+    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("level", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
+        out: list[tuple] = []
         first: dict[bytes, int] = {}
-        strings, twice, rows = [], [], []
-        for s, n, k, i, a, b in zip(*(table.column(c).to_pylist() for c in ("s", "n", "k", "id", "start", "stop")), strict=True):
+        strings, twice, starts, rows = [], [], [], []
+        hashed: dict[tuple, list] = {}
+
+        def whole(k, doc_id, at, w, length):
+            for level, n in enumerate(units.levels):
+                if length >= n:
+                    out.append((k, doc_id, level, at, at + min(w, length - n + 1) + n - 1))
+
+        for s, n, w, k, i, a, b in zip(*(table.column(c).to_pylist() for c in PACKED.names[1:]), strict=True):
             if s is None:
-                for col, v in zip(out, (k, i, a, b), strict=True):
-                    col.append(v)
-                continue
-            at = first.get(s)
-            if at is None:
-                at = first[s] = len(strings)
-                strings.append(s)
-                twice.append(n > 1)
+                if w > 0:
+                    whole(k, i, a, w, b - a)
+                else:
+                    out.append((k, i, -1 - w, a, b))
+            elif w < 0:
+                x = hashed.setdefault((w, s), [0, []])
+                x[0] += n
+                if k is not None:
+                    x[1].append((k, i, -1 - w, a, b))
             else:
-                twice[at] = True
-            if k is not None:
-                rows.append((at, k, i, a))
-        alone = [not x for x in twice]
-        spans = resolve(strings, np.array(twice, dtype=bool), units.k) if any(alone) else {}
-        for at, k, i, a in rows:
-            length = (strings[at].count(b" ") + 1) if units.kind == "words" else len(strings[at])
-            for x, y in [(0, length)] if twice[at] else spans.get(at, ()):
-                for col, v in zip(out, (k, i, a + x, a + y), strict=True):
-                    col.append(v)
-        return pa.table([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                at = first.get(s)
+                if at is None:
+                    at = first[s] = len(strings)
+                    strings.append(s)
+                    twice.append(n > 1)
+                    starts.append(w)
+                else:
+                    twice[at] = True
+                if k is not None:
+                    rows.append((at, k, i, a, b))
+        for n, where in hashed.values():
+            if n > 1:
+                out += where
+        spans = resolve(strings, np.array(twice, dtype=bool), np.array(starts, dtype=np.int64), units.levels) if not all(twice) else {}
+        for at, k, i, a, b in rows:
+            if twice[at]:
+                whole(k, i, a, starts[at], b - a)
+            else:
+                out += [(k, i, level, a + x, a + y) for level, x, y in spans.get(at, ())]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
@@ -237,13 +293,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*rows_key(docs, id_col, text_col))
 
 
-def repeated_spans(docs: DataFrame, units: Units, resolve: Callable, *, heavy: int = 4096, buckets_per_partition: int = 8) -> DataFrame:
-    """(_k, spans) for each document of `keyed` with a repeated window; spans: id, start, stop in units, overlapping."""
+def repeated_spans(docs: DataFrame, units: Units, resolve: Callable, *, heavy: int = HEAVY, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+    """(_k, spans) for each document of `keyed` with a repeated window; spans: id, level, start, stop in units, overlapping."""
     spark = docs.sparkSession
-    buckets = buckets_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select("_k", "_t").mapInArrow(_minimisers(units), "h long, k long, n long")
-    repeated = found.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1")
+    found = written(docs.select("_k", "_t").mapInArrow(_minimisers(units), "h long, k long, n long"), "minimisers")
+    repeated = written(found.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1"), "repeated")
+    strings = repeated.agg(F.coalesce(F.sum(F.least("total", F.lit(heavy))), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-strings // bucket_strings))
     held = found.select("h", "k").join(repeated, "h").groupBy(F.col("k").alias("_k")).agg(F.collect_set("h").alias("hot"), F.collect_set(F.when(F.col("total") > heavy, F.col("h"))).alias("heavy"))
-    packed = docs.join(held, "_k").select("_k", "_id", "_t", "hot", "heavy").mapInArrow(_pack(units, buckets), SPANS)
-    settled = packed.groupBy("b").applyInArrow(_settle(units, resolve), "k long, id long, start int, stop int")
-    return settled.groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("id", "start", "stop")).alias("spans"))
+    packed = docs.join(held, "_k").select("_k", "_id", "_t", "hot", "heavy").mapInArrow(_pack(units, buckets), PACKED_SQL)
+    settled = packed.groupBy("b").applyInArrow(_settle(units, resolve), "k long, id long, level int, start int, stop int")
+    # rows that are equal share a key, and their spans are equal too
+    return settled.groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("id", "level", "start", "stop")).alias("spans"))
