@@ -76,8 +76,8 @@ def distance(a, b):
     return p[-1]
 
 
-def near_classes(rows, similarity=0.8):
-    """rows: (doc_id, text) -> {doc_id: class}, comparing all pairs that share a shingle."""
+def near_classes(rows, similarity=0.8, unit="words"):
+    """rows: (doc_id, text) -> {doc_id: class}; the edit similarity of words or of 5-word shingles, comparing all pairs of texts."""
     import re
 
     texts, first, sets = {}, {}, {}
@@ -100,8 +100,9 @@ def near_classes(rows, similarity=0.8):
             continue
         first[t] = i
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
-        texts[i] = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
-        sets[i] = Counter(texts[i])
+        if unit == "shingles":
+            w = [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []
+        texts[i], sets[i] = w, Counter(w)
     ids = sorted(texts)
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
