@@ -111,3 +111,34 @@ def near_classes(rows, similarity=0.8, unit="words"):
             if min(len(a), len(b)) >= similarity * n > 0 and sum((sets[i] & sets[j]).values()) >= similarity * n and distance(a, b) <= (1 - similarity) * n + 1e-9:
                 link(i, j)
     return {i: find(i) for i in parent}
+
+
+def toxic_scores(rows, penalty, smooth, certainty, sizes=(3, 4, 5, 6)):
+    """rows: (text, label or None) -> the score of each; strings as features, plain gradient descent to the optimum."""
+    import math
+
+    held = []
+    for t, _ in rows:
+        t = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in f" {t} ".lower())
+        held.append({t[i : i + n] for n in sizes for i in range(len(t) - n + 1)})
+    ys = [y for _, y in rows]
+    total = Counter(ys)
+    count = {y: Counter(g for h, label in zip(held, ys, strict=True) if label == y for g in h) for y in (0, 1)}
+    names, ratio = sorted(count[0] | count[1]), {}
+    for g in names:
+        c0, c1, n0, n1 = count[0][g] + smooth, count[1][g] + smooth, total[0] + 2 * smooth, total[1] + 2 * smooth
+        r = math.log(c1 / n1) - math.log(c0 / n0)
+        ratio[g] = math.copysign(max(0.0, abs(r) - certainty * math.sqrt(1 / c1 + 1 / c0 - 1 / n1 - 1 / n0)), r)
+    known = [([g for g in h if ratio.get(g)], y) for h, y in zip(held, ys, strict=True) if y is not None]
+    w, b, n = dict.fromkeys(names, 0.0), 0.0, total[0] + total[1]
+    step = 1 / (0.25 * (max(sum(ratio[g] ** 2 for g in h) for h, _ in known) + 1) + penalty)
+    for _ in range(8000):
+        errors = [1 / (1 + math.exp(-b - sum(w[g] * ratio[g] for g in h))) - y for h, y in known]
+        slope = {g: penalty * w[g] for g in names}
+        for e, (h, _) in zip(errors, known, strict=True):
+            for g in h:
+                slope[g] += e * ratio[g] / n
+        for g in names:
+            w[g] -= step * slope[g]
+        b -= step * sum(errors) / n
+    return [1 / (1 + math.exp(-b - sum(w[g] * ratio[g] for g in h if g in ratio))) for h in held]

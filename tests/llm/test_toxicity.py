@@ -1,6 +1,9 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
+from tests.llm import brute
 from tidemark.llm import toxicity as op
 
 SF = "/root/testdata/sf0.1"
@@ -30,3 +33,27 @@ def test_edge_cases(spark):
     assert {r.score < 0.1 for r in op.digest(docs, labels.filter("toxic = 0")).collect()} == {True}
     assert op.digest(docs.limit(0), labels).count() == 0
     assert op.digest(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    rng = random.Random(2)
+    mild, bad = ["ab", "cde", "fé"], ["xyz", "vw"]
+    rows = [(" ".join(rng.choices(mild + bad * (i % 2), k=4)) + "!", i % 2 if i < 16 else None) for i in range(24)]
+    rows += [rows[0], rows[0], rows[1]]  # repeated rows count
+    docs = spark.createDataFrame([(i if i < 24 else (0, 0, 1)[i - 24], t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows[:24]) if y is not None], "doc_id long, toxic int")
+    model = op.train(docs, labels, penalty=0.05, certainty=0.5, steps=4000)
+    got = [r.s for r in docs.select(op.score(F.col("text"), model).alias("s")).collect()]
+    want = brute.toxic_scores(rows, 0.05, op.SMOOTH, 0.5)
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 1e-3 and max(want) - min(want) > 0.3
+
+
+def test_the_sample_is_bounded_and_holds_different_rows(spark):
+    rows = spark.createDataFrame([(i % 40 if i < 900 else i, f"t{i % 40 if i < 900 else i}", int(i % 40 < 20 if i < 900 else i % 2)) for i in range(1000)], "_i long, _t string, _y int")
+    n1 = rows.filter("_y = 1").count()
+    got = op.drawn(rows, 1000 - n1, n1, 15).collect()
+    assert len(got) == 30 == len({r._t for r in got}) and sum(r._y for r in got) == 15
+    assert got and all(r.weight == rows.filter(F.col("_t") == r._t).count() for r in got[:4])
+    assert sorted(got) == sorted(op.drawn(rows.repartition(7), 1000 - n1, n1, 15).collect())
+    every = op.drawn(rows, 1000 - n1, n1, 10**6)
+    assert every.count() == rows.distinct().count() and every.agg(F.sum("weight")).first()[0] == 1000

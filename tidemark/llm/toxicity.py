@@ -4,12 +4,15 @@ Texts are lower-cased, ASCII signs become spaces, and the n-grams of SIZES
 characters are hashed into 2**BITS features; a document has a feature or not.
 
 1. Over ALL training rows, the documents of either class that have a feature are
-   counted; r = log((n1 + a) / (N1 + 2a)) - log((n0 + a) / (N0 + 2a)).
-2. The `features` features of the highest chi-square statistic stay.
-3. A logistic regression with an L2 penalty is fitted to a sample of at most
-   `rows_per_class` rows of each class (documented bound), with values r instead
-   of 1. Its bias is moved from the sample's class shares to those of all rows.
-4. Every whole text is scored where it lies; there is no shuffle of texts.
+   counted; r = log((n1 + a) / (N1 + 2a)) - log((n0 + a) / (N0 + 2a)), moved
+   towards 0 by `certainty` standard errors. Every feature whose r isn't 0 then
+   stays, however many these are.
+2. A logistic regression with an L2 penalty is fitted to a sample of at most
+   `rows_per_class` different rows of each class (documented bound; those of the
+   smallest hashes of id and text, equal rows as one with their number as weight),
+   with values r instead of 1. Its bias is moved from the sample's class shares to
+   those of all rows.
+3. Every whole text is scored where it lies; there is no shuffle of texts.
 
 Cases: null and empty texts have no features and get the bias's score; rows with
 a null label don't train; without rows of both classes every score is the share
@@ -26,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import _powers, mix64
+from tidemark.llm.arrowtext import _BASE, _powers, mix64, text_buffer
 from tidemark.llm.shared import written
 
 SIZES = (3, 4, 5, 6)
 BITS = 19
-FEATURES = 1024
-ROWS_PER_CLASS = 5000
-SMOOTH = 0.5
-PENALTY = 1e-3
+ROWS_PER_CLASS = 2500
+CERTAINTY = 3.0
+SMOOTH = 1.0
+PENALTY = 1e-4
+STEPS = 240
 CHUNK_CHARS = 200_000
 #: Labels of up to this size are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -55,144 +59,175 @@ def _parts(texts: list[str]):
         yield lo, len(texts)
 
 
-def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs of lower-case texts, each once, in order; wanted: which features count."""
-    length = np.array([len(t) + 2 for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
-    sign = codes < 128
-    sign[sign] = ~ALNUM[codes[sign]]
-    codes[sign] = 0x20
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), length)
-    up, down = _powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    out = []
-    for n in SIZES:
-        m = len(codes) - n + 1
-        if m <= 0:
-            continue
-        feature = (mix64((sums[n:] - sums[:m]) * down[:m] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-        keep = doc[:m] == doc[n - 1 :]
-        if wanted is not None:
-            keep &= wanted[feature]
-        at = np.flatnonzero(keep)
-        out.append((doc[at] << BITS) | feature[at])
-    key = np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+class Grams:
+    """The distinct features of each document, one after the other."""
+
+    def __init__(self):
+        self.last = np.zeros(1 << BITS, dtype=np.int32)
+
+    def of(self, texts: list[str]):
+        """(place, features) of each of the lower-case texts."""
+        for lo, hi in _parts(texts):
+            yield from ((lo + d, f) for d, f in enumerate(self._part(texts[lo:hi])))
+
+    def _part(self, texts: list[str]):
+        length = np.array([len(t) + 2 for t in texts], dtype=np.int64)
+        codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+        sign = codes < 128
+        sign[sign] = ~ALNUM[codes[sign]]
+        codes[sign] = 0x20
+        up, down = _powers(len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        down = down * _BASE  # the highest bits of an odd multiple are the feature
+        hashed = [(((sums[n:] - sums[:-n]) * down[: len(sums) - n] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32) for n in SIZES]
+        stop = np.cumsum(length)
+        for a, b in zip((stop - length).tolist(), stop.tolist(), strict=True):
+            f = np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(SIZES, hashed, strict=True)])
+            at = np.arange(len(f), dtype=np.int32)
+            self.last[f] = at
+            yield f[self.last[f] == at]
 
 
 def _counts(batches):
     """Of the task's rows: feature, documents of class 0 and of class 1; feature -1 stands for all."""
     held = np.zeros((2, 1 << BITS), dtype=np.int64)
     total = np.zeros(2, dtype=np.int64)
+    grams = Grams()
     for batch in batches:
-        texts, toxic = batch.column("_t").to_pylist(), np.asarray(batch.column("_y"), dtype=np.int64)
+        toxic = np.asarray(batch.column("_y"), dtype=np.int64)
         total += np.bincount(toxic, minlength=2)
-        for lo, hi in _parts(texts):
-            doc, feature = grams(texts[lo:hi])
-            for c in (0, 1):
-                held[c] += np.bincount(feature[toxic[lo:hi][doc] == c], minlength=1 << BITS)
+        toxic = toxic.tolist()
+        for i, f in grams.of(batch.column("_t").to_pylist()):
+            held[toxic[i]][f] += 1
     at = np.flatnonzero(held.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(np.append(held[c][at], total[c])) for c in (0, 1))], names=["f", "n0", "n1"])
 
 
 def _sparse(wanted: np.ndarray):
     def run(batches):
+        grams = Grams()
         for batch in batches:
-            texts = batch.column("_t").to_pylist()
-            out = [b""] * len(texts)
-            for lo, hi in _parts(texts):
-                doc, feature = grams(texts[lo:hi], wanted)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    out[lo + i] = feature[cut[i] : cut[i + 1]].astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(out, pa.binary())], names=["y", "x"])
+            out = [f[wanted[f]].astype("<i4").tobytes() for _, f in grams.of(batch.column("_t").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("_y"), batch.column("weight"), pa.array(out, pa.binary())], names=["y", "weight", "x"])
 
     return run
 
 
 @dataclass
 class Model:
-    """Weights by feature and the bias."""
+    """Weights of all features and the bias."""
 
-    features: np.ndarray
     weights: np.ndarray
     bias: float
 
 
-def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps on values ratio[column]; returns weights of the plain features and the bias."""
-    n, value = len(y), ratio[column]
-    scale = np.sqrt(np.bincount(column, weights=value * value, minlength=len(ratio)) / n) + 1e-3
-    value = value / scale[column]
+def fit(start: np.ndarray, column: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient steps; row i has the values ratio[column[start[i] : start[i + 1]]].
+
+    Returns the weights of plain features and the bias.
+    """
+    n, share = len(y), weight / weight.sum()
+    size = np.diff(start)
+    parts = [(a, min(a + 256, n)) for a in range(0, n, 256)]
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b in parts:
+            own = np.append(v[column[start[a] : start[b]]], 0.0)
+            out[a:b] = np.add.reduceat(own, start[a:b] - start[a]) * (size[a:b] > 0)
+        return out
+
+    def back(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratio))
+        for a, b in parts:
+            out += np.bincount(column[start[a] : start[b]], weights=np.repeat(e[a:b], size[a:b]), minlength=len(ratio))
+        return out
+
     # the step bound: the largest eigenvalue, by power iteration
-    v = np.ones(len(ratio)) / np.sqrt(len(ratio))
-    for _ in range(12):
-        v = np.bincount(column, weights=value * np.bincount(row, weights=value * v[column], minlength=n)[row], minlength=len(ratio))
+    v = np.abs(ratio)
+    top = 1.0
+    for _ in range(8):
+        v /= float(np.linalg.norm(v)) or 1.0
+        v = ratio * back(share * forward(v * ratio))
         top = float(np.linalg.norm(v)) or 1.0
-        v /= top
-    step = 1 / (0.25 * (top / n + 1) + penalty)
+    step = 1 / (0.25 * (1.1 * top + 1) + penalty)
     w, b = np.zeros(len(ratio)), 0.0
     w_ahead, b_ahead, t = w, b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=value * w_ahead[column], minlength=n) + b_ahead, -40, 40)))
-        e = (p - y) / n
-        w_new = w_ahead - step * (np.bincount(column, weights=value * e[row], minlength=len(ratio)) + penalty * w_ahead)
+        p = 1 / (1 + np.exp(-np.clip(forward(w_ahead * ratio) + b_ahead, -40, 40)))
+        e = (p - y) * share
+        w_new = w_ahead - step * (ratio * back(e) + penalty * w_ahead)
         b_new = b_ahead - step * float(e.sum())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w_ahead, b_ahead = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
-    return w * ratio / scale, b
+    return w * ratio, b
+
+
+def shrunk_ratio(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int, certainty: float) -> np.ndarray:
+    """Log-count ratios of features held by c0 of n0 and c1 of n1 documents, moved towards 0 by `certainty` standard errors."""
+    ratio = np.log((c1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((c0 + SMOOTH) / (n0 + 2 * SMOOTH))
+    error = np.sqrt(1 / (c1 + SMOOTH) + 1 / (c0 + SMOOTH) - 1 / (n1 + 2 * SMOOTH) - 1 / (n0 + 2 * SMOOTH))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - certainty * error, 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", features: int = FEATURES, rows_per_class: int = ROWS_PER_CLASS, penalty: float = PENALTY) -> Model:
-    """The model of the labelled rows of docs. A document with several labels has the largest one."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(_i, _t, _y) of the rows of docs with a label. A document with several labels has the largest one."""
     known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).filter("_i is not null and _y in (0, 1)").groupBy("_i").agg(F.max("_y").alias("_y"))
     if known.count() * 64 <= BROADCAST_BYTES:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("_i"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).join(known, "_i")
+    return docs.select(F.col(id_col).alias("_i"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).join(known, "_i")
+
+
+def drawn(rows: DataFrame, n0: int, n1: int, rows_per_class: int) -> DataFrame:
+    """(_t, _y, weight): at most rows_per_class different rows of each class, those of the smallest hashes; weight: how often each occurs."""
+    place = F.pmod(F.xxhash64("_i", "_t", F.lit(17)), F.lit(1 << 40))
+    # more than will be needed, so that few rows are sorted; repeated rows can only make it fewer, see below
+    share = lambda n: min(1.0, 2 * rows_per_class / n + 50 / n)
+    near = rows.withColumn("_p", place).filter(F.col("_p") < F.when(F.col("_y") == 1, share(n1)).otherwise(share(n0)) * (1 << 40))
+    each = written(near.groupBy("_p", "_i", "_y", "_t").agg(F.count("*").alias("weight")), "sample")
+    few = {r._y: r.n for r in each.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if any(few.get(y, 0) < rows_per_class and share(n) < 1 for y, n in ((0, n0), (1, n1))):
+        # many repeated rows: all different ones
+        each = written(rows.withColumn("_p", place).groupBy("_p", "_i", "_y", "_t").agg(F.count("*").alias("weight")), "sample")
+    halves = [each.filter(F.col("_y") == y).orderBy("_p", "_i").limit(rows_per_class) for y in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("_t", "_y", "weight")
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", certainty: float = CERTAINTY, rows_per_class: int = ROWS_PER_CLASS, penalty: float = PENALTY, steps: int = STEPS) -> Model:
+    """The model of the labelled rows of docs."""
+    rows = labelled(docs, labels, id_col, text_col, label_col)
     counts = rows.select("_t", "_y").mapInArrow(_counts, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = written(counts, "grams").withColumn("all", F.col("f") < 0)
-    total = counts.filter("all").first()
-    n0, n1 = (total.n0, total.n1) if total else (0, 0)
-    none = np.zeros(0, dtype=np.int64)
+    # at most one row a feature
+    held = counts.toArrow()
+    f, c0, c1 = (np.asarray(held[c]) for c in ("f", "n0", "n1"))
+    n0, n1 = (int(c[f < 0].sum()) for c in (c0, c1))
+    ratio = np.zeros(1 << BITS)
     if not n0 or not n1:
         share = min(max(n1 / max(n0 + n1, 1), 1e-9), 1 - 1e-9)
-        return Model(none, none.astype(float), float(np.log(share / (1 - share))))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    there = a + b
-    chi = F.pow(a * n0 - b * n1, 2) / (there * (n0 + n1 - there) + 1)
-    best = counts.filter("not all").orderBy(chi.desc(), "f").limit(features).collect()
-    best.sort(key=lambda x: x.f)
-    chosen = np.array([x.f for x in best], dtype=np.int64)
-    c0, c1 = (np.array([getattr(x, c) for x in best], dtype=float) for c in ("n0", "n1"))
-    ratio = np.log((c1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((c0 + SMOOTH) / (n0 + 2 * SMOOTH))
-    wanted = np.zeros(1 << BITS, dtype=bool)
-    wanted[chosen] = True
-    drawn = F.pmod(F.xxhash64("_i", F.lit(17)), F.lit(1 << 30))
-    share = F.when(F.col("_y") == 1, F.lit(min(1.0, rows_per_class / n1))).otherwise(F.lit(min(1.0, rows_per_class / n0)))
-    sample = rows.filter(drawn < share * (1 << 30)).select("_t", "_y").mapInArrow(_sparse(wanted), "y int, x binary").limit(3 * rows_per_class).toArrow()
-    y = np.asarray(sample["y"], dtype=float)
-    lists = [np.frombuffer(x, dtype="<i4") for x in sample["x"].to_pylist()]
-    size = np.array([len(x) for x in lists], dtype=np.int64)
-    row, column = np.repeat(np.arange(len(lists)), size), np.searchsorted(chosen, np.concatenate([*lists, none]))
-    weights, bias = fit(row, column, y, ratio, penalty)
-    ones, zeros = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    return Model(chosen, weights, bias + float(np.log(n1 / n0) - np.log(ones / zeros)))
+        return Model(ratio, float(np.log(share / (1 - share))))
+    own = f >= 0
+    ratio[f[own]] = shrunk_ratio(c0[own], c1[own], n0, n1, certainty)
+    sample = drawn(rows, n0, n1, rows_per_class).mapInArrow(_sparse(ratio != 0), "y int, weight long, x binary").toArrow()
+    y, weight = (np.asarray(sample[c], dtype=float) for c in ("y", "weight"))
+    parts = [text_buffer(x) for x in sample["x"].chunks]
+    size = np.concatenate([np.zeros(0, dtype=np.int64), *(np.diff(o) // 4 for _, o in parts)])
+    column = np.concatenate([np.zeros(0, dtype="<i4"), *(np.ascontiguousarray(raw).view("<i4") for raw, _ in parts)])
+    del sample, parts
+    weights, bias = fit(np.append(0, np.cumsum(size)), column, y, weight, ratio, penalty, steps)
+    ones, zeros = weight[y == 1].sum(), weight[y == 0].sum()
+    return Model(weights, bias + float(np.log(n1 / n0) - np.log(ones / zeros)))
 
 
 def score(text: Column, model: Model) -> Column:
     """The probability of label 1 for a text column."""
+    weights, bias = model.weights.astype(np.float32), model.bias
 
     def run(series: pd.Series) -> pd.Series:
-        weight = np.zeros(1 << BITS)
-        weight[model.features] = model.weights
-        wanted = np.zeros(1 << BITS, dtype=bool)
-        wanted[model.features] = True
-        texts, out = series.tolist(), np.full(len(series), model.bias)
-        for lo, hi in _parts(texts):
-            doc, feature = grams(texts[lo:hi], wanted)
-            out[lo:hi] += np.bincount(doc, weights=weight[feature], minlength=hi - lo)
+        out = np.full(len(series), bias)
+        for i, f in Grams().of(series.tolist()):
+            out[i] += weights[f].sum(dtype=np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return F.pandas_udf(run, "double")(F.lower(F.coalesce(text, F.lit(""))))
