@@ -142,3 +142,26 @@ def toxic_scores(rows, penalty, smooth, certainty, sizes=(3, 4, 5, 6)):
             w[g] -= step * slope[g]
         b -= step * sum(errors) / n
     return [1 / (1 + math.exp(-b - sum(w[g] * ratio[g] for g in h if g in ratio))) for h in held]
+
+
+def license_labels(text, index, least, slack):
+    """(labels of the method, best score) by laying every template at every place."""
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = {}
+    names = index.vocabulary
+    for label, template, keys, places in zip(index.labels, index.texts, index.keys, index.places, strict=True):
+        laid = [names[w] for w in template]
+        for at in range(-len(laid), len(words)):
+            score = sum(0 <= at + q < len(words) and words[at + q] == w for q, w in enumerate(laid)) / len(laid)
+            if score < least or score <= found.get(label, 0):
+                continue
+            whole = True
+            for phrase, q in zip(keys, places, strict=True):
+                around = range(at - slack, at + len(laid) + slack) if q is None else range(at + q - slack, at + q + slack + 1)
+                whole &= any(p >= 0 and words[p : p + len(phrase)] == [names[w] for w in phrase] for p in around)
+            if whole:
+                found[label] = score
+    return found

@@ -1,3 +1,5 @@
+import random
+
 from tests.llm import brute
 from tidemark.llm import license_scan as op
 
@@ -41,3 +43,34 @@ def test_two_licences_and_a_long_text_of_licence_words(spark):
     data = [(1, f"{MIT} {gpl}"), (2, f"{prose} {gpl} {prose}"), (3, " ".join(x[1] for x in op.TEMPLATES)), (4, MIT)] + [(10 + i, gpl) for i in range(30)]
     got = {r.doc_id: set(r.labels.split(",")) for r in op.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {1: {"mit", "gpl-3"}, 2: {"gpl-3"}, 3: {x[0] for x in op.TEMPLATES}, 4: {"mit"}} | {10 + i: {"gpl-3"} for i in range(30)}
+
+
+def test_labels_of_the_method_equal_brute_force(spark):
+    rng = random.Random(8)
+    index, data = op.Index(), []
+    for i in range(150):  # templates with words changed, dropped and added, in prose of licence words
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            text += rng.choices(index.vocabulary, k=rng.randint(0, 12))
+            words = op.words_of(rng.choice(op.TEMPLATES)[1])
+            for _ in range(rng.randint(0, max(1, len(words) // 4))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = rng.choices(["other", "the", "license", "version"], k=rng.choice((1, 1, 1, 0)))
+                words = words or ["x"]
+            text += words
+        data.append((i, " ".join(text)))
+    got = {r.doc_id: (r.base_labels, r.labels, r.score) for r in op.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    some = 0
+    for i, text in data:
+        found = brute.license_labels(text, index, op.MIN_SCORE, op.SLACK)
+        base = set(filter(None, got[i][0].split(",")))
+        assert set(filter(None, got[i][1].split(","))) == base | set(found)
+        assert abs(got[i][2] - max([1.0] * bool(base) + list(found.values()), default=0)) < 1e-9
+        some += len(found)
+    assert some > 100
+
+
+def test_five_of_a_hundred_files_carry_a_header(spark):
+    header = " ".join(x[1] for x in op.TEMPLATES if x[0] == "apache-2")
+    docs = spark.createDataFrame([(i, f"file {i} {header if i % 20 == 0 else 'plain'} text") for i in range(1000)], "doc_id long, text string")
+    assert {r.doc_id for r in op.scan(docs).filter("labels = 'apache-2'").collect()} == set(range(0, 1000, 20))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing as op
@@ -70,3 +71,9 @@ def test_little_slack(seed):
     assert sorted(i for s in out for i in s) == list(range(2000))
     assert all(sum(lengths[i] for i in s) <= op.WINDOW for s in out)
     assert len(out) <= -(-sum(lengths) // op.WINDOW) + 60
+
+
+def test_equal_rows_are_dealt_to_several_shards(spark):
+    docs = spark.createDataFrame([(None, None)] * 4000, "doc_id long, text string").repartition(16)
+    got = op.pack(docs, docs_per_shard=250).groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()
+    assert len(got) >= 8 and sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) <= 1000

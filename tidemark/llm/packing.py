@@ -7,9 +7,10 @@ bitset of reachable sums picks the multiset of the remaining lengths whose sum
 comes closest to the room left. Its counts are backtracked from the bitsets, and
 the pick is repeated as often as the remaining counts allow.
 
-Packing needs lengths only, so documents are dealt into shards by hash, some
-`docs_per_shard` in each, and every shard packs its own rests. A shard leaves a
-sequence or two that are not full.
+Packing needs lengths only, so documents are dealt into shards by a hash of their
+id, text and input partition, some `docs_per_shard` in each, and every shard packs
+its own rests. Equal rows of different partitions go to different shards. A shard
+leaves a sequence or two that are not full.
 
 Tokens of a text are those of its pieces (see Encoder), as the default vocabulary
 never joins them; pieces repeat, so each is encoded once a Python worker.
@@ -38,7 +39,7 @@ from tidemark.llm.arrowtext import binary_array, chunks, split_words, text_buffe
 
 WINDOW = 2048
 END_ID = 1
-DOCS_PER_SHARD = 8192
+DOCS_PER_SHARD = 2048
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1 << 20
 #: Encoded pieces that a worker keeps; past that it starts anew.
@@ -281,7 +282,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     with_ids also carries each piece's token ids through the shards' shuffle.
     """
     shards = max(1, -(-docs.count() // docs_per_shard))
-    shard = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(shards)).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), shard.alias("_shard"))
     more = ", ids array<int>" if with_ids else ""
     pieces = rows.mapInArrow(_cut(vocabulary or default_vocabulary(), window, end_id, with_ids), f"_shard int, {PIECES}{more}")
