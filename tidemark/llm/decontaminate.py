@@ -14,11 +14,11 @@ LONG_MASKS any 13 words with two substitutions, 16 with three, 20 with four; wit
 SHORT_MASKS any 5 to 9 with one and 10 to 12 with two. Items of fewer words must
 stand whole, as 80 % of them is all of them.
 
-1. Items become rows of seeds, and their hashes a bit table of at most
+1. Items become rows of seeds, and their hashes a Bloom filter of at most
    2**MOST_BITS bits, built by tasks, that lets most positions of a text go at
    once. It only saves work: past its size more positions travel.
 2. Texts are cut into blocks of word positions, with as many words around them as
-   the longest item has. Only blocks with a seed in the table travel, as codes.
+   the longest item has. Only blocks with a seed in the filter travel, as codes of four bytes a word.
 3. Blocks join seeds by hash, then their items, and each (block, item) is verified
    on all its diagonals at once. Seeds and items are broadcast if their counted
    size is below BROADCAST_BYTES; else both sides are salted, so that neither a
@@ -49,8 +49,9 @@ LEAST_WORDS = 13
 MISMATCH = 4
 CHUNK_BYTES = 1 << 19
 BLOCK_WORDS = 1024
-#: Bits of the table in front of the join, from FEWEST_BITS to MOST_BITS (16 MB) by the number of seeds.
-FEWEST_BITS, MOST_BITS, PART_BITS = 16, 27, 15
+#: Bits of the filter in front of the join, from FEWEST_BITS to MOST_BITS (64 MB) by the number of seeds, and those of one hash set.
+FEWEST_BITS, MOST_BITS, PART_BITS = 16, 29, 15
+PROBES = 4
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
@@ -77,6 +78,10 @@ def word_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix64(rolling(BYTE_CODES[raw])(starts, ends) + (ends - starts).astype(np.uint64)), doc
 
 
+def short(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(32)).astype("<u4")
+
+
 def seeds(codes: np.ndarray, mask: str) -> np.ndarray:
     """The hash under the mask at every position where the mask fits; masks have hashes of their own."""
     n = len(codes) - len(mask) + 1
@@ -107,24 +112,37 @@ def _item_seeds(batches):
                 own = codes[cut[d] : cut[d + 1]]
                 each = [seeds(own, mask) for mask in masks_of(len(own))]
                 value, places = _listed(np.concatenate([*each, own[:0]]), np.concatenate([*(np.arange(len(x), dtype=np.int32) for x in each), np.zeros(0, dtype=np.int32)]))
-                for col, v in zip(cols, (own.tobytes(), len(own), value.view(np.int64), places), strict=True):
+                for col, v in zip(cols, (short(own).tobytes(), len(own), value.view(np.int64), places), strict=True):
                     col.append(v)
         kinds = (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
         yield pa.RecordBatch.from_arrays([batch.column("_i"), batch.column("item_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["_i", "item_id", "w", "n", "s", "places"])
 
 
+def _probe(seed: np.ndarray, j: int, bits: int) -> np.ndarray:
+    return (mix64(seed + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _places(bits: int):
+    def run(batches):
+        for batch in batches:
+            seed = np.asarray(batch.column("s")).view(np.uint64)
+            place = np.unique(np.concatenate([_probe(seed, j, bits) for j in range(PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> PART_BITS), pa.array(place & ((1 << PART_BITS) - 1))], names=["c", "p"])
+
+    return run
+
+
 def _part(table: pa.Table) -> pa.Table:
-    """The bits of one part of the table."""
+    """The bits of one part of the filter."""
     held = np.zeros(1 << PART_BITS, dtype=bool)
-    held[np.asarray(table["p"]) & ((1 << PART_BITS) - 1)] = True
+    held[np.asarray(table["p"])] = True
     return pa.table({"c": pa.array([table["c"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
 
-def front_table(seed: DataFrame, count: int) -> tuple[int, np.ndarray]:
-    """(B, 2**B flags): whether any seed starts with these B bits."""
+def front_filter(seed: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """(B, 2**B bits) of the Bloom filter of the seeds."""
     bits = min(max(FEWEST_BITS, (64 * count).bit_length()), MOST_BITS)
-    place = F.shiftrightunsigned("s", 64 - bits)
-    parts = seed.select(place.alias("p")).distinct().withColumn("c", F.shiftrightunsigned("p", PART_BITS)).groupBy("c").applyInArrow(_part, "c long, bits binary").collect()
+    parts = seed.select("s").mapInArrow(_places(bits), "c long, p long").distinct().groupBy("c").applyInArrow(_part, "c long, bits binary").collect()
     held = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in parts:
         at = r.c << (PART_BITS - 3)
@@ -132,12 +150,20 @@ def front_table(seed: DataFrame, count: int) -> tuple[int, np.ndarray]:
     return bits, held
 
 
+def passes(front: tuple[int, np.ndarray], seed: np.ndarray) -> np.ndarray:
+    """Places of the seeds that the filter holds; it holds a few others too."""
+    bits, held = front
+    at = np.arange(len(seed))
+    for j in range(PROBES):
+        p = _probe(seed[at], j, bits)
+        at = at[((held[p >> 3] << (p & 7).astype(np.uint8)) & np.uint8(0x80)) > 0]
+    return at
+
+
 def _blocks(front, masks: tuple[str, ...], block: int, reach: int):
-    """The blocks of each text that hold a seed of the table."""
+    """The blocks of each text that hold a seed of the filter."""
 
     def run(batches):
-        bits, held = front.value
-        down = np.uint64(64 - bits)
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             ks, ids, rows = batch.column("_k").to_pylist(), batch.column("doc_id").to_pylist(), []
@@ -149,8 +175,7 @@ def _blocks(front, masks: tuple[str, ...], block: int, reach: int):
                 found = []
                 for mask in masks:
                     s = seeds(codes, mask)
-                    p = s >> down
-                    at = np.flatnonzero((held[p >> np.uint64(3)] << (p & np.uint64(7)).astype(np.uint8)) & np.uint8(0x80))
+                    at = passes(front.value, s)
                     at = at[doc[at] == doc[at + len(mask) - 1]]
                     found.append((at, s[at]))
                 at, value = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -165,7 +190,7 @@ def _blocks(front, masks: tuple[str, ...], block: int, reach: int):
                     d, x = int(own[a]), int(part[a])
                     base, stop = max(0, x * block - reach), min(int(size[d]), (x + 1) * block + reach)
                     s, places = _listed(value[a:b], (at[a:b] - first[d]).astype(np.int32))
-                    rows.append((ks[lo + d], ids[lo + d], x, base, codes[first[d] + base : first[d] + stop].tobytes(), s.view(np.int64), places))
+                    rows.append((ks[lo + d], ids[lo + d], x, base, short(codes[first[d] + base : first[d] + stop]).tobytes(), s.view(np.int64), places))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
@@ -212,7 +237,7 @@ def _verify(least: int):
             held = zip(*(batch.column(c).to_pylist() for c in ("_k", "doc_id", "base", "codes", "_i", "item_id", "w", "hits")), strict=True)
             for k, doc_id, base, codes, i, item_id, w, hits in held:
                 diagonals = np.unique(np.concatenate([np.subtract.outer(np.array(x["at"]), np.array(x["places"])).ravel() for x in hits]))
-                if found := overlap(np.frombuffer(codes, dtype=np.uint64), base, np.frombuffer(w, dtype=np.uint64), diagonals, least):
+                if found := overlap(np.frombuffer(codes, dtype="<u4"), base, np.frombuffer(w, dtype="<u4"), diagonals, least):
                     rows.append((k, doc_id, i, item_id, *found))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in VERIFIED.split(", ")])
@@ -242,13 +267,13 @@ def best_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     if not count:
         return spark.createDataFrame([], VERIFIED)
     seed = items.select("_i", F.explode(F.arrays_zip("s", "places")).alias("x")).select("_i", "x.s", "x.places")
-    front = spark.sparkContext.broadcast(front_table(seed, count))
+    front = spark.sparkContext.broadcast(front_filter(seed, count))
     masks = tuple(dict.fromkeys(m for n in sorted(sizes) for m in masks_of(n)))
     found = _keyed(docs, id_col, text_col, "_k", "doc_id").mapInArrow(_blocks(front, masks, max(BLOCK_WORDS, 2 * longest), longest), BLOCKS)
     blocks = written(found.dropDuplicates(["_k", "block"]), "blocks")
     at = blocks.select("_k", "block", F.explode(F.arrays_zip("s", "at")).alias("x")).select("_k", "block", "x.s", "x.at")
     hits = _met(at, seed, "s", 80 * count).groupBy("_k", "block", "_i").agg(F.collect_list(F.struct("at", "places")).alias("hits"))
-    both = _met(hits, items.select("_i", "item_id", "w"), "_i", 8 * words).join(blocks.drop("s", "at"), ["_k", "block"])
+    both = _met(hits, items.select("_i", "item_id", "w"), "_i", 4 * words).join(blocks.drop("s", "at"), ["_k", "block"])
     order = F.struct("matched_words", F.negate("overlap_words").alias("x"), F.negate("doc_start").alias("y"), "item_start")
     best = both.mapInArrow(_verify(least), VERIFIED).groupBy("_k", "_i").agg(F.max_by(F.struct("doc_id", "item_id", "doc_start", "item_start", "overlap_words", "matched_words"), order).alias("best"))
     return best.select("_k", "_i", "best.*")
