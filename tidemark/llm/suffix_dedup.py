@@ -61,13 +61,13 @@ def _refine(rank: np.ndarray, items: np.ndarray, second: np.ndarray) -> np.ndarr
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last one counts as such."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])
     small = np.ones(n, dtype=bool)
     if n > 1:
-        nxt = np.searchsorted(change, np.arange(n - 1))
-        ends = nxt == len(change)
-        at = change[np.minimum(nxt, max(len(change) - 1, 0))] if len(change) else np.zeros(n - 1, dtype=np.int64)
-        small[:-1] = ~ends & (text[at] < text[at + 1]) if len(change) else False
+        # the next place that differs from its successor
+        at = np.where(text[1:] != text[:-1], np.arange(n - 1), n)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        there = np.minimum(at, n - 2)
+        small[:-1] = (at < n) & (text[there] < text[there + 1])
     return small
 
 

@@ -40,9 +40,9 @@ from tidemark.llm.shared import written
 
 CHUNK_BYTES = 1 << 19
 SECOND_CODES = np.uint64(0xA0761D6478BD642F)
-#: Occurrences of a minimiser beyond which its windows travel as hashes, and strings a bucket.
-HEAVY = 4096
-BUCKET_STRINGS = 8192
+#: Occurrences of a minimiser beyond which its windows travel as hashes, and strings a bucket (few, as sorting is fastest in cache).
+HEAVY = 8192
+BUCKET_STRINGS = 1024
 
 
 class Units:
