@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,31 @@ def numeric_range(value: Column, order: Column) -> list[Column]:
 def melted(df: DataFrame, keys: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Wide to long: a row per key and non-null column."""
     return df.unpivot([F.col(k) for k in keys], [F.col(c) for c in columns], name, value).filter(F.col(value).isNotNull())
+
+
+def keyed_by_lane(df: DataFrame, lane: Column, keys: dict[str, list[Column]]) -> DataFrame:
+    """Adds lane and batch_key: the key columns that the row's lane groups by, joined."""
+    out = df.withColumn("lane", lane)
+    key = F.coalesce(*(F.when(F.col("lane") == name, F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))) for name, columns in keys.items()))
+    return out.withColumn("batch_key", key)
+
+
+def batched(df: DataFrame, group: list[str], id_col: str, url_col: str, score_col: str, ids: int = 20, urls: int = 5) -> DataFrame:
+    """Of each group: count, best score, first ids and first distinct urls by id. Lists are cut to what the report shows."""
+    first_urls = df.groupBy(*group, url_col).agg(F.min(id_col).alias("_at")).groupBy(*group).agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("_at", url_col))), 1, urls), lambda x: x[url_col]).alias("urls"))
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(id_col)))
+    heads = numbered.groupBy(*group).agg(F.count("*").alias("n"), F.max(score_col).alias("best"), F.sort_array(F.collect_list(F.when(F.col("_n") <= ids, F.col(id_col)))).alias("ids"))
+    return heads.join(first_urls, group, "left")
+
+
+def head_and_union(df: DataFrame, keys: list[str], order: list, head: list[str], union: str) -> DataFrame:
+    """Of each group the `head` columns of its first row, its size and the distinct values of `union`, in order."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = df.withColumn("_first", first)
+    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_first") == 1, F.col(c))).alias(c) for c in head), F.count("*").alias("n"), F.sort_array(F.collect_set(union)).alias(union))
+
+
+def tally(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(dimension, value, n): how often each value of each column occurs, in one shuffle."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")
+    return df.select(pairs).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))

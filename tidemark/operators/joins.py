@@ -13,22 +13,24 @@ def with_latest(left: DataFrame, right: DataFrame, keys: list[str], order: list,
     return left.join(top_k(right, keys, order), keys, how)
 
 
-def fallback(left: DataFrame, own: DataFrame, own_key: list[str], other: DataFrame, keys: list[str], fits: Column, order: list, tag: str) -> DataFrame:
+def fallback(left: DataFrame, own: DataFrame, own_key: list[str], other: DataFrame, keys: list[str], fits: Column, order: list, both: Column | None = None, tag: str | None = None) -> DataFrame:
     """Rows of left without any row in `own` by own_key, with the first row of `other` on keys that fits; null where none does.
 
-    tag: the column of left that identifies a row.
+    fits and order read columns of `other` alone, so it is ranked before the join, one row a key. A condition `both` that
+    reads left's columns too makes each pair of a key a candidate; `tag` then is the column that identifies a row of left.
     """
     lacking = left.join(own.select(*own_key).distinct(), own_key, "left_anti")
-    found = top_k(lacking.join(other, keys).filter(fits), [tag], order)
+    if both is None:
+        return lacking.join(top_k(other.filter(fits), keys, order), keys, "left")
+    found = top_k(lacking.join(other.filter(fits), keys).filter(both), [tag], order)
     extra = [c for c in found.columns if c not in left.columns]
     return lacking.join(found.select(tag, *extra), tag, "left")
 
 
-def tiered(left: DataFrame, right: DataFrame, keys: list[str], tier: Column, order: list, tag: str) -> DataFrame:
-    """left with one row of right on keys: of the smallest non-null tier, then by order."""
-    found = left.join(right, keys).withColumn("_tier", tier).filter("_tier is not null")
-    best = top_k(found, [tag], ["_tier", *order])
-    return left.join(best.select(tag, "_tier", *[c for c in right.columns if c not in keys]), tag, "left").withColumnRenamed("_tier", "tier")
+def tiered(left: DataFrame, right: DataFrame, keys: list[str], tier: Column, order: list) -> DataFrame:
+    """left with one row of right on keys: of the smallest non-null tier, then by order; both read right's columns, so it is ranked before the join."""
+    best = top_k(right.withColumn("tier", tier).filter("tier is not null"), keys, ["tier", *order])
+    return left.join(best, keys, "left")
 
 
 def compared(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -52,10 +54,13 @@ def scaffold(keys: DataFrame, domain: list[int], name: str, sources: dict[str, D
     return out
 
 
-def ranked_with_default(gaps: DataFrame, candidates: DataFrame, key: str, dedup: list[str], order: list, k: int) -> DataFrame:
-    """Of each gap the first k distinct candidates with their rank; a gap without any keeps one row of rank 0."""
-    best = top_k(top_k(candidates, [key, *dedup], order), [key], order, k, rank="rank")
-    return gaps.join(best, key, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+def ranked_with_default(gaps: DataFrame, candidates: DataFrame, keys: list[str], dedup: list[str], order: list, k: int) -> DataFrame:
+    """Each gap with the first k distinct candidates of its keys and their rank; a gap without any keeps one row of rank 0.
+
+    Candidates are ranked by their own keys before they meet the gaps.
+    """
+    best = top_k(top_k(candidates, [*keys, *dedup], order), keys, order, k, rank="rank")
+    return gaps.join(best, keys, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
 def with_extra_tier(first: DataFrame, extra: DataFrame, key: str, fewer_than: int) -> DataFrame:
@@ -112,3 +117,57 @@ def overlapping(df: DataFrame, array: str, ids: DataFrame, key: str, tag: str) -
     """Rows of df whose array shares an element with ids, once each."""
     hits = df.select(tag, F.explode(array).alias(key)).join(ids.select(key).distinct(), key, "left_semi").select(tag).distinct()
     return df.join(hits, tag, "left_semi")
+
+
+def same_place(chosen: DataFrame, places: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """The ids of all places that equal a chosen one in keys; null equals null."""
+    want, n = chosen.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct(), len(keys)
+    cond = [F.col(keys[i]).eqNullSafe(F.col(f"_{keys[i]}")) for i in range(n)]
+    return places.join(want, cond, "left_semi").select(id_col, *keys)
+
+
+def siblings(df: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Each row with the ids of the other rows of its group, in order; rows alone have none. Groups are gathered once, not paired."""
+    every = df.groupBy(*group).agg(F.sort_array(F.collect_set(id_col)).alias("siblings"))
+    return df.join(every, group).withColumn("siblings", F.array_remove("siblings", F.col(id_col)))
+
+
+def with_each_latest(left: DataFrame, sides: dict[str, tuple[DataFrame, list]], key: str) -> DataFrame:
+    """left with, of each side, the first row of its key by an order; columns get the side's name in front."""
+    for name, (right, order) in sides.items():
+        best = top_k(right, [key], order)
+        left = left.join(best.select(key, *(F.col(c).alias(f"{name}_{c}") for c in best.columns if c != key)), key, "left")
+    return left
+
+
+def split_by(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with `found`: whether its key is in right."""
+    known = right.select(key).distinct().withColumn("found", F.lit(True))
+    return left.join(known, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def with_national(rows: DataFrame, national: DataFrame, year: str, count: str) -> DataFrame:
+    """Rows whose count is 0 count 1 in years that `national` has."""
+    years = national.select(year).distinct().withColumn("_national", F.lit(1))
+    return rows.join(years, year, "left").withColumn(count, F.when((F.col(count) == 0) & F.col("_national").isNotNull(), 1).otherwise(F.col(count))).drop("_national")
+
+
+def by_indexes(gaps: DataFrame, key: str, indexes: list[tuple[DataFrame, list[str]]], last: tuple[DataFrame, list[str]], fewer_than: int, source: str) -> DataFrame:
+    """(key, source, via): sources of each gap by every index in turn, the first that has it counts; those of `last` only for gaps of fewer than that."""
+    found = None
+    for via, (right, on) in enumerate(indexes):
+        part = gaps.join(right, on).select(key, source, F.lit(via).alias("via"))
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(key, source).agg(F.min("via").alias("via"))
+    counts = found.groupBy(key).agg(F.count("*").alias("_n"))
+    few = gaps.join(counts, key, "left").filter(F.coalesce("_n", F.lit(0)) < fewer_than).drop("_n")
+    more = few.join(last[0], last[1]).select(key, source, F.lit(len(indexes)).alias("via")).join(found, [key, source], "left_anti")
+    return found.unionByName(more.distinct())
+
+
+def first_scoped(rows: DataFrame, tracks: DataFrame, key: str, id_col: str, scopes: list[Column], order: list) -> DataFrame:
+    """Each row with the first track of its key by the first scope condition that holds; a row that none fits keeps null."""
+    scope = F.coalesce(*(F.when(c, i) for i, c in enumerate(scopes)))
+    best = top_k(rows.join(tracks, key).withColumn("scope", scope).filter("scope is not null"), [id_col], ["scope", *order])
+    extra = [c for c in tracks.columns if c != key]
+    return rows.join(best.select(id_col, "scope", *extra), id_col, "left")

@@ -132,3 +132,43 @@ def series_priority(years: Column, score_rows: Column, metrics: Column, mixed: C
         F.lit(0),
         years * 12 + F.least(score_rows * 5, F.lit(80)) + F.least(metrics, F.lit(50)) + F.when(years >= 5, 50).otherwise(0) + F.when(years == domain, 30).otherwise(0) - F.when(mixed, 10).otherwise(0),
     )
+
+
+# --- fixed values: points of evidence ---
+EVIDENCE_TYPE = {"workbook_row": 24, "workbook_sheet": 18, "pdf_page_image": 10, "pdf_snippet": 12, "hwp_snippet": 12, "office_document_snippet": 12}
+SNIPPETS = ("pdf_snippet", "hwp_snippet", "office_document_snippet")
+EVIDENCE_ROLE = {
+    "admission_result_table": 20, "admission_result_row": 20, "competition_rate_table": 20, "competition_rate_row": 20,
+    "csat_reflection_rule": 16, "screening_method": 16, "screening_method_row": 16, "recruitment_quota_table": 16, "recruitment_quota_row": 16, "eligibility_rule": 16, "school_record_rule": 16,
+    "schedule_and_registration": 8, "schedule_row": 8, "low_text_pdf_page_image": 6,
+}
+LINK_ROLE = {"admission_result": 14, "competition_rate": 12, "recruitment_notice": 8}
+LANES = {
+    "AdmissionUnit": "admission_unit_core", "GradeCutReference": "kice_score_reference", "StandardScoreDistributionReference": "kice_score_reference",
+    "University": "university_master", "AdmissionUnitClusterReview": "continuity_review", "HistoricalOutcomeSeriesReview": "continuity_review",
+}
+# --- end of fixed values ---
+
+
+def points(value: Column, table: dict[str, int]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), value), F.lit(0))
+
+
+def evidence_score(kind: Column, role: Column, link: Column, score: Column) -> Column:
+    """20 and the points of type, role and link; a snippet adds its own score up to 20."""
+    own = F.when(kind.isin(*SNIPPETS), F.least(F.lit(20), F.coalesce(score, F.lit(0)))).otherwise(0)
+    return 20 + points(kind, EVIDENCE_TYPE) + own + points(role, EVIDENCE_ROLE) + points(link, LINK_ROLE)
+
+
+def window_score(text: Column, matched: Column) -> Column:
+    """Two a keyword, one for twelve digits up to 8, one a line of three cells or more up to 6."""
+    rows = F.filter(F.split(text, "\n"), lambda line: F.size(F.split(F.trim(line), r"\s{2,}")) >= 3)
+    return matched * 2 + F.least(F.lit(8), F.floor(F.regexp_count(text, F.lit(r"[0-9]")) / 12)) + F.least(F.lit(6), F.size(rows))
+
+
+def review_lane(target: Column, artifact: Column, year: Column) -> Column:
+    """The queue that a decision belongs to."""
+    core = (target == "HistoricalOutcome") & (artifact == "foundation_historical_outcomes")
+    next_year = target.isin("AdmissionRule", "AdmissionSchedule") & (year == "2027")
+    of = F.create_map(*(F.lit(x) for kv in LANES.items() for x in kv))
+    return F.when(core, "historical_outcome_core").when(next_year, "rule_schedule_2027").otherwise(F.coalesce(F.try_element_at(of, target), F.lit("other_p0_review")))

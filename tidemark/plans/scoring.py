@@ -451,10 +451,11 @@ def reason_codes(rule: Column, subjects: Column, exam_type: Column, found: Colum
     return tuple(F.array_compact(F.array(*(F.when(c, code) for c, code in x))) for x in (reasons, warnings))
 
 
-def analyzed(candidates: DataFrame) -> DataFrame:
+def analyzed(candidates: DataFrame, codes: bool = True) -> DataFrame:
     """Candidates (subjects, exam_type, rule, history struct(cut_score, percentile_cut, additional_pass), quota, prev_quota) with the analysis.
 
-    kind is ok, ineligible, unsupported or insufficientData; the other added columns are set where kind is ok.
+    kind is ok, ineligible, unsupported or insufficientData; the other added columns are set where kind is ok. Without
+    `codes`, reason_codes and warnings are not computed.
     """
     rule, subjects, past = F.col("rule"), F.col("subjects"), F.col("history")
     df = candidates.withColumn("_failed", eligibility_failures(rule, subjects))
@@ -467,10 +468,15 @@ def analyzed(candidates: DataFrame) -> DataFrame:
     df = df.withColumn("kind", kind).withColumn("confidence", confidence(c["method"], c["stand_in"], past.isNotNull()))
     moved = band_adjustment(F.col("quota"), F.col("prev_quota"), past["additional_pass"], english_spread(rule), Scores(subjects).of("english")["grade"], F.coalesce(rule["inquiry_policy"]["conversion_risk"], F.lit(False)), F.col("exam_type"), F.col("confidence"))
     df = df.withColumn("band", band(F.col("_gap"), c["scale"], moved, F.col("confidence")))
-    reasons, warnings = reason_codes(rule, subjects, F.col("exam_type"), F.col("band"), F.col("confidence"), F.col("quota") < 10)
-    df = df.withColumn("_codes", F.explode(F.array(F.struct(F.col("band").alias("band"), F.col("confidence").alias("confidence"), reasons.alias("reasons"), warnings.alias("warnings")))))
+    settled = [F.col("band").alias("band"), F.col("confidence").alias("confidence")]
+    if codes:
+        reasons, warnings = reason_codes(rule, subjects, F.col("exam_type"), F.col("band"), F.col("confidence"), F.col("quota") < 10)
+        settled += [reasons.alias("reason_codes"), warnings.alias("warnings")]
+    df = df.withColumn("_codes", F.explode(F.array(F.struct(*settled))))
     fine, x = F.col("kind") == "ok", F.col("_codes")
-    added = {"converted_score": c["score"], "reference_score": F.col("_ref"), "score_gap": F.col("_gap"), "band": x["band"], "confidence": x["confidence"], "reason_codes": x["reasons"], "warnings": x["warnings"]}
+    added = {"converted_score": c["score"], "reference_score": F.col("_ref"), "score_gap": F.col("_gap"), "band": x["band"], "confidence": x["confidence"]}
+    if codes:
+        added |= {"reason_codes": x["reason_codes"], "warnings": x["warnings"]}
     return df.withColumns({k: F.when(fine, v) for k, v in added.items()}).drop("_failed", "_c", "_ref", "_gap", "_codes")
 
 
@@ -564,3 +570,11 @@ def rule_struct(**fields: Column) -> Column:
     if unknown:
         raise ValueError(f"not fields of a rule: {sorted(unknown)}")
     return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+
+
+def band_changes(before: DataFrame, after: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """Of two runs (keys, unit, band): how many units changed bands and how many came to match or better; keys without changes have no row."""
+    a, b = (run.select(*keys, unit, F.col("band").alias(name)) for run, name in ((before, "before"), (after, "after")))
+    both = a.join(b, [*keys, unit], "full").filter(~F.col("before").eqNullSafe(F.col("after")))
+    good = lambda c: F.coalesce(band_rank(F.col(c)) <= band_rank(F.lit("match")), F.lit(False))
+    return both.groupBy(*keys).agg(F.count("*").alias("changed"), F.count_if(good("after") & ~good("before")).alias("moved_to_match_or_better"))
