@@ -9,9 +9,9 @@ equal windows have equal minimisers and so always meet in a bucket.
    whose minimiser occurs once in the corpus cannot repeat, so its string need not
    travel. This is exact: nothing that could repeat is left out.
 2. Documents join the repeated minimisers they hold and pack those super-k-mers.
-   Equal strings met in one batch settle there: all their windows repeat, one
+   Equal strings met in one chunk of a batch settle there: all their windows repeat, one
    copy travels on behalf of all. A group of copies thus sends at most one
-   string a batch, however large it is.
+   string a chunk, however large it is.
 3. Buckets settle the distinct strings, by a function of the caller (sorting).
    Their number follows from the counted minimisers, so a bucket stays small.
 4. Spans of repeated windows return to their documents.
@@ -19,7 +19,7 @@ equal windows have equal minimisers and so always meet in a bucket.
 A minimiser with more than `heavy` occurrences has no bucket: strings around one
 common passage differ at its ends and would all meet there. Its windows travel
 as hashes of 128 bits instead, each to the bucket of its own hash and, of equal
-ones met in a batch, once. So no bucket grows with a passage's number of copies.
+ones met in a chunk, once. So no bucket grows with a passage's number of copies.
 
 Several window lengths (levels) are settled at once: minimisers are those of the
 shortest one, and strings reach as far as the longest one from each start.
@@ -28,6 +28,7 @@ The documents' shuffle by key is the same in steps 2 and 4 and so written once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -169,14 +170,13 @@ def _window_codes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _pack(units: Units, buckets: int):
-    """Super-k-mers of repeated minimisers; equal ones of a batch settle at once."""
+    """Super-k-mers of repeated minimisers; equal ones of a chunk settle at once."""
 
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("_t"))
             ks, ids = batch.column("_k").to_pylist(), batch.column("_id").to_pylist()
             hots, heavies = batch.column("hot"), batch.column("heavy")
-            rows: list[tuple] = []
             for lo, hi in chunks(offsets, CHUNK_BYTES):
                 o = offsets[lo : hi + 1]
                 codes, size = units.codes(raw[o[0] : o[-1]], o - o[0])
@@ -189,6 +189,7 @@ def _pack(units: Units, buckets: int):
                 many = _among(key[keep], _unsigned(heavies, lo, hi))
                 stops = np.minimum(start + n - 1 + units.reach, size[doc])
                 current, words = -1, None
+                rows: list[tuple] = []
                 seen: dict[bytes, list] = {}
                 for i, big in zip(keep.tolist(), many.tolist(), strict=True):
                     d, a, stop = int(doc[i]), int(start[i]), int(stops[i])
@@ -208,15 +209,19 @@ def _pack(units: Units, buckets: int):
                         rows.append((x[0] % buckets, None, 2, x[2], *own))
                 rows += [(b, s, m, w, *(own if m == 1 else (None,) * 4)) for s, (b, m, w, own, _) in seen.items() if b >= 0]
                 big = [(at, w, own[3] - own[2], m > 1, own[:3] if m == 1 else (None, None, None)) for b, m, w, own, at in seen.values() if b < 0]
+                yield from _packed(rows)
+                del rows, seen
                 if big:
-                    rows += _hashed(units, codes, big, buckets)
-            for i in range(0, len(rows), 4096):
-                cols = zip(*rows[i : i + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
+                    yield from _packed(_hashed(units, codes, big, buckets))
 
     return run
 
 
+def _packed(rows):
+    for some in itertools.batched(rows, 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*some, strict=True), PACKED, strict=True)], schema=PACKED)
+
+
 def _settle(units: Units, resolve: Callable):
     """Of a bucket's strings and window hashes, the spans of windows that occur twice or more."""
     schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("level", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
