@@ -40,7 +40,7 @@ def candidate_filters(spark, sf):
 
 @query("select o_orderkey, year(o_orderdate) as year from orders where year(o_orderdate) = 1998 and o_orderstatus <> 'F'")
 def rule_filter(spark, sf):
-    return table(spark, sf, "orders").withColumn("year", _year("o_orderdate")).filter("year = 1998 and o_orderstatus <> 'F'").select("o_orderkey", "year")
+    return table(spark, sf, "orders").withColumn("year", _year("o_orderdate")).filter("year = 1998 and o_orderstatus <> 'F'").select("o_orderkey", F.col("year").cast("long").alias("year"))
 
 
 @query("select o_orderkey, case when o_orderkey % 3 <> 0 then o_totalprice / 300000 between 0.2 and 1.2 else o_totalprice / 3000 between 20 and 100 end as fits from orders")
@@ -160,7 +160,7 @@ def national_schedule(spark, sf):
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     o = table(spark, sf, "orders").withColumn("year", _year("o_orderdate")).join(people, "o_custkey")
     cells = joins.scaffold(table(spark, sf, "nation"), YEARS, "year", {"n": o.filter("o_orderstatus = 'P' and o_totalprice > 300000")}, "n_nationkey")
-    return joins.with_national(cells, o.filter("o_totalprice > 400000"), "year", "n").select("n_nationkey", "year", F.col("n").cast("long").alias("n"))
+    return joins.with_national(cells, o.filter("o_totalprice > 400000"), "year", "n").select("n_nationkey", F.col("year").cast("long").alias("year"), F.col("n").cast("long").alias("n"))
 
 
 @query("""
@@ -171,7 +171,7 @@ few as (select gap, n_nationkey from g left join (select gap, count(*) as n from
 select gap, s_suppkey, via from i union all select gap, s_suppkey, 3 from few join s on s_nationkey = n_nationkey where s_acctbal >= 7000 and (gap, s_suppkey) not in (select (gap, s_suppkey) from i)
 """)
 def source_indexes(spark, sf):
-    gaps = table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, YEARS))).alias("year")).withColumn("gap", F.col("n_nationkey") * 10000 + F.col("year"))
+    gaps = table(spark, sf, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, YEARS))).alias("year")).withColumn("gap", F.col("n_nationkey").cast("long") * 10000 + F.col("year"))
     k = F.col("s_suppkey")
     s = table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     years = [(1995 + F.floor(k / d) % 7).cast("int").alias("year") for d in (1, 7, 49)]
@@ -231,7 +231,7 @@ def review_batches(spark, sf):
 select l_returnflag, l_linestatus, year(l_shipdate) as year, l_linenumber, count(*) as n, sum(l_quantity) as quantity, max(l_extendedprice) as best, count(distinct l_suppkey) as suppliers, min(l_orderkey) as first from lineitem group by all
 """)
 def crawler_worklist(spark, sf):
-    group = ["l_returnflag", "l_linestatus", _year("l_shipdate").alias("year"), "l_linenumber"]
+    group = ["l_returnflag", "l_linestatus", _year("l_shipdate").cast("long").alias("year"), "l_linenumber"]
     return table(spark, sf, "lineitem").groupBy(*group).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("best"), F.count_distinct("l_suppkey").alias("suppliers"), F.min("l_orderkey").alias("first"))
 
 
