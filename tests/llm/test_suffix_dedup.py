@@ -26,8 +26,8 @@ def test_two_stage_order_is_the_order_of_suffixes(symbols, last):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.randoms(use_true_random=False), st.sampled_from([(5, 12), (8, 8), (20, 33), (40, 61)]))
-def test_spans_equal_brute_force(rng, levels):
+@given(st.randoms(use_true_random=False), st.sampled_from([5, 8, 12, 20, 33, 40, 61]))
+def test_spans_equal_brute_force(rng, k):
     base = bytes(rng.choices(b"ab c\0", k=300))
     strings = []
     for _ in range(6):
@@ -35,13 +35,11 @@ def test_spans_equal_brute_force(rng, levels):
         for _ in range(rng.randint(0, 3)):
             s[rng.randrange(len(s))] = rng.choice(b"abcz")
         strings.append(bytes(s))
-    starts = np.array([len(s) - levels[0] + 1 for s in strings])
-    got = op.resolve_bytes(strings, np.zeros(len(strings), dtype=bool), starts, levels)
-    for level, k in enumerate(levels):
-        seen = Counter(s[i : i + k] for s in strings for i in range(len(s) - k + 1))
-        for j, s in enumerate(strings):
-            want = brute.cover(len(s), [i for i in range(len(s) - k + 1) if seen[s[i : i + k]] > 1], k)
-            assert brute.cover(len(s), [x for lv, a, b in got.get(j, []) if lv == level for x in range(a, b)], 1) == want
+    got = op.resolve_bytes(strings, np.zeros(len(strings), dtype=bool), k)
+    seen = Counter(s[i : i + k] for s in strings for i in range(len(s) - k + 1))
+    for j, s in enumerate(strings):
+        want = brute.cover(len(s), [i for i in range(len(s) - k + 1) if seen[s[i : i + k]] > 1], k)
+        assert brute.cover(len(s), [x for a, b in got.get(j, []) for x in range(a, b)], 1) == want
 
 
 @settings(max_examples=200, deadline=None)
@@ -57,8 +55,8 @@ def test_common_prefixes_are_whole(raw, data):
 
 def test_equals_brute_force_on_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = brute.suffix_dedup([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], op.WINDOW_BYTES, op.SHARED_BYTES)
-    assert sum(x[2] for x in want) > 0 and any(x[5] and not x[2] for x in want)
+    want = brute.suffix_dedup([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], op.WINDOW_BYTES)
+    assert sum(x[2] for x in want) > 0
     assert rows_of(op.digest(docs)) == sorted(want, key=repr)
 
 
@@ -67,7 +65,7 @@ def test_edge_cases(spark):
     passage = "".join(rng.choices("abcdé fgh\n", k=900))
     data = [(1, None), (2, ""), (3, passage), (4, "x" + passage + "y"), (5, "a" * 2000), (6, "ab" * 700), (7, passage[:399]), (8, passage), (8, passage), (None, passage[100:600])]
     docs = spark.createDataFrame([(i, t, "z") for i, t in data], SCHEMA)
-    assert rows_of(op.digest(docs)) == sorted(brute.suffix_dedup(data, op.WINDOW_BYTES, op.SHARED_BYTES), key=repr)
+    assert rows_of(op.digest(docs)) == sorted(brute.suffix_dedup(data, op.WINDOW_BYTES), key=repr)
     assert op.digest(docs.limit(0)).count() == 0
 
 
@@ -78,10 +76,10 @@ def test_windows_of_heavy_minimisers_travel_as_hashes(spark):
     data = [(i, text(rng.randint(0, 300)) + (passage if i % 3 else short) + text(rng.randint(0, 300))) for i in range(60)]
     data += [(100 + i, passage + text(50)) for i in range(5)] + [(200, passage), (200, passage), (201, "ab" * 900)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
-    want = brute.suffix_dedup(data, op.WINDOW_BYTES, op.SHARED_BYTES)
-    units = Units("bytes", (op.SHARED_BYTES, op.WINDOW_BYTES), op.GRAM_BYTES)
+    want = brute.suffix_dedup(data, op.WINDOW_BYTES)
+    units = Units("bytes", op.WINDOW_BYTES, op.GRAM_BYTES)
     rows = keyed(docs, "doc_id", "text")
     for heavy in (1, 3, 40):
         spans = repeated_spans(rows, units, op.resolve_bytes, heavy=heavy, bucket_strings=7)
-        got = rows.join(spans, "_k", "left").mapInArrow(op._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
+        got = rows.join(spans, "_k", "left").mapInArrow(op._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         assert rows_of(got) == sorted(want, key=repr)

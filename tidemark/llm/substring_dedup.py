@@ -28,9 +28,8 @@ WINDOW_WORDS = 35
 GRAM_WORDS = 8
 
 
-def resolve_words(strings: list[bytes], twice: np.ndarray, starts_of: np.ndarray, levels: tuple[int, ...]) -> dict[int, list[tuple[int, int, int]]]:
-    """(0, start, stop) of windows of levels[0] words that occur in two places of `strings`, or in one that is marked `twice`."""
-    k = levels[0]
+def resolve_words(strings: list[bytes], twice: np.ndarray, k: int) -> dict[int, list[tuple[int, int]]]:
+    """Spans of windows of k words that occur in two places of `strings`, or in one that is marked `twice`."""
     offsets = np.zeros(len(strings) + 1, dtype=np.int64)
     np.cumsum([len(s) for s in strings], out=offsets[1:])
     blob = b"".join(strings)
@@ -75,14 +74,13 @@ def resolve_words(strings: list[bytes], twice: np.ndarray, starts_of: np.ndarray
     else:
         flags[order[same]] = True
         flags[order[same + 1]] = True
-    spans = spans_of_windows(flags & ~twice[owner], owner, pos - first[owner], k)
-    return {i: [(0, a, b) for a, b in x] for i, x in spans.items()}
+    return spans_of_windows(flags & ~twice[owner], owner, pos - first[owner], k)
 
 
 def repeated_word_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """(keyed documents, their repeated spans) with one row per row of docs: _k, _id, _t, spans."""
     rows = keyed(docs, id_col, text_col)
-    return rows.join(repeated_spans(rows, Units("words", (window,), gram), resolve_words), "_k", "left")
+    return rows.join(repeated_spans(rows, Units("words", window, gram), resolve_words), "_k", "left")
 
 
 def _own(spans, own_id) -> list[tuple[int, int]]:
@@ -130,7 +128,7 @@ def _strip(batches):
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
     """docs with the words of repeated windows taken out of their texts, other text left as it is. All rows and columns stay."""
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows, Units("words", (window,), gram), resolve_words)
+    spans = repeated_spans(rows, Units("words", window, gram), resolve_words)
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *rows_key(docs, id_col, text_col))
     joined = own.join(spans, "_k", "left").select("_row", "_id", "_t", "spans")
     done = joined.mapInArrow(_strip, StructType([joined.schema["_row"], StructField("_text", StringType())]))

@@ -14,7 +14,7 @@ suffixes are sorted in two stages:
 
 Neighbours in that order then get the length of their common prefix, up to the
 window. A place's longest one tells whether a string of k bytes starts there that
-also starts elsewhere: with WINDOW_BYTES it is removed, with SHARED_BYTES counted.
+also starts elsewhere.
 
 Cases: null and empty texts have no bytes; repeated rows are separate documents;
 texts of any length are processed whole; ids may be null. Matches never cross
@@ -33,8 +33,6 @@ from tidemark.llm.arrowtext import merged
 from tidemark.llm.superkmer import Units, keyed, repeated_spans, spans_of_windows
 
 WINDOW_BYTES = 400
-#: Shorter repeats are reported, not removed: passages of some 40 words are below the window.
-SHARED_BYTES = 256
 GRAM_BYTES = 40
 #: (symbol, type) pairs of ten bits in one 64-bit name.
 PER_NAME = 6
@@ -159,15 +157,13 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def common_prefixes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, least: int = 0) -> np.ndarray:
-    """Length of the common prefix of raw[a:] and raw[b:], pair by pair, up to `most`; 0 for pairs that differ before `least`."""
+def common_prefixes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of raw[a:] and raw[b:], pair by pair, up to `most`."""
     wide = np.zeros(len(raw) + most + 8, dtype=np.uint8)
     wide[: len(raw)] = raw
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(np.uint64).ravel()
     out = np.zeros(len(a), dtype=np.int64)
     live = np.arange(len(a))
-    if least >= 8:  # neighbours that differ at all mostly differ there
-        live = live[eight[a + least - 8] == eight[b + least - 8]]
     for at in range(0, most, 8):
         differ = eight[a[live] + at] ^ eight[b[live] + at]
         ended = differ != 0
@@ -176,21 +172,18 @@ def common_prefixes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, le
             out[live[ended]] = at + np.floor(np.log2(low.astype(np.float64))).astype(np.int64) // 8
             live = live[~ended]
     out[live] = most
-    return np.where(out >= least, np.minimum(out, most), 0)
+    return np.minimum(out, most)
 
 
-def resolve_bytes(strings: list[bytes], twice: np.ndarray, starts: np.ndarray, levels: tuple[int, ...]) -> dict[int, list[tuple[int, int, int]]]:
-    """(level, start, stop) of strings of levels[level] bytes that start in two places of `strings`, or in one that is marked `twice`.
-
-    starts: the number of places in each string, from its first one, that may start such a string.
-    """
+def resolve_bytes(strings: list[bytes], twice: np.ndarray, k: int) -> dict[int, list[tuple[int, int]]]:
+    """Spans of strings of k bytes that start in two places of `strings`, or in one that is marked `twice`."""
     size = np.array([len(s) for s in strings], dtype=np.int64)
     raw = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
     text = raw.astype(np.int64) + 1
     first = np.cumsum(size + 1) - size - 1
     text[first + size] = 0
-    order = suffix_order(text, levels[-1])
-    windows = np.minimum(starts, np.maximum(size - levels[0] + 1, 0))
+    order = suffix_order(text, k)
+    windows = np.maximum(size - k + 1, 0)
     owner = np.repeat(np.arange(len(size)), windows)
     at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     pos = first[owner] + at
@@ -200,43 +193,39 @@ def resolve_bytes(strings: list[bytes], twice: np.ndarray, starts: np.ndarray, l
     order = order[order >= 0]
     a, b = order[:-1], order[1:]
     left = (size[owner] - at)[order]
-    prefix = np.minimum(common_prefixes(raw, pos[a], pos[b], levels[-1], levels[0]), np.minimum(left[:-1], left[1:]))
+    prefix = np.minimum(common_prefixes(raw, pos[a], pos[b], k), np.minimum(left[:-1], left[1:]))
     longest = np.zeros(len(pos), dtype=np.int64)
     np.maximum.at(longest, a, prefix)
     np.maximum.at(longest, b, prefix)
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for level, k in enumerate(levels):
-        for i, spans in spans_of_windows((longest >= k) & ~twice[owner], owner, at, k).items():
-            out.setdefault(i, []).extend((level, x, y) for x, y in spans)
-    return out
+    return spans_of_windows((longest >= k) & ~twice[owner], owner, at, k)
 
 
-def repeated_byte_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_BYTES, shared: int = SHARED_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
-    """One row per row of docs: _k, _id, _t and the byte spans of its repeated strings, of level 0 (`shared` bytes) and 1 (`window` bytes)."""
+def repeated_byte_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
+    """One row per row of docs: _k, _id, _t and the byte spans of its repeated strings."""
     rows = keyed(docs, id_col, text_col)
-    return rows.join(repeated_spans(rows, Units("bytes", (shared, window), gram), resolve_bytes), "_k", "left")
+    return rows.join(repeated_spans(rows, Units("bytes", window, gram), resolve_bytes), "_k", "left")
 
 
 def _digests(batches):
     for batch in batches:
-        out = [[], [], [], [], [], []]
+        out = [[], [], [], [], []]
         for i, t, spans in zip(batch.column("_id").to_pylist(), batch.column("_t"), batch.column("spans").to_pylist(), strict=True):
             raw = t.as_buffer().to_pybytes()
-            shared, cut = (merged((x["start"], x["stop"]) for x in spans or () if x["id"] == i and x["level"] == level) for level in (0, 1))
+            cut = merged((x["start"], x["stop"]) for x in spans or () if x["id"] == i)
             digest, at = hashlib.sha256(), 0
             for a, b in cut:
                 digest.update(raw[at:a])
                 at = b
             digest.update(raw[at:])
-            for col, v in zip(out, (i, len(raw), sum(b - a for a, b in cut), len(cut), digest.hexdigest(), sum(b - a for a, b in shared)), strict=True):
+            for col, v in zip(out, (i, len(raw), sum(b - a for a, b in cut), len(cut), digest.hexdigest()), strict=True):
                 col.append(v)
-        kinds = [*[pa.int64()] * 4, pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+        kinds = [*[pa.int64()] * 4, pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (bytes in repeated strings of SHARED_BYTES)."""
-    return repeated_byte_spans(docs).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return repeated_byte_spans(docs).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 ORACLE = r"""
@@ -246,10 +235,7 @@ d as (select r, i from g qualify count(*) over (partition by h) > 1),
 s as (select r, i, sum(fresh::int) over (partition by r order by i) as k from (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 400, true) as fresh from d)),
 e as (select r, min(i) as a, max(i) + 400 as z from s group by r, k),
 p as (select r, octet_length(t) as n, t, a, z, coalesce(lag(z) over (partition by r order by a), 1) as z0, lead(a) over (partition by r order by a) is null as final from b join e using (r)),
-x as (select r, sum(z - a) as n_removed, count(*) as n_spans, unhex(string_agg(hex(t[z0:a - 1]) || case when final then hex(t[z:n]) else '' end, '' order by a)) as kept from p group by r),
-g2 as (select r, i, md5(t[i:i + 255]) as h from (select r, t, unnest(range(1, octet_length(t) - 254)) as i from b where octet_length(t) >= 256)),
-d2 as (select r, i from g2 qualify count(*) over (partition by h) > 1),
-y as (select r, sum(least(256, coalesce(i - before, 256))) as n_shared from (select r, i, lag(i) over (partition by r order by i) as before from d2) group by r)
-select doc_id, octet_length(t) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(case when x.r is null then t else kept end) as kept_sha256, coalesce(n_shared, 0)::bigint as n_shared
-from b left join x using (r) left join y using (r)
+x as (select r, sum(z - a) as n_removed, count(*) as n_spans, unhex(string_agg(hex(t[z0:a - 1]) || case when final then hex(t[z:n]) else '' end, '' order by a)) as kept from p group by r)
+select doc_id, octet_length(t) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(case when x.r is null then t else kept end) as kept_sha256
+from b left join x using (r)
 """

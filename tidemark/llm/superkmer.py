@@ -21,8 +21,6 @@ common passage differ at its ends and would all meet there. Its windows travel
 as hashes of 128 bits instead, each to the bucket of its own hash and, of equal
 ones met in a chunk, once. So no bucket grows with a passage's number of copies.
 
-Several window lengths (levels) are settled at once: minimisers are those of the
-shortest one, and strings reach as far as the longest one from each start.
 The documents' shuffle by key is the same in steps 2 and 4 and so written once.
 """
 
@@ -47,12 +45,11 @@ BUCKET_STRINGS = 1024
 
 
 class Units:
-    """How a text falls into units: `words` (white space between) or `bytes`; levels: the lengths of windows, ascending."""
+    """How a text falls into units: `words` (white space between) or `bytes`; k, m: units of a window and of a gram."""
 
-    def __init__(self, kind: str, levels: tuple[int, ...], m: int):
-        assert kind in ("words", "bytes") and 0 < m <= levels[0] and list(levels) == sorted(levels)
-        self.kind, self.levels, self.m = kind, levels, m
-        self.k, self.reach = levels[0], levels[-1]
+    def __init__(self, kind: str, k: int, m: int):
+        assert kind in ("words", "bytes") and 0 < m <= k
+        self.kind, self.k, self.m = kind, k, m
 
     def codes(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(code of each unit, units of each document)."""
@@ -128,41 +125,37 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), dtype=bool)
 
 
-#: One row a string (s, its number of window starts w > 0), a window's hash (s, w = -1 - level) or, without s, a span that is settled
-#: (w as before). n > 1: known to occur twice. k, id, start, stop: where; null for one that stands for settled copies.
-PACKED = pa.schema([("b", pa.int32()), ("s", pa.binary()), ("n", pa.int32()), ("w", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-PACKED_SQL = "b int, s binary, n int, w int, k long, id long, start int, stop int"
+#: One row a string (s), a window's hash (s, hashed) or, without s, a span that is settled.
+#: n > 1: known to occur twice. k, id, start, stop: where; null for one that stands for settled copies.
+PACKED = pa.schema([("b", pa.int32()), ("s", pa.binary()), ("n", pa.int32()), ("hashed", pa.bool_()), ("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+PACKED_SQL = "b int, s binary, n int, hashed boolean, k long, id long, start int, stop int"
 
 
 def _hashed(units: Units, codes: np.ndarray, strings: list[tuple], buckets: int):
-    """Rows of the windows of heavy strings (first code, starts, units, known twice, owner), equal ones once."""
-    for level, length in enumerate(units.levels):
-        held = [(x, min(w, size - length + 1)) for x in strings for _, w, size, _, _ in [x] if size >= length]
-        if not held:
-            continue
-        n = np.array([c for _, c in held])
-        which = np.repeat(np.arange(len(held)), n)
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = np.array([x[0] for x, _ in held])[which] + inner
-        pair = np.stack([_window_codes(codes, at, length), _window_codes(mix64(codes ^ SECOND_CODES), at, length)], axis=1)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        same = (pair[order[1:]] == pair[order[:-1]]).all(axis=1)
-        lead = np.append(True, ~same)
-        group = np.cumsum(lead) - 1
-        often = np.bincount(group, minlength=int(group[-1]) + 1) > 1
-        twice = np.array([x[3] for x, _ in held])
-        np.logical_or.at(often, group, twice[which[order]])
-        settled = np.zeros(len(at), dtype=bool)
-        settled[order] = often[group]
-        for i, spans in spans_of_windows(settled, which, inner, length).items():
-            _, _, _, _, (k, doc_id, start) = held[i][0]
-            if k is not None:
-                for a, b in spans:
-                    yield 0, None, 2, -1 - level, k, doc_id, start + a, start + b
-        for i, some in zip(order[lead].tolist(), often.tolist(), strict=True):
-            k, doc_id, start = (None, None, None) if some else held[which[i]][0][4]
-            a = None if start is None else start + int(inner[i])
-            yield int(pair[i, 0] % np.uint64(buckets)), pair[i].tobytes(), 1 + some, -1 - level, k, doc_id, a, None if a is None else a + length
+    """Rows of the windows of heavy strings (first code, windows, known twice, owner), equal ones once."""
+    n = np.array([w for _, w, _, _ in strings])
+    which = np.repeat(np.arange(len(strings)), n)
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.array([x[0] for x in strings])[which] + inner
+    pair = np.stack([_window_codes(codes, at, units.k), _window_codes(mix64(codes ^ SECOND_CODES), at, units.k)], axis=1)
+    order = np.lexsort((pair[:, 1], pair[:, 0]))
+    same = (pair[order[1:]] == pair[order[:-1]]).all(axis=1)
+    lead = np.append(True, ~same)
+    group = np.cumsum(lead) - 1
+    often = np.bincount(group, minlength=int(group[-1]) + 1) > 1
+    twice = np.array([x[2] for x in strings])
+    np.logical_or.at(often, group, twice[which[order]])
+    settled = np.zeros(len(at), dtype=bool)
+    settled[order] = often[group]
+    for i, spans in spans_of_windows(settled, which, inner, units.k).items():
+        k, doc_id, start = strings[i][3]
+        if k is not None:
+            for a, b in spans:
+                yield 0, None, 2, True, k, doc_id, start + a, start + b
+    for i, some in zip(order[lead].tolist(), often.tolist(), strict=True):
+        k, doc_id, start = (None, None, None) if some else strings[which[i]][3]
+        a = None if start is None else start + int(inner[i])
+        yield int(pair[i, 0] % np.uint64(buckets)), pair[i].tobytes(), 1 + some, True, k, doc_id, a, None if a is None else a + units.k
 
 
 def _window_codes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -187,7 +180,7 @@ def _pack(units: Units, buckets: int):
                 # a document's own list is a subset of the corpus's repeated minimisers, so the union of a chunk holds for each of them
                 keep = np.flatnonzero(_among(key, _unsigned(hots, lo, hi)))
                 many = _among(key[keep], _unsigned(heavies, lo, hi))
-                stops = np.minimum(start + n - 1 + units.reach, size[doc])
+                stops = start + n - 1 + units.k
                 current, words = -1, None
                 rows: list[tuple] = []
                 seen: dict[bytes, list] = {}
@@ -204,11 +197,11 @@ def _pack(units: Units, buckets: int):
                         seen[s] = [-1 if big else int(key[i] % np.uint64(buckets)), 1, int(n[i]), own, int(first[d]) + a]
                     else:
                         if x[1] == 1:
-                            rows.append((x[0] % buckets, None, 2, x[2], *x[3]))
+                            rows.append((x[0] % buckets, None, 2, False, *x[3]))
                             x[1] = 2
-                        rows.append((x[0] % buckets, None, 2, x[2], *own))
-                rows += [(b, s, m, w, *(own if m == 1 else (None,) * 4)) for s, (b, m, w, own, _) in seen.items() if b >= 0]
-                big = [(at, w, own[3] - own[2], m > 1, own[:3] if m == 1 else (None, None, None)) for b, m, w, own, at in seen.values() if b < 0]
+                        rows.append((x[0] % buckets, None, 2, False, *own))
+                rows += [(b, s, m, False, *(own if m == 1 else (None,) * 4)) for s, (b, m, _, own, _) in seen.items() if b >= 0]
+                big = [(at, w, m > 1, own[:3] if m == 1 else (None, None, None)) for b, m, w, own, at in seen.values() if b < 0]
                 yield from _packed(rows)
                 del rows, seen
                 if big:
@@ -224,51 +217,41 @@ def _packed(rows):
 
 def _settle(units: Units, resolve: Callable):
     """Of a bucket's strings and window hashes, the spans of windows that occur twice or more."""
-    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("level", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
         out: list[tuple] = []
         first: dict[bytes, int] = {}
-        strings, twice, starts, rows = [], [], [], []
-        hashed: dict[tuple, list] = {}
-
-        def whole(k, doc_id, at, w, length):
-            for level, n in enumerate(units.levels):
-                if length >= n:
-                    out.append((k, doc_id, level, at, at + min(w, length - n + 1) + n - 1))
-
-        for s, n, w, k, i, a, b in zip(*(table.column(c).to_pylist() for c in PACKED.names[1:]), strict=True):
+        strings, twice, rows = [], [], []
+        hashes: dict[bytes, list] = {}
+        for s, n, hashed, k, i, a, b in zip(*(table.column(c).to_pylist() for c in PACKED.names[1:]), strict=True):
             if s is None:
-                if w > 0:
-                    whole(k, i, a, w, b - a)
-                else:
-                    out.append((k, i, -1 - w, a, b))
-            elif w < 0:
-                x = hashed.setdefault((w, s), [0, []])
+                out.append((k, i, a, b))
+            elif hashed:
+                x = hashes.setdefault(s, [0, []])
                 x[0] += n
                 if k is not None:
-                    x[1].append((k, i, -1 - w, a, b))
+                    x[1].append((k, i, a, b))
             else:
                 at = first.get(s)
                 if at is None:
                     at = first[s] = len(strings)
                     strings.append(s)
                     twice.append(n > 1)
-                    starts.append(w)
                 else:
                     twice[at] = True
                 if k is not None:
                     rows.append((at, k, i, a, b))
-        for n, where in hashed.values():
+        for n, where in hashes.values():
             if n > 1:
                 out += where
-        spans = resolve(strings, np.array(twice, dtype=bool), np.array(starts, dtype=np.int64), units.levels) if not all(twice) else {}
+        spans = resolve(strings, np.array(twice, dtype=bool), units.k) if not all(twice) else {}
         for at, k, i, a, b in rows:
             if twice[at]:
-                whole(k, i, a, starts[at], b - a)
+                out.append((k, i, a, b))
             else:
-                out += [(k, i, level, a + x, a + y) for level, x, y in spans.get(at, ())]
-        cols = list(zip(*out, strict=True)) or [()] * 5
+                out += [(k, i, a + x, a + y) for x, y in spans.get(at, ())]
+        cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -299,7 +282,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, units: Units, resolve: Callable, *, heavy: int = HEAVY, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
-    """(_k, spans) for each document of `keyed` with a repeated window; spans: id, level, start, stop in units, overlapping."""
+    """(_k, spans) for each document of `keyed` with a repeated window; spans: id, start, stop in units, overlapping."""
     spark = docs.sparkSession
     found = written(docs.select("_k", "_t").mapInArrow(_minimisers(units), "h long, k long, n long"), "minimisers")
     repeated = written(found.groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1"), "repeated")
@@ -307,6 +290,6 @@ def repeated_spans(docs: DataFrame, units: Units, resolve: Callable, *, heavy: i
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-strings // bucket_strings))
     held = found.select("h", "k").join(repeated, "h").groupBy(F.col("k").alias("_k")).agg(F.collect_set("h").alias("hot"), F.collect_set(F.when(F.col("total") > heavy, F.col("h"))).alias("heavy"))
     packed = docs.join(held, "_k").select("_k", "_id", "_t", "hot", "heavy").mapInArrow(_pack(units, buckets), PACKED_SQL)
-    settled = packed.groupBy("b").applyInArrow(_settle(units, resolve), "k long, id long, level int, start int, stop int")
+    settled = packed.groupBy("b").applyInArrow(_settle(units, resolve), "k long, id long, start int, stop int")
     # rows that are equal share a key, and their spans are equal too
-    return settled.groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("id", "level", "start", "stop")).alias("spans"))
+    return settled.groupBy(F.col("k").alias("_k")).agg(F.collect_set(F.struct("id", "start", "stop")).alias("spans"))
