@@ -77,3 +77,17 @@ def test_equal_rows_are_dealt_to_several_shards(spark):
     docs = spark.createDataFrame([(None, None)] * 4000, "doc_id long, text string").repartition(16)
     got = op.pack(docs, docs_per_shard=250).groupBy((F.col("sequence_id") / 2**32).cast("long")).count().collect()
     assert len(got) >= 8 and sum(r["count"] for r in got) == 4000 and max(r["count"] for r in got) <= 1000
+
+
+def test_the_table_is_small_between_tasks(monkeypatch):
+    encoder = op.Encoder(op.default_vocabulary(), 1)
+    texts = [" ".join(f"Word{i}, näher {i * 7}." for i in range(a, a + 40)) for a in (0, 20, 40)]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    run = lambda: [x.tolist() for x in encoder.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)]
+    before = run()
+    encoder.rest()
+    assert encoder.known
+    monkeypatch.setattr(op, "KEPT_BETWEEN_TASKS", 10)
+    encoder.rest()
+    assert not encoder.known and run() == before

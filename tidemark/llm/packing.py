@@ -42,8 +42,9 @@ END_ID = 1
 DOCS_PER_SHARD = 2048
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BYTES = 1 << 20
-#: Encoded pieces that a worker keeps; past that it starts anew.
+#: Encoded pieces that a worker holds in a task and keeps after it; past that it starts anew.
 KEPT_PIECES = 600_000
+KEPT_BETWEEN_TASKS = 150_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -107,6 +108,12 @@ class Encoder:
         self.flat, self.at, self.size = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
+    def rest(self):
+        """Between tasks: an idle worker holds no large table and no free pages of Arrow's."""
+        if len(self.known) > KEPT_BETWEEN_TASKS:
+            self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray):
         n = len(self.known)
         while self.used + len(ids) > len(self.flat):
@@ -209,6 +216,7 @@ def _cut(vocabulary: str, window: int, end_id: int, with_ids: bool):
                 names = ["_shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
                 keep = 7 if with_ids else 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:keep], kinds, strict=False)], names=names[:keep])
+        encoder.rest()
 
     return run
 
