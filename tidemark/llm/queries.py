@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, license_scan, order_minhash, packing, quality_rules, substring_dedup, suffix_dedup, toxicity, warc
+from tidemark.llm import chat, decontaminate, license_scan, order_minhash, packing, quality_classifier, quality_rules, ranked_search, spelling, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_quality_rules, op7_order_minhash, op8_suffix_dedup, op9_license_scan, op10_substring_dedup)
+    ops = (op1_toxicity, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_quality_rules, op7_order_minhash, op8_suffix_dedup, op9_license_scan, op10_substring_dedup, op11_ranked_search, op12_quality_classifier, op13_spelling)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_spelling": spelling.ORACLE}

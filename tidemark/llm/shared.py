@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
+    """A written table, to be broadcast if its counted rows, at row_bytes each, stay below `most` bytes; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() * row_bytes <= most else table
