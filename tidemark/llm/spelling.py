@@ -6,6 +6,9 @@
 2. Bigrams with their positions are ordered globally by frequency, rarest first. One
    edit spoils at most two bigrams of a word, so of two words one edit apart the
    first bigram that both keep is among the three rarest of either: only these join.
+   Bigrams stand for their hash of GRAM_BITS bits; what one hash stands for counts
+   as one bigram, which changes the order and no result. So a table of 2**GRAM_BITS
+   counts is sent to the tasks, whatever the alphabet.
 3. Position limits: words of equal length differ by a replacement and keep the
    bigram's position; of a word with one character more the position is equal or
    one higher. And the edit lies on one side of the shorter word's middle, so that
@@ -21,7 +24,8 @@ The query's misspellings (see `words`) are derived from checksums of id and word
 
 Cases: null and empty texts have no words; a null id counts as an empty text in
 checksums; repeated rows count as often as they occur; words of any length are
-kept whole; an empty table gives no rows; other columns are ignored.
+kept whole, those of fewer than 4 code points can't be asked for; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import binary_array, chunks, crc32s, runs, text_buffer
-from tidemark.llm.shared import small, written
+from tidemark.llm.arrowtext import binary_array, chunks, crc32s, mix64, rolling, runs, text_buffer
+from tidemark.llm.shared import written
 
 #: One word in SPOILT of a document loses a character.
 SPOILT = 97
@@ -44,7 +48,8 @@ LEAST_CHARS = 5
 LEAST_COUNT = 3
 RATIO = 2
 PREFIX = 3
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 22
+GRAM_BITS = 16
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
@@ -69,7 +74,7 @@ def _without(word: bytes, checksum: int) -> bytes:
     return (text[:at] + text[at + 1 :]).encode()
 
 
-def _counts(spoilt: int):
+def _counts(spoilt: int, least_chars: int):
     """(word, n) of each chunk of text, at most one row a different word; spoilt 0: all words as they stand."""
 
     def run(batches):
@@ -80,6 +85,9 @@ def _counts(spoilt: int):
                 o = offsets[lo : hi + 1] - offsets[lo]
                 low = LOWER[raw[offsets[lo] : offsets[hi]]]
                 starts, ends, doc = runs(_letters(low), o)
+                leads = np.append(0, np.cumsum(low == LATIN_LEAD))
+                kept = np.flatnonzero(ends - starts - leads[ends] + leads[starts] >= least_chars)
+                starts, ends, doc = starts[kept], ends[kept], doc[kept]
                 changed = np.zeros(len(starts), dtype=bool)
                 extra = []
                 if spoilt:
@@ -98,39 +106,77 @@ def words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
 
     Where `spoilt` divides the CRC-32 h of "id:word", the code point at h % length is left out first (0: nowhere).
     """
+    if least_chars < 4:
+        raise ValueError("two bigrams of a shorter word can both be spoilt")
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"), F.col(text_col).alias("_t"))
-    found = rows.mapInArrow(_counts(spoilt), "word binary, n long").select(F.col("word").cast("string").alias("word"), "n").filter(F.char_length("word") >= least_chars)
+    found = rows.mapInArrow(_counts(spoilt, least_chars), "word binary, n long").select(F.col("word").cast("string").alias("word"), "n").filter(F.char_length("word") >= least_chars)
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
-def rarest(vocabulary: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """(word, n, size, first array<struct<c, g, p>>): each word's rarest bigrams, ties by bigram and position (from 1)."""
-    each = vocabulary.select("word", "n", F.posexplode(F.expr("transform(sequence(1, char_length(word) - 1), p -> substr(word, p, 2))")).alias("p", "g")).withColumn("p", F.col("p") + 1)
-    often = each.groupBy("g").agg(F.count("*").alias("c"))
-    # a word's bigrams lie in one task before the shuffle, so one row a word travels
-    own = each.join(small(written(often, "bigrams")), "g").groupBy("word").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("c", "g", "p"))), 1, prefix).alias("first"))
-    return own.select("word", "n", F.char_length("word").alias("size"), "first")
+def _bigrams(column: pa.Array):
+    """(code points, first place of each word, length of each, bigram hash at each place) of a column of words."""
+    raw = "".join(column.to_pylist()).encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
+    size = np.asarray(pc.utf8_length(column)).astype(np.int64)
+    grams = mix64(codes[:-1] << np.uint64(32) | codes[1:]) >> np.uint64(64 - GRAM_BITS)
+    return codes, np.cumsum(size) - size, size, grams.astype(np.int64)
 
 
-def _letter_set(word: Column) -> Column:
-    """A bit for each letter, of 64."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+def _frequencies(batches):
+    held = np.zeros(1 << GRAM_BITS, dtype=np.int64)
+    for batch in batches:
+        _, first, size, grams = _bigrams(batch.column("word"))
+        inside = np.ones(len(grams), dtype=bool)
+        inside[first[1:] - 1] = False
+        held += np.bincount(grams[inside], minlength=len(held))
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["g", "c"])
 
 
-def near_pairs(vocabulary: DataFrame) -> DataFrame:
+def _keys(place: np.ndarray, prefix: int):
+    """A word's join keys as the shorter or equal one of a pair, and as the longer one; place: of each bigram in the global order."""
+
+    def run(batches):
+        for batch in batches:
+            codes, first, size, grams = _bigrams(batch.column("word"))
+            n = len(size)
+            if not n:
+                continue
+            word = np.repeat(np.arange(n), size - 1)
+            p = np.arange(len(word)) - (first - np.arange(n))[word]
+            g = grams[first[word] + p]
+            order = np.lexsort((p, place[g], word))
+            nth = np.arange(len(word)) - np.repeat(np.cumsum(size - 1) - size + 1, size - 1)
+            rare = order[nth < prefix]
+            word, g, p = word[rare], g[rare], p[rare]
+            text = rolling(mix64(codes + np.uint64(1)))
+            stop = first + size
+
+            def of(length: np.ndarray, shift: int, more: int) -> list[np.ndarray]:
+                """Keys for the left and the right half, as of a word of that length that has the bigram `shift` places before."""
+                half = length // 2
+                halves = text(first, first + half), text(first + half + more, stop)
+                pure = mix64((length[word] << 40 | p - shift + 1).astype(np.uint64) ^ g.astype(np.uint64) << np.uint64(24))
+                return [mix64(pure + h[word] + np.uint64(side)) for side, h in enumerate(halves)]
+
+            own, longer = of(size, 0, 0), [*of(size - 1, 0, 1), *of(size - 1, 1, 1)]
+            many = np.bincount(word, minlength=n)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many * len(k))).astype(np.int32)), pa.array(np.stack(k, axis=1).ravel().view(np.int64))) for k in (own, longer)]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << codes % np.uint64(64), first)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(bits.view(np.int64)), *lists], names=["word", "n", "bits", "own", "longer"])
+
+    return run
+
+
+def near_pairs(vocabulary: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """(a, na, b, nb): pairs of words that differ by one inserted, deleted or replaced code point, each once."""
-    own = written(rarest(vocabulary).withColumn("bits", _letter_set(F.col("word"))), "rarest")
-    rows = own.select("word", "n", "bits", "size", F.explode("first").alias("f"))
-
-    def keyed(size: str, p: str, longer: str) -> DataFrame:
-        """A row for each half of a word as if its length were `size`; `longer` characters lie between the halves' ends."""
-        half = f"({size}) div 2"
-        key = F.expr(f"xxhash64(f.g, {p}, {size}, 'l', left(word, {half}))"), F.expr(f"xxhash64(f.g, {p}, {size}, 'r', substr(word, {half} + {longer} + 1))")
-        return rows.select(F.explode(F.array(*key)).alias("k"), "word", "n", "bits")
-
-    left = keyed("size", "f.p", "0")
-    # the same word as the longer one of a pair: the bigram stands where it is in the shorter word, or one place on
-    right = left.withColumn("longer", F.lit(False)).unionByName(keyed("size - 1", "f.p", "1").withColumn("longer", F.lit(True))).unionByName(keyed("size - 1", "f.p - 1", "1").withColumn("longer", F.lit(True)))
+    found = vocabulary.select("word").mapInArrow(_frequencies, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(1 << GRAM_BITS, dtype=np.int64)
+    often[np.asarray(found["g"])] = np.asarray(found["c"])
+    place = np.argsort(np.lexsort((np.arange(len(often)), often))).astype(np.int32)
+    rows = written(vocabulary.mapInArrow(_keys(place, prefix), "word string, n long, bits long, own array<long>, longer array<long>"), "keys")
+    left = rows.select(F.explode("own").alias("k"), "word", "n", "bits")
+    right = left.withColumn("longer", F.lit(False)).unionByName(rows.select(F.explode("longer").alias("k"), "word", "n", "bits", F.lit(True).alias("longer")))
     a, b = left.alias("a"), right.alias("b")
     met = a.join(b, F.expr("a.k = b.k and (b.longer or a.word < b.word) and bit_count(a.bits ^ b.bits) <= 2 and levenshtein(a.word, b.word, 1) = 1"))
     return met.select(F.col("a.word").alias("a"), F.col("a.n").alias("na"), F.col("b.word").alias("b"), F.col("b.n").alias("nb")).distinct()
