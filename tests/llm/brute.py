@@ -165,3 +165,52 @@ def license_labels(text, index, least, slack):
             if whole:
                 found[label] = score
     return found
+
+
+def spelling(rows):
+    """rows: (doc_id, text) -> sorted (word, form, root, n, n_near, form_n)."""
+    import re
+    import zlib
+
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            counts[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = {w: [v for v in words if abs(len(v) - len(w)) < 2 and distance(v, w) == 1] for w in words}
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words.get(form[w])))
+    return sorted(out)
+
+
+def ranked(docs, items, k=20):
+    """docs: (doc_id, text); items: (item_id, text) -> (item_id, rank, doc_id, score), rows of equal id and score in any order."""
+    import math
+    import re
+
+    cut = lambda t: re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(i, Counter(cut(t))) for i, t in docs]
+    bags = [(i, b, sum(b.values())) for i, b in bags if b]
+    many, total = len(bags), sum(n for _, _, n in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    weight = {t: math.floor(1000 * math.log((2 * many + 2) / (2 * c + 1))) for t, c in df.items()}
+    out = []
+    for item, text in items:
+        found = []
+        for i, b, n in bags:
+            m = 75 + (25 * n * many) // total
+            s = sum(c * weight[t] * ((10**9 * b[t]) // (1000 * b[t] + 12 * m)) for t, c in Counter(cut(text)).items() if t in b)
+            if s > 0:
+                found.append((-s, i is None, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(found)[:k])]
+    return out

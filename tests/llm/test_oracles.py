@@ -4,7 +4,7 @@ import pytest
 from tidemark.llm import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "conversations")
+TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
