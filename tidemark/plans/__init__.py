@@ -1,6 +1,6 @@
 """Queries by name: a function (spark, sf_dir) and its DuckDB SQL."""
 
-from tidemark.plans import worklists
+from tidemark.plans import reports, worklists
 from tidemark.plans.queries import NAMES
 
-__all__ = ["NAMES", "worklists"]
+__all__ = ["NAMES", "reports", "worklists"]

@@ -549,22 +549,23 @@ def _rules(spark, sf) -> DataFrame:
         inquiry_policy=F.struct(F.lit(2).alias("count"), F.lit("average").alias("mode"), F.lit(None).cast("boolean").alias("c"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("double").alias("m"), F.lit(None).cast("map<int,double>").alias("b")),
     )
     past = F.when(k % 9 != 0, F.struct((scale * (0.55 + (k % 10) / 100.0)).alias("cut_score"), (70 + k % 25).cast("double").alias("percentile_cut"), (k % 40).cast("int").alias("additional_pass")))
-    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", rule.alias("rule"), past.alias("history"), (5 + k % 30).cast("int").alias("quota"), (5 + k % 23).cast("int").alias("prev_quota"))
+    return table(spark, sf, "supplier").select("s_suppkey", rule.alias("rule"), past.alias("history"), (5 + k % 30).cast("int").alias("quota"), (5 + k % 23).cast("int").alias("prev_quota"))
 
 
 def _candidates(spark, sf) -> DataFrame:
-    """Customers as examinees with the units of their nation."""
-    units = _rules(spark, sf)
-    people = table(spark, sf, "customer").select("c_nationkey", "c_custkey", _subjects(F.col("c_custkey")).alias("subjects"), F.lit("june_mock").alias("exam_type"))
+    """Customers as examinees, each with a list of candidate units: the suppliers of its orders, so that pairs grow with the rows."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    lists = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(lines, "l_orderkey").groupBy("c_custkey").agg(F.collect_set("s_suppkey").alias("units"))
     # pairs cost far more than rows, so people are dealt to all tasks however few files hold them; later groups by person stay in place
-    return people.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey").join(units, "c_nationkey")
+    people = lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey").select("c_custkey", _subjects(F.col("c_custkey")).alias("subjects"), F.lit("june_mock").alias("exam_type"), "units")
+    return people.withColumn("s_suppkey", F.explode("units")).drop("units").join(_rules(spark, sf), "s_suppkey")
 
 
 _ANALYSIS = """
 with c as (
   select c_custkey as ck, s_suppkey as sk, 100 + c_custkey % 50 as ks, 60 + c_custkey % 40 as kp, 95 + c_custkey * 7 % 55 as ms, 55 + c_custkey * 7 % 45 as mp, 50 + c_custkey * 3 % 25 as i1s, 50 + c_custkey * 3 % 50 as i1p,
     case when c_custkey % 11 <> 0 then 48 + c_custkey * 5 % 25 end as i2s, case when c_custkey % 11 <> 0 then 45 + c_custkey * 5 % 55 end as i2p, 1 + c_custkey % 5 as eg, 1 + c_custkey % 4 as hg,
-    case when s_suppkey % 3 = 1 then 100.0::double else 1000.0::double end as scale, s_suppkey % 7 <> 0 as verified from customer join supplier on c_nationkey = s_nationkey),
+    case when s_suppkey % 3 = 1 then 100.0::double else 1000.0::double end as scale, s_suppkey % 7 <> 0 as verified from (select distinct o_custkey as c_custkey, l_suppkey as s_suppkey from orders join lineitem on l_orderkey = o_orderkey)),
 e as (select *, [0.0, 2.0, 6.0, 12.0, 20.0][eg]::double as ep, case when hg = 4 then 2.0::double else 0.0::double end as hp from c),
 v as (select *, case when i2s is null then null when not verified then (0.3::double * kp + 0.4::double * mp + 0.3::double * ((i1p + i2p) / 2.0::double)) / (0.3::double + 0.4::double + 0.3::double)
   when sk % 3 = 1 then (0.3::double * (kp / 100.0::double) + 0.4::double * (mp / 100.0::double) + 0.3::double * (((i1p + i2p) / 2.0::double) / 100.0::double)) / (0.3::double + 0.4::double + 0.3::double) * scale - ep - hp
