@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import scoring, simulation
-from tidemark.plans.queries import _ANALYSIS, _candidates, query
+from tidemark.functions.text import compact
+from tidemark.operators import containment
+from tidemark.plans import ruledocs, scoring, simulation
+from tidemark.plans.queries import _ANALYSIS, _candidates, query, table
 
 # --- simulation ---
 
@@ -93,3 +95,144 @@ def _simulation_candidates(spark, sf):
 def simulation_results(spark, sf):
     pairs = simulation.compared(_simulation_candidates(spark, sf), ["c_custkey"], "s_suppkey", target=F.col("s_suppkey") % 4 == F.col("c_custkey") % 4)
     return simulation.results(pairs, ["c_custkey"])
+
+
+# --- rule documents ---
+
+
+def _cases(key: str, n: int, by: dict[int, str], otherwise: str) -> str:
+    return f"case {key} % {n} " + " ".join(f"when {i} then {v}" for i, v in by.items()) + f" else {otherwise} end"
+
+
+# JSON text by the same expression in both engines; most parts have a document that doesn't fit in some way
+_W = """'"weights":{"korean":0.' || (p_partkey % 9 + 1) || ',"math":0.4,"inquiry":0.3}'"""
+_DOCUMENTS = {
+    "formula": _cases(
+        "p_partkey",
+        13,
+        {
+            0: f"""'{{"totalScale":100,' || {_W}""",
+            1: """'{"totalScale":100,"weights":{"korean":0.3,"inquiry":0.3}}'""",
+            2: f"""'{{"totalScale":"100",' || {_W} || '}}'""",
+            3: """'{"totalScale":100,"weights":{"korean":-0.3,"math":0.4,"inquiry":0.3}}'""",
+            4: f"""'{{"totalScale":' || (p_partkey % 50 + 1) || ',"unknown":[1,{{"a":null}}],' || {_W} || '}}'""",
+            5: f"""'{{"totalScale":100,' || {_W} || ',"alternatives":[{{' || {_W} || '}},{{' || {_W} || ',"subjectAdjustments":[{{"subject":"math","capAtMax":true}}]}}]}}'""",
+            6: f"""'{{"totalScale":100,' || {_W} || ',"alternatives":[{{' || {_W} || '}},{{' || {_W} || ',"subjectAdjustments":[{{"subject":"math","multiplier":1.' || (p_partkey % 7) || '}}]}}]}}'""",
+            7: f"""'{{"totalScale":100,"calculationMode":null,' || {_W} || '}}'""",
+            8: f"""'{{"totalScale":100,' || {_W} || ',"selectionPolicy":{{"mode":"best_n_subjects","count":2,"subjects":["korean","math"],"rankWeights":[' || repeat('1,', CAST(p_partkey % 3 AS INT)) || '2]}}}}'""",
+            9: f"""'{{"totalScale":100,' || {_W} || ',"selectionPolicy":{{"mode":"best_n_subjects","count":1,"subjects":["korean","math"],"requiredSubjects":["' || {_cases("p_partkey", 2, {0: "'math'"}, "'english'")} || '"]}}}}'""",
+            10: f"""'{{"totalScale":100,' || {_W} || ',"calculationMode":"' || {_cases("p_partkey", 2, {0: "'weighted_sum'"}, "'median'")} || '"}}'""",
+        },
+        f"""'{{"totalScale":1000,' || {_W} || ',"scoreMaxes":{{"math":150}}}}'""",
+    ),
+    "english": _cases(
+        "p_partkey",
+        7,
+        {
+            0: """'{"mode":"ratio","byGrade":{"1":100}}'""",
+            1: """'{"mode":"deduction","byGrade":{"10":1}}'""",
+            2: """'{"mode":"ratio","weight":20,"byGrade":{"1":100,"2":9' || (p_partkey % 10) || '}}'""",
+            3: """'{"mode":"addition","byGrade":{"1":"5"}}'""",
+        },
+        """'{"mode":"deduction","byGrade":{"1":0,"2":' || (p_partkey % 4) || '.5}}'""",
+    ),
+    "history": _cases("p_partkey", 5, {0: """'{"mode":"deduction"}'"""}, """'{"byGrade":{"1":0,"4":' || (p_partkey % 3) || '}}'"""),
+    "inquiry": _cases(
+        "p_partkey",
+        6,
+        {
+            0: """'{"count":' || (p_partkey % 4) || ',"mode":"average"}'""",
+            1: """'{"count":2,"mode":"sum","conversionTable":{"from":"percentile","byPercentile":{"' || (95 + p_partkey % 12) || '":70}}}'""",
+        },
+        """'{"count":2,"mode":"average","conversionRisk":' || (p_partkey % 4 = 0) || '}'""",
+    ),
+    "eligibility": _cases("p_partkey", 8, {0: """'{"maxHistoryGrade":4.5}'""", 1: "cast(null as varchar(9))", 2: """'{"maxHistoryGrade":' || (p_partkey % 12) || '}'"""}, "'{}'"),
+}
+_JSON = "with d as (select p_partkey, " + ", ".join(f"{sql} as {n}" for n, sql in _DOCUMENTS.items()) + " from part), j as (select p_partkey, " + ", ".join(f"try_cast({n} as json) as {n}" for n in _DOCUMENTS) + " from d)"
+_NUM = "('UBIGINT', 'BIGINT', 'DOUBLE')"
+
+
+def _is_number(path: str, test: str = "true", of: str = "formula") -> str:
+    return f"coalesce(json_type({of}, '{path}') in {_NUM} and cast({of} ->> '{path}' as double) {test}, false)" if test != "true" else f"coalesce(json_type({of}, '{path}') in {_NUM}, false)"
+
+
+def _all_weights(at: str) -> str:
+    return " and ".join(_is_number(f"{at}.weights.{s}", ">= 0") for s in ("korean", "math", "inquiry"))
+
+
+_FITS = f"""{_JSON}, a as (select *, json_type(formula, '$.alternatives') is null or (
+    {_all_weights("$.alternatives[0]")} and {_all_weights("$.alternatives[1]")}
+    and (json_type(formula, '$.alternatives[1].subjectAdjustments[0].multiplier') is not null or json_type(formula, '$.alternatives[1].subjectAdjustments[0].points') is not null)) as alternatives_fit,
+  json_type(formula, '$.selectionPolicy') is null or (
+    (json_type(formula, '$.selectionPolicy.rankWeights') is null or json_array_length(formula, '$.selectionPolicy.rankWeights') = cast(formula ->> '$.selectionPolicy.count' as int))
+    and (json_type(formula, '$.selectionPolicy.requiredSubjects') is null or formula ->> '$.selectionPolicy.requiredSubjects[0]' in ('korean', 'math'))) as selection_fits from j),
+f as (select *, formula is not null and {_is_number("$.totalScale", "> 0")} and {_all_weights("$")} and alternatives_fit and selection_fits
+    and (json_type(formula, '$.calculationMode') is null or coalesce(formula ->> '$.calculationMode', '') in ('weighted_average', 'weighted_sum', 'normalized_sum')) as formula_fits,
+  coalesce(len(list_filter(json_keys(english, '$.byGrade'), lambda g: length(g) <> 1 or json_type(english, '$.byGrade.' || g) not in {_NUM})) = 0, false) and (english ->> '$.mode' <> 'ratio' or {_is_number("$.weight", "> 0", "english")}) as english_fits,
+  json_type(history, '$.byGrade') is not null as history_fits,
+  {_is_number("$.count", "in (1, 2)", "inquiry")} and coalesce(len(list_filter(json_keys(inquiry, '$.conversionTable.byPercentile'), lambda g: cast(g as int) > 100)) = 0, true) as inquiry_fits,
+  json_type(eligibility, '$.maxHistoryGrade') is null or (json_type(eligibility, '$.maxHistoryGrade') <> 'DOUBLE' and cast(eligibility ->> '$.maxHistoryGrade' as double) between 1 and 9) as eligibility_fits from a)
+"""
+
+
+@query(
+    _FITS
+    + """select p_partkey, formula_fits, english_fits, history_fits, inquiry_fits, eligibility_fits, ok as mapped, case when ok then cast(formula ->> '$.totalScale' as double) end as total_scale,
+  case when ok then cast(formula ->> '$.weights.korean' as double) end as korean_weight, case when ok then json_array_length(formula, '$.alternatives')::int end as alternatives,
+  case when ok then cast(formula ->> '$.alternatives[1].subjectAdjustments[0].multiplier' as double) end as multiplier, case when ok then cast(english ->> '$.byGrade."2"' as double) end as english_2,
+  case when ok then formula ->> '$.calculationMode' end as calculation_mode, case when ok then cast(eligibility ->> '$.maxHistoryGrade' as int) end as max_history_grade
+from (select *, formula_fits and english_fits and history_fits and inquiry_fits and eligibility_fits as ok from f)"""
+)
+def rule_documents(spark, sf):
+    documents = table(spark, sf, "part").select("p_partkey", F.lit("standard").alias("score_type"), F.lit("verified").alias("verified_status"), *(F.expr(sql).alias(n) for n, sql in _DOCUMENTS.items()))
+    rule = F.col("rule")
+    second = F.try_element_at(F.try_element_at(rule["alternatives"], F.lit(2))["subject_adjustments"], F.lit(1))
+    return ruledocs.mapped(documents, {n: n for n in _DOCUMENTS}).select(
+        "p_partkey",
+        *(f"{n}_fits" for n in _DOCUMENTS),
+        rule.isNotNull().alias("mapped"),
+        rule["total_scale"].alias("total_scale"),
+        rule["weights"]["korean"].alias("korean_weight"),
+        F.size(rule["alternatives"]).alias("alternatives"),
+        second["multiplier"].alias("multiplier"),
+        F.try_element_at(rule["english_policy"]["by_grade"], F.lit(2)).alias("english_2"),
+        rule["calculation_mode"].alias("calculation_mode"),
+        rule["eligibility"]["max_history_grade"].alias("max_history_grade"),
+    )
+
+
+# --- containment ---
+
+_LINES = "select l_orderkey * 10 + l_linenumber as line, p_name || ' ' || p_brand || ' ' || p_type || ' ' || l_returnflag || ' ' || cast(l_quantity as int) || ' ' || cast(l_discount * 100 as int) as row_text from lineitem join part on l_partkey = p_partkey"
+_WANTED = """select p_partkey, case when p_partkey % 50 <> 0 then p_name || case when p_partkey % 3 = 0 then '' else '  ' || p_brand end || case when p_partkey % 17 = 0 then '?' else '' end end as name,
+  case p_partkey % 4 when 0 then 'A' when 1 then 'Z' end as grp, case when p_partkey % 7 > 0 then cast(p_size as double) end as quota, case when p_partkey % 5 > 0 then p_partkey % 11 + 0.02 end as rate from part"""
+
+
+@query(f"""
+with r as materialized ({_LINES}), w as ({_WANTED}), n as (select *, regexp_replace(coalesce(name, ''), '\\s+', '', 'g') as compact_name from w),
+t as (select *, regexp_replace(row_text, '\\s+', '', 'g') as compact_text, list_transform(regexp_extract_all(row_text, '-?\\d+(?:\\.\\d+)?'), lambda x: cast(x as double)) as nums from r),
+names as (select distinct compact_name from n where compact_name <> ''), hits as (select compact_name, line, row_text, nums from names join t on contains(compact_text, compact_name)),
+m as (select p_partkey, compact_name, grp, quota, rate, row_text is not null and (grp is null or contains(row_text, grp)) as grouped, row_text is not null as there,
+  concat_ws('|', case when quota is not null and len(list_filter(nums, lambda x: abs(x - quota) <= 0.001)) = 0 then 'quota' end, case when rate is not null and len(list_filter(nums, lambda x: abs(x - rate) <= 0.03)) = 0 then 'rate' end) as lacks
+  from n left join hits using (compact_name)),
+c as (select p_partkey, any_value(compact_name) as compact_name, any_value(quota) is null and any_value(rate) is null as nothing, bool_or(there) as there, bool_or(grouped) as grouped, count(*) filter (grouped and lacks = '') as ok from m group by p_partkey),
+l as (select p_partkey, lacks from (select p_partkey, lacks, count(*) as k from m where grouped and lacks <> '' group by all) qualify row_number() over (partition by p_partkey order by k desc, lacks) = 1),
+s as (select p_partkey, ok, lacks, case when compact_name = '' then 'missing_unit_name' when not there then 'unit_not_in_source_row' when not grouped then 'group_not_in_source_row' when nothing then 'missing_required_values' when ok > 0 then 'matched' else 'source_row_values_missing' end as status from c left join l using (p_partkey))
+select p_partkey, status, case when status = 'matched' then ok end as matched_rows, case when status = 'source_row_values_missing' then lacks end as lacking from s
+""")
+def verified_outcomes(spark, sf):
+    for name in ("lineitem", "part"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    rows, wanted = spark.sql(_LINES), spark.sql(_WANTED)
+    needed = containment.required({"quota": (F.col("quota"), 0.001), "rate": (F.col("rate"), 0.03)})
+    return containment.verified(wanted.withColumn("needed", needed), rows, key="p_partkey", group="grp")
+
+
+@query("""
+with n as (select distinct w from (select unnest(string_split(p_name || ' ' || lower(p_type), ' ')) as w from part)), d as (select doc_id, regexp_replace(text, '\\s+', '', 'g') as t from documents)
+select w as needle, count(*) as documents, min(doc_id) as first_doc from n join d on contains(t, w) group by w
+""")
+def names_in_documents(spark, sf):
+    names = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("needle"))
+    texts = table(spark, sf, "documents").select("doc_id", compact(F.col("text")).alias("text"))
+    return containment.contained(texts, names, key="doc_id").groupBy("needle").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))

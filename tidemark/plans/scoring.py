@@ -420,42 +420,54 @@ def strengths(subjects: Column) -> tuple[Column, Column]:
 def reason_codes(rule: Column, subjects: Column, exam_type: Column, found: Column, trust: Column, small: Column, volatile: Column | None = None, failures: Column | None = None) -> tuple[Column, Column]:
     """(reasons, warnings), in a fixed order."""
     s = Scores(subjects)
-    strong, weak = strengths(subjects)
-    grade, spread = s.of("english")["grade"], english_spread(rule)
-    a, b = s.of("inquiry1")["percentile"], s.of("inquiry2")["percentile"]
-    good = found.isin("stable", "match")
-    math = F.array_contains(strong, "math") & (rule["weights"]["math"] >= 0.35)
-    penalty = (grade >= 3) & (spread >= 1.0)
-    reasons = [
-        (math, "math_weight_advantage"),
-        (F.array_contains(strong, "korean") & (rule["weights"]["korean"] >= 0.35), "korean_weight_advantage"),
-        ((grade >= 2) & (spread <= 0.5), "english_low_penalty_advantage"),
-        ((F.least(a, b) >= 85) & (F.abs(a - b) <= 5), "science_stable"),
-        (good & (rule["score_type"] == "percentile"), "percentile_fit"),
-        (good & (rule["score_type"] == "standard"), "standard_score_fit"),
-        (math, "explore_math_heavy"),
-        (penalty, "avoid_english_penalty"),
-        (F.array_contains(weak, "math"), "simulate_math_up"),
-        (F.array_contains(weak, "inquiry1") | F.array_contains(weak, "inquiry2"), "simulate_explore_up"),
-        (exam_type == "csat", "compare_after_jinhak"),
-        (found.isin("reach", "challenge"), "build_application_plan"),
-    ]
-    warnings = [
-        (penalty, "english_penalty_risk"),
-        (rule["inquiry_policy"]["conversion_risk"], "science_conversion_risk"),
-        (F.lit(False) if failures is None else F.array_contains(failures, "math_selection"), "math_requirement_fail"),
-        (trust.isin("low", "limited"), "low_data_confidence"),
-        (small, "small_quota_risk"),
-        (F.lit(False) if volatile is None else volatile, "high_volatility"),
-    ]
-    return tuple(F.array_compact(F.array(*(F.when(c, code) for c, code in x))) for x in (reasons, warnings))
+    own, a, b = F.struct(*(x.alias(n) for n, x in zip(("strong", "weak"), strengths(subjects), strict=True))), s.of("inquiry1")["percentile"], s.of("inquiry2")["percentile"]
+    grade, good = s.of("english")["grade"], found.isin("stable", "match")
+
+    def reasons(x: Column) -> Column:
+        math = F.array_contains(x["own"]["strong"], "math") & (rule["weights"]["math"] >= 0.35)
+        held = [
+            (math, "math_weight_advantage"),
+            (F.array_contains(x["own"]["strong"], "korean") & (rule["weights"]["korean"] >= 0.35), "korean_weight_advantage"),
+            ((grade >= 2) & (x["spread"] <= 0.5), "english_low_penalty_advantage"),
+            ((F.least(a, b) >= 85) & (F.abs(a - b) <= 5), "science_stable"),
+            (good & (rule["score_type"] == "percentile"), "percentile_fit"),
+            (good & (rule["score_type"] == "standard"), "standard_score_fit"),
+            (math, "explore_math_heavy"),
+            ((grade >= 3) & (x["spread"] >= 1.0), "avoid_english_penalty"),
+            (F.array_contains(x["own"]["weak"], "math"), "simulate_math_up"),
+            (F.array_contains(x["own"]["weak"], "inquiry1") | F.array_contains(x["own"]["weak"], "inquiry2"), "simulate_explore_up"),
+            (exam_type == "csat", "compare_after_jinhak"),
+            (found.isin("reach", "challenge"), "build_application_plan"),
+        ]
+        return _codes(held)
+
+    return let(F.struct(own.alias("own"), english_spread(rule).alias("spread")), reasons), warning_codes(rule, subjects, trust, small, volatile, failures)
+
+
+def _codes(held: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*(F.when(c, code) for c, code in held)))
+
+
+def warning_codes(rule: Column, subjects: Column, trust: Column, small: Column, volatile: Column | None = None, failures: Column | None = None) -> Column:
+    """The warnings alone, in a fixed order; they need no look at strengths."""
+    never = F.lit(False)
+    return _codes(
+        [
+            ((Scores(subjects).of("english")["grade"] >= 3) & (english_spread(rule) >= 1.0), "english_penalty_risk"),
+            (rule["inquiry_policy"]["conversion_risk"], "science_conversion_risk"),
+            (never if failures is None else F.array_contains(failures, "math_selection"), "math_requirement_fail"),
+            (trust.isin("low", "limited"), "low_data_confidence"),
+            (small, "small_quota_risk"),
+            (never if volatile is None else volatile, "high_volatility"),
+        ]
+    )
 
 
-def analyzed(candidates: DataFrame, codes: bool = True) -> DataFrame:
+def analyzed(candidates: DataFrame, codes: bool = True, warn: bool = False) -> DataFrame:
     """Candidates (subjects, exam_type, rule, history struct(cut_score, percentile_cut, additional_pass), quota, prev_quota) with the analysis.
 
     kind is ok, ineligible, unsupported or insufficientData; the other added columns are set where kind is ok. Without
-    `codes`, reason_codes and warnings are not computed.
+    `codes`, reason_codes and warnings are not computed; with `warn` the warnings are.
     """
     rule, subjects, past = F.col("rule"), F.col("subjects"), F.col("history")
     df = candidates.withColumn("_failed", eligibility_failures(rule, subjects))
@@ -472,11 +484,15 @@ def analyzed(candidates: DataFrame, codes: bool = True) -> DataFrame:
     if codes:
         reasons, warnings = reason_codes(rule, subjects, F.col("exam_type"), F.col("band"), F.col("confidence"), F.col("quota") < 10)
         settled += [reasons.alias("reason_codes"), warnings.alias("warnings")]
+    elif warn:
+        settled.append(warning_codes(rule, subjects, F.col("confidence"), F.col("quota") < 10).alias("warnings"))
     df = df.withColumn("_codes", F.explode(F.array(F.struct(*settled))))
     fine, x = F.col("kind") == "ok", F.col("_codes")
     added = {"converted_score": c["score"], "reference_score": F.col("_ref"), "score_gap": F.col("_gap"), "band": x["band"], "confidence": x["confidence"]}
     if codes:
-        added |= {"reason_codes": x["reason_codes"], "warnings": x["warnings"]}
+        added["reason_codes"] = x["reason_codes"]
+    if codes or warn:
+        added["warnings"] = x["warnings"]
     return df.withColumns({k: F.when(fine, v) for k, v in added.items()}).drop("_failed", "_c", "_ref", "_gap", "_codes")
 
 

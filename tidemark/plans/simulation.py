@@ -51,9 +51,9 @@ def compared(candidates: DataFrame, keys: list[str], unit: str, *, target: Colum
     """
     rows = candidates.withColumn("_target", F.coalesce(target, F.lit(False)) if target is not None else F.lit(False)).withColumn("_s", F.explode(scenarios(F.col("changes"))))
     rows = rows.withColumn("subjects", scoring.simulated(F.col("subjects"), F.col("_s.changes"))).withColumn("scenario", F.col("_s.scenario")).drop("_s")
-    run = scoring.analyzed(rows)
-    notes = F.concat(F.col("reason_codes"), F.col("warnings"))
-    weak = F.array_compact(F.array(*(F.when(F.array_contains(notes, code) & F.map_contains_key(F.col("subjects"), F.lit(s)), s) for code, names in WEAKNESS.items() for s in names)))
+    # the weaknesses are all warnings
+    run = scoring.analyzed(rows, codes=False, warn=True)
+    weak = F.array_compact(F.array(*(F.when(F.array_contains("warnings", code) & F.map_contains_key(F.col("subjects"), F.lit(s)), s) for code, names in WEAKNESS.items() for s in names)))
     of = lambda name: F.max(F.when(F.col("scenario") == name, F.col("band")))
     single = ~F.col("scenario").isin("baseline", "all") & F.col("band").isNotNull()
     return run.groupBy(*keys, unit).agg(
