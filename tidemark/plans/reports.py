@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import compact
-from tidemark.operators import containment
-from tidemark.plans import ruledocs, scoring, simulation
-from tidemark.plans.queries import _ANALYSIS, _candidates, query, table
+from tidemark.operators import containment, matrix
+from tidemark.plans import coverage, ruledocs, scoring, simulation
+from tidemark.plans.queries import _ANALYSIS, _CASES, YEARS, _candidates, query, table
 
 # --- simulation ---
 
@@ -236,3 +236,70 @@ def names_in_documents(spark, sf):
     names = table(spark, sf, "part").select(F.explode(F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ")).alias("needle"))
     texts = table(spark, sf, "documents").select("doc_id", compact(F.col("text")).alias("text"))
     return containment.contained(texts, names, key="doc_id").groupBy("needle").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+# --- the coverage matrix: all sources in one shuffle ---
+
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+# counter -> condition on a line with its order; the same text is used by both engines
+_LINE_COUNTERS = {
+    "outcomes": "l_quantity > 5",
+    "outcome_scores": "l_quantity > 5 and l_discount > 0.03",
+    "quota_competition": "l_quantity > 5 and l_tax > 0.02",
+    "medium_confidence": "l_quantity > 30",
+    "low_confidence": "l_quantity between 6 and 15",
+    "csat_rules": "l_returnflag = 'R'",
+    "quota_drafts": "l_returnflag = 'A' and l_linestatus = 'F'",
+    "screening_drafts": "l_returnflag = 'A' and l_linestatus = 'O'",
+    "record_drafts": "l_returnflag = 'N' and l_quantity > 20",
+    "eligibility_drafts": "l_returnflag = 'N' and l_quantity <= 20",
+    "drafts_high_or_medium": "l_discount >= 0.06",
+    "drafts_low_or_limited": "l_discount < 0.02",
+}
+_ORDER_COUNTERS = {"units": "true", "schedules": "o_orderstatus = 'F'", "queue_p0": "o_orderpriority = '1-URGENT'", "queue_p1": "o_orderpriority = '2-HIGH'", "queue_p2": "o_orderpriority = '3-MEDIUM'", "queue_p3": "o_orderpriority = '5-LOW'"}
+_NATIONAL = "o_totalprice > 499000 and o_orderpriority = '1-URGENT'"
+_CELL_COUNTS = {k: k for k in coverage.POINTS if k != "listed"}
+
+
+def _coverage_oracle() -> str:
+    line = ", ".join(f"count(*) filter ({c}) as {n}" for n, c in _LINE_COUNTERS.items())
+    order = ", ".join(f"count(*) filter ({c}) as {n}" for n, c in _ORDER_COUNTERS.items())
+    zero = ", ".join(f"coalesce({n}, 0) as {n}" for n in (*_LINE_COUNTERS, *(x for x in _ORDER_COUNTERS if x != "schedules"), "year_evidence", "collection_evidence", "academy_metrics"))
+    return f"""
+with o as (select *, year(o_orderdate) as y from orders), ol as (select o.o_custkey, year(l_shipdate) as y, lineitem.* from lineitem join o on l_orderkey = o_orderkey),
+cells as (select c_custkey, unnest({YEARS}) as y, c_acctbal from customer),
+a as (select o_custkey as c_custkey, y, {line} from ol group by all), b as (select o_custkey as c_custkey, y, {order}, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) as best_order from o group by all),
+e as (select o_custkey as c_custkey, y, count(*) as year_evidence from (select distinct o_orderkey, o_custkey, unnest([y, y + 1, y]) as y from o where o_totalprice > 250000) group by all),
+f as (select o_custkey as c_custkey, y - 1 as y, count(*) as collection_evidence from o where o_orderstatus = 'P' group by all),
+g as (select o_custkey as c_custkey, y, count(*) as academy_metrics from ol where l_linenumber = 1 group by all),
+m as (select c_custkey, y, string_agg(p, '|' order by k desc, p) as unit_groups from (select o_custkey as c_custkey, y, o_orderpriority as p, count(*) as k from o group by all) group by all),
+national as (select distinct y, true as has from o where {_NATIONAL}),
+j as (select c_custkey, y + 26 as year, case when (c_acctbal + y) % 7 >= 1 then 1 else 0 end as listed, {zero}, coalesce(schedules, 0) + case when has and coalesce(schedules, 0) = 0 then 1 else 0 end as schedules,
+  case when has and coalesce(schedules, 0) = 0 then 1 else 0 end as national_schedules, coalesce(unit_groups, '') as unit_groups, best_order, c_custkey % 5 as n_nationkey
+  from cells left join a using (c_custkey, y) left join b using (c_custkey, y) left join e using (c_custkey, y) left join f using (c_custkey, y) left join g using (c_custkey, y) left join m using (c_custkey, y) left join national using (y)),
+s as (select *, case when listed = 0 then ['{coverage.UNLISTED}'] else list_filter([{", ".join(f"case when {k} = 0 and not {_CASES.get(k, 'false')} then '{v}' end" for k, v in coverage.FLAGS.items())}], lambda x: x is not null) end as flags,
+  least({" + ".join(f"case when {k} > 0 then {v} else 0 end" for k, v in coverage.POINTS.items())}, 100) as score from j)
+select c_custkey, year, {", ".join((*_LINE_COUNTERS, *_ORDER_COUNTERS, "year_evidence", "collection_evidence", "academy_metrics", "national_schedules"))}, unit_groups, best_order, score::int as score, array_to_string(flags, '|') as flags,
+  case when score >= 80 and not list_contains(flags, 'missing_outcome_scores') and not list_contains(flags, 'missing_csat_rule_draft') then 'source_rich_review_ready' when score >= 60 then 'review_ready_partial' when score >= 35 then 'partial_evidence' else 'source_gap' end as tier from s
+"""
+
+
+@query(_coverage_oracle())
+def coverage_audit(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    lines = table(spark, sf, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("y", F.year("l_shipdate"))
+    who, y = F.col("o_custkey"), F.col("y")
+    sources = [
+        matrix.Source(lines, who, y, {n: F.expr(c) for n, c in _LINE_COUNTERS.items()} | {"academy_metrics": F.col("l_linenumber") == 1}),
+        matrix.Source(orders, who, y, {n: F.expr(c) for n, c in _ORDER_COUNTERS.items()}, {"unit_groups": (F.col("o_orderpriority"), _PRIORITIES)}, {"best_order": (F.struct(-F.col("o_totalprice"), "o_orderkey"), F.col("o_orderkey"))}),
+        matrix.Source(orders.filter("o_totalprice > 250000"), who, F.array(y, y + 1, y), {"year_evidence": None}),
+        matrix.Source(orders.filter("o_orderstatus = 'P'"), who, y - 1, {"collection_evidence": None}),
+    ]
+    scaffold = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, YEARS))).alias("y"))
+    cells = matrix.matrix(scaffold, "c_custkey", "y", sources)
+    cells = matrix.filled(cells, "y", "schedules", orders.filter(_NATIONAL).select("y"), "national_schedules").withColumn("year", y + 26)
+    counts = {"listed": F.when((F.col("c_acctbal") + y) % 7 >= 1, 1).otherwise(0)} | {k: F.col(k) for k in _CELL_COUNTS}
+    excluded = F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("missing_schedule_draft"), F.lit("missing_csat_rule_draft"))).otherwise(F.array().cast("array<string>"))
+    done = cells.withColumn("_flags", coverage.missing_flags(counts, F.col("year"), excluded)).withColumn("score", coverage.coverage_score(counts))
+    names = (*_LINE_COUNTERS, *_ORDER_COUNTERS, "year_evidence", "collection_evidence", "academy_metrics", "national_schedules")
+    return done.select("c_custkey", "year", *names, F.array_join("unit_groups", "|").alias("unit_groups"), "best_order", "score", F.array_join("_flags", "|").alias("flags"), coverage.coverage_tier(F.col("score"), F.col("_flags")).alias("tier"))
