@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import spelling as op
-from tidemark.llm.arrowtext import crc32s
+from tidemark.llm.checksums import crc32s
 
 
 @settings(max_examples=100, deadline=None)
@@ -18,8 +18,8 @@ def test_checksums_go_on_from_what_precedes(rows):
     raw = np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint8)
     ends = np.cumsum([len(w) for _, w in rows])
     starts = ends - [len(w) for _, w in rows]
-    got = op.crc32s(raw, starts, ends, np.array([zlib.crc32(b) for b, _ in rows], dtype=np.uint32))
-    assert got.tolist() == [zlib.crc32(b + w) for b, w in rows] and op.crc32s is crc32s
+    got = crc32s(raw, starts, ends, np.array([zlib.crc32(b) for b, _ in rows], dtype=np.uint32))
+    assert got.tolist() == [zlib.crc32(b + w) for b, w in rows]
 
 
 def vocabulary(rng, alphabet, n):

@@ -7,7 +7,6 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,19 +101,15 @@ SPACES[list(SPACE_BYTES)] = False
 
 def split_words(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = SPACES):
     """(starts, ends, documents) of the maximal runs of `word_bytes`; runs never cross documents."""
-    return runs(word_bytes[raw], offsets)
-
-
-def runs(inside: np.ndarray, offsets: np.ndarray):
-    """(starts, ends, documents) of the maximal runs of True; runs never cross documents."""
-    if not len(inside):
+    if not len(raw):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
+    inside = word_bytes[raw]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
     first = offsets[:-1]
-    before[first[first < len(inside)]] = False
+    before[first[first < len(raw)]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[-1] = False
@@ -125,34 +120,6 @@ def runs(inside: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(first, starts, side="right") - 1
 
 
-def _crc_table() -> np.ndarray:
-    """The byte table of CRC-32 (reflected polynomial EDB88320)."""
-    table = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        table = np.where(table & 1, (table >> np.uint32(1)) ^ np.uint32(0xEDB88320), table >> np.uint32(1))
-    return table
-
-
-CRC_TABLE = _crc_table()
-#: Longer words are hashed one by one.
-CRC_AT_ONCE = 64
-
-
-def crc32s(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """CRC-32 of each raw[start:end], going on from the checksum `before` of what precedes it; byte by byte over all words at once."""
-    state = before.astype(np.uint32) ^ np.uint32(0xFFFFFFFF)
-    size = ends - starts
-    live, j = np.flatnonzero((size > 0) & (size <= CRC_AT_ONCE)), 0
-    while len(live):
-        state[live] = CRC_TABLE[(state[live] ^ raw[starts[live] + j]) & np.uint32(0xFF)] ^ (state[live] >> np.uint32(8))
-        j += 1
-        live = live[size[live] > j]
-    state ^= np.uint32(0xFFFFFFFF)
-    for i in np.flatnonzero(size > CRC_AT_ONCE).tolist():
-        state[i] = zlib.crc32(raw[starts[i] : ends[i]].tobytes(), int(before[i]))
-    return state
-
-
 def binary_array(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """raw[start:end] for each pair, as an Arrow binary column, without a Python loop."""
     lengths = ends - starts

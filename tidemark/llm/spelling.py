@@ -39,7 +39,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrowtext import binary_array, chunks, crc32s, mix64, rolling, runs, text_buffer
+from tidemark.llm.arrowtext import binary_array, chunks, mix64, rolling, split_words, text_buffer
+from tidemark.llm.checksums import crc32s
 from tidemark.llm.shared import written
 
 #: One word in SPOILT of a document loses a character.
@@ -55,6 +56,8 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+#: What _letters says of a byte.
+INSIDE = np.array([False, True])
 #: The first byte of U+00C0 to U+00FF in UTF-8; every byte that follows it is such a character's.
 LATIN_LEAD = 0xC3
 
@@ -84,7 +87,7 @@ def _counts(spoilt: int, least_chars: int):
             for lo, hi in chunks(offsets, CHUNK_BYTES):
                 o = offsets[lo : hi + 1] - offsets[lo]
                 low = LOWER[raw[offsets[lo] : offsets[hi]]]
-                starts, ends, doc = runs(_letters(low), o)
+                starts, ends, doc = split_words(_letters(low).view(np.uint8), o, INSIDE)
                 leads = np.append(0, np.cumsum(low == LATIN_LEAD))
                 kept = np.flatnonzero(ends - starts - leads[ends] + leads[starts] >= least_chars)
                 starts, ends, doc = starts[kept], ends[kept], doc[kept]
