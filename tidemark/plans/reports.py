@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import compact
 from tidemark.operators import containment, matrix
-from tidemark.plans import coverage, ruledocs, scoring, simulation
+from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
 from tidemark.plans.queries import _ANALYSIS, _CASES, YEARS, _candidates, query, table
 
 # --- simulation ---
@@ -303,3 +303,42 @@ def coverage_audit(spark, sf):
     done = cells.withColumn("_flags", coverage.missing_flags(counts, F.col("year"), excluded)).withColumn("score", coverage.coverage_score(counts))
     names = (*_LINE_COUNTERS, *_ORDER_COUNTERS, "year_evidence", "collection_evidence", "academy_metrics", "national_schedules")
     return done.select("c_custkey", "year", *names, F.array_join("unit_groups", "|").alias("unit_groups"), "best_order", "score", F.array_join("_flags", "|").alias("flags"), coverage.coverage_tier(F.col("score"), F.col("_flags")).alias("tier"))
+
+
+# --- audits ---
+
+
+@query("""
+with l as (select count(*) as rows, count(*) filter (o_orderkey is null) as line_orders_missing, count(*) filter (p_partkey is null) as line_parts_missing, count(*) filter (s_suppkey is null) as line_suppliers_missing,
+  count(*) filter (l_quantity <= 0) as line_quantity_not_positive, count(*) filter (l_shipdate >= timestamp '2001-06-01') as line_late_rows from lineitem left join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey left join (select * from supplier where s_suppkey % 10 <> 3) on l_suppkey = s_suppkey),
+o as (select count(*) as rows, count(*) filter (c_custkey is null) as order_customers_missing, count(*) filter (o_orderstatus not in ('O', 'F', 'P')) as order_status_unknown, count(*) filter (o_totalprice > 450000) as order_high_totals from orders left join customer on o_custkey = c_custkey),
+e as (select count(*) as rows, count(*) filter (json_type(try_cast(props as json), '$.k') is null) as event_props_without_k, count(*) filter (event_type = 'error') as event_errors from events),
+m as (select list_filter([case when line_orders_missing > 0 then 'lineitem: missing orders: ' || line_orders_missing end, case when line_parts_missing > 0 then 'lineitem: missing parts: ' || line_parts_missing end, case when line_suppliers_missing > 0 then 'lineitem: missing suppliers: ' || line_suppliers_missing end,
+  case when line_quantity_not_positive > 0 then 'lineitem: quantities not above 0: ' || line_quantity_not_positive end, case when order_customers_missing > 0 then 'orders: missing customers: ' || order_customers_missing end, case when order_status_unknown > 0 then 'orders: unknown states: ' || order_status_unknown end,
+  case when event_props_without_k > 0 then 'events: properties without k: ' || event_props_without_k end], lambda x: x is not null) as errors,
+  list_filter([case when line_late_rows > 0 then 'lineitem: rows of the second half of 2001 or later: ' || line_late_rows end, case when order_high_totals > 5 then 'orders: totals above 450000: ' || order_high_totals end, case when event_errors > 10 then 'events: errors: ' || event_errors end], lambda x: x is not null) as warnings,
+  l.rows as line_rows, o.rows as order_rows, e.rows as event_rows, line_orders_missing, line_suppliers_missing, order_high_totals from l, o, e)
+select case when len(errors) = 0 then 'ok' else 'failed' end as status, array_to_string(errors, '|') as errors, array_to_string(warnings, '|') as warnings, line_rows, order_rows, event_rows, line_orders_missing, line_suppliers_missing, order_high_totals from m
+""")
+def seed_audit(spark, sf):
+    of = lambda name: table(spark, sf, name)
+    ref, check = audits.Reference.of, audits.Check
+    lines = [
+        ref("line_orders_missing", "l_orderkey", of("orders"), "o_orderkey", "missing orders"),
+        ref("line_parts_missing", "l_partkey", of("part"), "p_partkey", "missing parts"),
+        ref("line_suppliers_missing", "l_suppkey", of("supplier").filter("s_suppkey % 10 <> 3"), "s_suppkey", "missing suppliers"),
+        check("line_quantity_not_positive", F.col("l_quantity") <= 0, "quantities not above 0"),
+        check("line_late_rows", F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), "rows of the second half of 2001 or later", "warning"),
+    ]
+    orders = [
+        ref("order_customers_missing", "o_custkey", of("customer"), "c_custkey", "missing customers"),
+        check("order_status_unknown", ~F.col("o_orderstatus").isin("O", "F", "P"), "unknown states"),
+        check("order_high_totals", F.col("o_totalprice") > 450000, "totals above 450000", "warning", 5),
+    ]
+    events = [
+        check("event_props_without_k", F.try_variant_get(F.try_parse_json("props"), "$.k", "variant").isNull(), "properties without k"),
+        check("event_errors", F.col("event_type") == "error", "errors", "warning", 10),
+    ]
+    found = audits.report({"lineitem": (of("lineitem"), lines), "orders": (of("orders"), orders), "events": (of("events"), events)})
+    counts = {"line_rows": F.col("rows")["lineitem"], "order_rows": F.col("rows")["orders"], "event_rows": F.col("rows")["events"]} | {n: F.col("invariants")[n] for n in ("line_orders_missing", "line_suppliers_missing", "order_high_totals")}
+    return found.select("status", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), *(c.alias(n) for n, c in counts.items()))

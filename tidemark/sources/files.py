@@ -62,10 +62,28 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def upsert(target: str, new: DataFrame, keys: list[str], staged: str) -> None:
-    """Keyed insert or update of a Parquet table: written aside first, then put in place."""
+    """Keyed insert or update of a Parquet folder: written aside, then put in place by two renames.
+
+    What the folder held moves to `<staged>-before` first, and back if the second rename fails; a call that finds the target
+    gone and that folder there puts it back before it begins. Readers that must never find the target gone follow
+    tidemark.sources.versions.upsert, which changes one pointer.
+    """
     spark = new.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = path(f"{staged.rstrip('/')}-before")
+    if fs.exists(before):
+        if fs.exists(path(target)):
+            fs.delete(before, True)
+        else:
+            fs.rename(before, path(target))
     upserted(spark.read.parquet(target), new, keys).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(target)
+    if not fs.rename(path(target), before):
+        raise OSError(f"{target} can't be moved aside")
+    if not fs.rename(path(staged), path(target)):
+        fs.rename(before, path(target))
+        raise OSError(f"{staged} can't be put in place")
+    fs.delete(before, True)
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
