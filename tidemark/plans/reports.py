@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import compact
-from tidemark.operators import containment, matrix
+from tidemark.functions.text import compact, group_key
+from tidemark.operators import clusters, containment, matrix
 from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
 from tidemark.plans.queries import _ANALYSIS, _CASES, YEARS, _candidates, query, table
 
@@ -305,6 +305,90 @@ def coverage_audit(spark, sf):
     return done.select("c_custkey", "year", *names, F.array_join("unit_groups", "|").alias("unit_groups"), "best_order", "score", F.array_join("_flags", "|").alias("flags"), coverage.coverage_tier(F.col("score"), F.col("_flags")).alias("tier"))
 
 
+# --- rules of all shapes ---
+
+_SHAPES_SQL = """
+with c as (select c_custkey as ck, s_suppkey as sk, s_suppkey % 10 as shape, 100 + c_custkey % 50 as ks, 60 + c_custkey % 40 as kp, 95 + c_custkey * 7 % 55 as ms, 55 + c_custkey * 7 % 45 as mp, 50 + c_custkey * 3 % 25 as i1s, 50 + c_custkey * 3 % 50 as i1p,
+    case when c_custkey % 11 <> 0 then 48 + c_custkey * 5 % 25 end as i2s, case when c_custkey % 11 <> 0 then 45 + c_custkey * 5 % 55 end as i2p, 1 + c_custkey % 5 as eg, 1 + c_custkey % 4 as hg, c_custkey % 2 = 1 as calculus, c_custkey % 3 <> 0 as sci1, case when c_custkey % 11 <> 0 then c_custkey % 2 = 0 end as sci2
+  from (select distinct o_custkey as c_custkey, l_suppkey as s_suppkey from orders join lineitem on l_orderkey = o_orderkey)),
+e as (select *, [0, 2, 6, 12, 20][eg]::double as ep, [100, 95, 88, 80, 70][eg]::double as er, case when hg = 4 then 2.0::double else 0.0::double end as hp, (i1s + i2s) / 2.0::double as inq,
+  case when calculus then least(ms * 1.1::double, 200) else ms end as ms6, ((i1s + case when sci1 then 3 else 0 end) + (i2s + case when sci2 then 3 else 0 end)) / 2.0::double as inq6,
+  case when i1p <= 90 and i2p <= 90 then (i1p * 0.7::double + i2p * 0.7::double) / 2 end as table5,
+  least(mp * 0.1::double, 8) as f_math, case when sci1 then i1s * 0.05::double else 0 end + case when sci2 then i2s * 0.05::double else 0 end as f_inq from c),
+v as (select *, case shape
+    when 0 then ks * 1.0::double + ms * 1.2::double + inq * 0.5::double - ep - hp
+    when 1 then (10 + ks / 200.0::double * 100) + ms / 200.0::double * 100 + inq / 200.0::double * 50 - ep - hp
+    when 2 then case when inq is not null then (greatest(ms / 200.0::double * 100, o) * 60 + least(ms / 200.0::double * 100, o) * 40) / 100 / 100 * 1000 - hp end
+    when 3 then (0.3::double * (ks / 200.0::double) + 0.4::double * (ms / 200.0::double) + 0.3::double * (greatest(i1s, coalesce(i2s, 0)) / 200.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep - hp
+    when 4 then (0.3::double * (ks / 200.0::double) + 0.4::double * (ms / 200.0::double) + 0.3::double * ((i1s + i2s) / 400.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep - hp
+    when 5 then (0.3::double * (ks / 200.0::double) + 0.4::double * (ms / 200.0::double) + 0.3::double * (table5 / 70.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep - hp
+    when 6 then (0.3::double * (ks / 200.0::double) + 0.4::double * (ms6 / 200.0::double) + 0.3::double * (inq6 / 200.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep - hp
+    when 7 then greatest(ks * 1.0::double + ms * 1.0::double + inq * 0.5::double, ks * 0.5::double + ms * 1.5::double + inq * 0.5::double) - ep - hp
+    when 8 then (0.3::double * (ks / 200.0::double) + 0.4::double * (ms / 200.0::double) + 0.3::double * (inq / 200.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep + (f_math + f_inq - hp)
+    else (0.3::double * (ks / 200.0::double) + 0.4::double * (ms / 200.0::double) + 0.3::double * (inq / 200.0::double)) / (0.3::double + 0.4::double + 0.3::double) * 1000 - ep - hp end as raw,
+  shape = 9 and (not calculus or hg > 3 or not (sci1 and coalesce(sci2, true))) as barred from (select *, greatest(ks / 200.0::double * 100, inq / 200.0::double * 100, er) as o from e)),
+r as (select *, floor((case when shape = 7 and inq is null then null else raw end) * 100 + 0.5) / 100 as score, case when sk % 9 = 0 then null when shape in (0, 7) then 250.0::double + sk % 40 when shape = 1 then 120.0::double + sk % 40 else 500.0::double + sk % 100 end as ref from v),
+g as (select *, floor((score - ref) * 100 + 0.5) / 100 as gap, case when barred then 'ineligible' when score is null then 'unsupported' when ref is null then 'insufficientData' else 'ok' end as kind, case when shape = 2 then 20 / (0.3::double + 0.4::double + 0.3::double + 20) * (12.0::double / 100) * 100 else 0.6::double end as spread,
+  case when shape in (0, 7) then 600.0::double when shape = 1 then 260.0::double else 1000.0::double end as scale, (kp + mp + i1p + coalesce(i2p, 0)) / (case when i2p is null then 3 else 4 end)::double as mean from r),
+x as (select *, case when shape in (0, 1, 7) then 6.0 / scale * 100 else spread end as sp from g),
+a as (select *, gap / scale * 100 + (case when (sk % 30 - sk % 23) / (5 + sk % 23)::double <= -0.2 then -0.5::double when (sk % 30 - sk % 23) / (5 + sk % 23)::double >= 0.2 then 0.3::double else 0 end
+  + case when (sk % 40) / (5 + sk % 30)::double >= 1 then 0.5::double else 0 end + case when 5 + sk % 30 < 10 then -0.5::double else 0 end + case when eg >= 3 and sp >= 1.0 then -0.5::double else 0 end) as z from x),
+b as (select *, case when kind <> 'ok' then null when z >= 1.5 then 'stable' when z >= -0.5 then 'match' when z >= -1.5 then 'reach' when z >= -3 then 'challenge' else 'risk' end as band,
+  mp >= mean + 2 as math_up, kp >= mean + 2 as korean_up, case when shape = 0 then 1.2 when shape = 1 then 100 when shape = 7 then 1.0 else 0.4 end >= 0.35 as math_heavy, case when shape = 0 then 1.0 when shape = 1 then 100 when shape = 7 then 1.0 else 0.3 end >= 0.35 as korean_heavy from a)
+select ck as c_custkey, sk as s_suppkey, kind, case when kind = 'ok' then score end as converted_score, band,
+  case when kind = 'ok' then concat_ws('|', case when math_up and math_heavy then 'math_weight_advantage' end, case when korean_up and korean_heavy then 'korean_weight_advantage' end, case when eg >= 2 and sp <= 0.5 then 'english_low_penalty_advantage' end,
+    case when least(i1p, i2p) >= 85 and i2p is not null and abs(i1p - i2p) <= 5 then 'science_stable' end, case when band in ('stable', 'match') then 'standard_score_fit' end, case when math_up and math_heavy then 'explore_math_heavy' end, case when eg >= 3 and sp >= 1.0 then 'avoid_english_penalty' end,
+    case when mp <= mean - 2 then 'simulate_math_up' end, case when i1p <= mean - 2 or coalesce(i2p <= mean - 2, false) then 'simulate_explore_up' end, 'compare_after_jinhak', case when band in ('reach', 'challenge') then 'build_application_plan' end) end as reasons,
+  case when kind = 'ok' then concat_ws('|', case when eg >= 3 and sp >= 1.0 then 'english_penalty_risk' end, case when 5 + sk % 30 < 10 then 'small_quota_risk' end) end as warnings
+from b
+"""
+
+
+def _shaped(k):
+    """Rules of ten shapes by the unit's key: both sums, a selection, the ways to take inquiry, adjustments, alternatives, final points, eligibility."""
+    shape, none, num = k % 10, F.lit(None), lambda x: F.lit(float(x))
+    triple = lambda a, b, c: F.struct(num(a).alias("korean"), num(b).alias("math"), num(c).alias("inquiry"))
+    grades = lambda *v: F.create_map(*(x for i, p in enumerate(v, 1) for x in (F.lit(i), num(p))))
+    deduct, ratio = F.struct(F.lit("deduction").alias("mode"), grades(0, 2, 6, 12, 20).alias("b"), none.cast("double").alias("w"), none.cast("double").alias("s")), F.struct(F.lit("ratio").alias("mode"), grades(100, 95, 88, 80, 70).alias("b"), num(20).alias("w"), num(100).alias("s"))
+    past = F.struct(F.lit("deduction").alias("mode"), grades(0, 0, 0, 2).alias("b"), none.cast("double").alias("w"), none.cast("double").alias("s"))
+    table = F.map_from_arrays(F.sequence(F.lit(45), F.lit(90)), F.transform(F.sequence(F.lit(45), F.lit(90)), lambda x: x * F.lit(0.7)))
+    inquiry = lambda count, mode, t=False: F.struct(F.lit(count).alias("count"), F.lit(mode).alias("mode"), none.cast("boolean").alias("r"), F.lit("percentile" if t else None).alias("f"), F.lit(70.0 if t else None).cast("double").alias("m"), (table if t else none.cast("map<int,double>")).alias("t"))
+    condition = lambda subject, selections, category: [F.lit(subject).alias("subject"), (F.array(F.lit(selections)) if selections else none.cast("array<string>")).alias("a"), F.lit(category).cast("string").alias("b"), none.cast("int").alias("c")]
+    adjusted = F.array(F.struct(*condition("math", "미적분", None), num(1.1).alias("m"), none.cast("double").alias("p"), F.lit(True).alias("cap")), F.struct(*condition("inquiry", None, "science"), none.cast("double").alias("m"), num(3).alias("p"), F.lit(False).alias("cap")))
+    final = F.array(F.struct(*condition("math", None, None), F.lit("percentile").alias("f"), num(0.1).alias("m"), num(8).alias("x")), F.struct(*condition("inquiry", None, "science"), F.lit("standardScore").alias("f"), num(0.05).alias("m"), none.cast("double").alias("x")))
+    names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    selection = F.struct(F.lit(2).alias("count"), names("korean", "math", "english", "inquiry").alias("s"), names("math").alias("r"), F.array(num(60), num(40)).alias("w"), none.cast("array<struct<count:int,subjects:array<string>,required_subjects:array<string>,rank_weights:array<double>>>").alias("g"))
+    leaf = lambda *w: scoring.alternative_struct(calculation_mode=F.lit("weighted_sum"), weights=triple(*w))
+    return scoring.rule_struct(
+        score_type=F.lit("standard"),
+        verified_status=F.lit("verified"),
+        total_scale=F.when(shape.isin(0, 7), num(600)).when(shape == 1, num(260)).otherwise(num(1000)),
+        calculation_mode=F.when(shape.isin(0, 7), "weighted_sum").when(shape == 1, "normalized_sum"),
+        weights=F.when(shape == 0, triple(1, 1.2, 0.5)).when(shape == 1, triple(100, 100, 50)).when(shape == 7, triple(1, 1, 0.5)).otherwise(triple(0.3, 0.4, 0.3)),
+        subject_base_scores=F.when(shape == 1, F.struct(num(10).alias("korean"), none.cast("double").alias("math"), none.cast("double").alias("inquiry"))),
+        selection_policy=F.when(shape == 2, selection),
+        english_policy=F.when(shape == 2, ratio).otherwise(deduct),
+        history_policy=past,
+        inquiry_policy=F.when(shape == 3, inquiry(1, "best_one")).when(shape == 4, inquiry(2, "sum")).when(shape == 5, inquiry(2, "average", True)).otherwise(inquiry(2, "average")),
+        subject_adjustments=F.when(shape == 6, adjusted),
+        alternatives=F.when(shape == 7, F.array(leaf(1, 1, 0.5), leaf(0.5, 1.5, 0.5))),
+        final_adjustments=F.when(shape == 8, final),
+        eligibility=F.when(shape == 9, F.struct(names("미적분").alias("m"), F.lit("science").alias("c"), F.lit(3).alias("h"))),
+    )
+
+
+@query(_SHAPES_SQL)
+def rule_shapes(spark, sf):
+    c, k = F.col("c_custkey"), F.col("s_suppkey")
+    shape = k % 10
+    chosen = lambda name: F.when(name == "math", F.when(c % 2 == 1, "미적분").otherwise("확률과 통계")).when(name == "inquiry1", F.when(c % 3 != 0, "물리학Ⅰ").otherwise("생활과 윤리")).when(name == "inquiry2", F.when(c % 2 == 0, "화학Ⅱ").otherwise("경제"))
+    cut = F.when(shape.isin(0, 7), 250.0 + k % 40).when(shape == 1, 120.0 + k % 40).otherwise(500.0 + k % 100)
+    past = F.when(k % 9 != 0, F.struct(cut.alias("cut_score"), F.lit(80.0).alias("percentile_cut"), (k % 40).cast("int").alias("additional_pass")))
+    rows = _candidates(spark, sf).withColumn("rule", _shaped(k)).withColumn("history", past).withColumn("exam_type", F.lit("csat"))
+    rows = rows.withColumn("subjects", F.transform_values("subjects", lambda name, v: F.struct(chosen(name).alias("selection"), v["standard"].alias("standard"), v["percentile"].alias("percentile"), v["grade"].alias("grade"))))
+    return scoring.analyzed(rows).select("c_custkey", "s_suppkey", "kind", "converted_score", "band", F.array_join("reason_codes", "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"))
+
+
 # --- audits ---
 
 
@@ -342,3 +426,54 @@ def seed_audit(spark, sf):
     found = audits.report({"lineitem": (of("lineitem"), lines), "orders": (of("orders"), orders), "events": (of("events"), events)})
     counts = {"line_rows": F.col("rows")["lineitem"], "order_rows": F.col("rows")["orders"], "event_rows": F.col("rows")["events"]} | {n: F.col("invariants")[n] for n in ("line_orders_missing", "line_suppliers_missing", "order_high_totals")}
     return found.select("status", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), *(c.alias(n) for n, c in counts.items()))
+
+
+# --- unit clusters ---
+
+_UNITS = "select p_partkey, p_brand as university, case when p_partkey % 3 = 0 then p_name else p_name || ' (' || lower(p_type) || ')' end as unit_name, p_name, 1993 + p_partkey % 11 as year, case p_partkey % 4 when 0 then 'A' when 1 then 'N' when 2 then 'R' end as grp, p_type from part"
+_OUTCOMES = "select l_partkey as p_partkey, l_orderkey, l_linenumber, l_suppkey, l_discount > 0.08 as scored, l_tax > 0.07 as quota, cast(l_quantity as int) % 3 as metrics, l_returnflag || l_linestatus as availability, l_orderkey % 40 as url, 1995 + l_orderkey % 7 as year, l_orderkey * 10 + l_linenumber as line from lineitem"
+
+
+@query(f"""
+with u as (select *, regexp_replace(unit_name, '[\\s()\\[\\]{{}}]+', '', 'g') as unit_key from ({_UNITS})), o as ({_OUTCOMES}),
+s as (select p_partkey, count(*) as outcome_rows, count(*) filter (scored) as scored_rows, count(*) filter (quota) as quota_rows, sum(metrics) as metric_count from o group by 1),
+t as (select university, unit_key, count(*) as unit_rows, coalesce(sum(outcome_rows), 0) as outcome_rows, coalesce(sum(scored_rows), 0) as scored_rows, coalesce(sum(quota_rows), 0) as quota_rows, coalesce(sum(metric_count), 0) as metric_count,
+  count(distinct grp) as n_groups, count(distinct unit_name) as n_names from u left join s using (p_partkey) group by all),
+ids as (select university, unit_key, string_agg(p_partkey, '|' order by p_partkey) as unit_ids from (select * from u qualify row_number() over (partition by university, unit_key order by p_partkey) <= 12) group by all),
+names as (select university, unit_key, string_agg(unit_name || ':' || n, '|' order by n desc, f) as names from (select university, unit_key, unit_name, count(*) as n, min(p_partkey) as f from u group by all qualify row_number() over (partition by university, unit_key order by n desc, f) <= 2) group by all),
+grps as (select university, unit_key, string_agg(grp || ':' || n, '|' order by n desc, f) as grps from (select university, unit_key, grp, count(*) as n, min(p_partkey) as f from u where grp is not null group by all) group by all),
+ys as (select university, unit_key, list_sort(list_filter(list(distinct year), lambda y: y between 1995 and 2001)) as recent from u group by all),
+j as (select u.university, u.unit_key, u.p_partkey as k, o.* exclude (p_partkey) from u join o using (p_partkey)),
+urls as (select university, unit_key, string_agg(url, '|' order by f) as urls from (select university, unit_key, url, min((k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by f) <= 5) group by all),
+av as (select university, unit_key, string_agg(availability || ':' || n, '|' order by n desc, f) as availability from (select university, unit_key, availability, count(*) as n, min((k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by n desc, f) <= 3) group by all),
+smp as (select university, unit_key, string_agg(l_suppkey, '|' order by y desc, f) as samples from (select university, unit_key, l_suppkey, max(year) as y, arg_min((k, line), (-year, k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by y desc, f) <= 4) group by all)
+select university, unit_key, unit_rows, outcome_rows::bigint as outcome_rows, scored_rows::bigint as scored_rows, quota_rows::bigint as quota_rows, metric_count::bigint as metric_count, unit_ids, names, coalesce(grps, '') as grps, coalesce(urls, '') as urls, coalesce(availability, '') as availability, coalesce(samples, '') as samples,
+  array_to_string(recent, '|') as recent_years, array_to_string(list_filter({list(range(1995, 2002))}, lambda y: not list_contains(recent, y)), '|') as missing_years, case when len(recent) >= 5 then 'high' when len(recent) >= 3 then 'medium' else 'low' end as continuity,
+  concat_ws('|', case when len(recent) >= 5 then 'has_recent_5plus_years' end, case when len(recent) = 7 then 'has_full_coverage' end, case when len(recent) < 7 then 'has_recent_year_gaps' end, case when scored_rows > 0 then 'has_score_outcomes' end, case when quota_rows > 0 then 'has_quota_competition' end,
+    case when n_groups > 1 then 'has_multiple_recruitment_groups' end, case when n_names > 1 then 'has_name_variants' end) as flags,
+  (case when len(recent) >= 5 then 80 when len(recent) >= 3 then 45 else 10 end + least(scored_rows * 3, 60) + least(metric_count, 40) + least(n_groups * 5, 20) + len(recent) * 8)::bigint as priority
+from t left join ids using (university, unit_key) left join names using (university, unit_key) left join grps using (university, unit_key) left join ys using (university, unit_key) left join urls using (university, unit_key) left join av using (university, unit_key) left join smp using (university, unit_key)
+""")
+def unit_clusters(spark, sf):
+    for name in ("lineitem", "part"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    L, one = clusters.Limited, F.lit(1)  # noqa: N806
+    units, outcomes = spark.sql(_UNITS).withColumn("unit_key", group_key(F.col("unit_name"))), spark.sql(_OUTCOMES)
+    found = clusters.clustered(
+        units,
+        outcomes,
+        ["university", "unit_key"],
+        "p_partkey",
+        {"unit_rows": one},
+        {"unit_ids": L(F.col("p_partkey"), 12), "names": L(F.col("unit_name"), 2, "often"), "grps": L(F.col("grp"), 10, "often"), "years": L(F.col("year"), 50)},
+        {"outcome_rows": one, "scored_rows": F.col("scored").cast("int"), "quota_rows": F.col("quota").cast("int"), "metric_count": F.col("metrics")},
+        {"urls": L(F.col("url"), 5), "availability": L(F.col("availability"), 3, "often"), "samples": L(F.col("l_suppkey"), 4, F.lpad((9999 - F.col("year")).cast("string"), 4, "0"))},
+        ordinal="p_partkey",
+        outcome_ordinal=F.col("line"),
+    )
+    done = clusters.judged(found, YEARS, years="years", scored="scored_rows", quota="quota_rows", metrics="metric_count", groups="grps_size", names="names_size")
+    text = lambda c, counts: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["n"]) if counts else x["value"]), "|"), F.lit("")).alias(c)
+    return done.select(
+        "university", "unit_key", "unit_rows", "outcome_rows", "scored_rows", "quota_rows", "metric_count", text("unit_ids", False), text("names", True), text("grps", True), text("urls", False), text("availability", True), text("samples", False),
+        F.array_join("recent_years", "|").alias("recent_years"), F.array_join("missing_years", "|").alias("missing_years"), "continuity", F.array_join("flags", "|").alias("flags"), F.col("priority").cast("long").alias("priority"),
+    )

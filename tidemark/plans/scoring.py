@@ -58,6 +58,7 @@ _LEAVES = (
     f"required_inputs array<string>, external_components array<string>, selection_policy {_struct(_SPEC + f', groups array<{_struct(_SPEC)}>')}, english_policy {_struct(_POLICY)}, history_policy {_struct(_POLICY)}, "
     "inquiry_policy struct<count:int,mode:string,conversion_risk:boolean,table_from:string,table_max:double,table:map<int,double>>"
 )
+ALTERNATIVE = _struct(_LEAVES)
 RULE = _struct(f"score_type string, verified_status string, eligibility struct<required_math_selections:array<string>,required_category:string,max_history_grade:int>, {_LEAVES}, alternatives array<{_struct(_LEAVES)}>")
 
 Get = Callable[[str], Column]
@@ -577,15 +578,24 @@ def plan_risk(picks: DataFrame, *, by: str = "plan_id") -> DataFrame:
     )
 
 
-def rule_struct(**fields: Column) -> Column:
-    """A RULE column from some of its fields; the others are null."""
+def _with_fields(kind: str, fields: dict[str, Column]) -> Column:
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = _parse_datatype_string(RULE)
-    unknown = set(fields) - set(kind.names)
+    types = _parse_datatype_string(kind)
+    unknown = set(fields) - set(types.names)
     if unknown:
         raise ValueError(f"not fields of a rule: {sorted(unknown)}")
-    return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in types.fields))
+
+
+def rule_struct(**fields: Column) -> Column:
+    """A RULE column from some of its fields; the others are null."""
+    return _with_fields(RULE, fields)
+
+
+def alternative_struct(**fields: Column) -> Column:
+    """One of a rule's alternatives from some of its fields; the others are the rule's own."""
+    return _with_fields(ALTERNATIVE, fields)
 
 
 def band_changes(before: DataFrame, after: DataFrame, keys: list[str], unit: str) -> DataFrame:
