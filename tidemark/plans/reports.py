@@ -431,7 +431,7 @@ def seed_audit(spark, sf):
 # --- unit clusters ---
 
 _UNITS = "select p_partkey, p_brand as university, case when p_partkey % 3 = 0 then p_name else p_name || ' (' || lower(p_type) || ')' end as unit_name, p_name, 1993 + p_partkey % 11 as year, case p_partkey % 4 when 0 then 'A' when 1 then 'N' when 2 then 'R' end as grp, p_type from part"
-_OUTCOMES = "select l_partkey as p_partkey, l_orderkey, l_linenumber, l_suppkey, l_discount > 0.08 as scored, l_tax > 0.07 as quota, cast(l_quantity as int) % 3 as metrics, l_returnflag || l_linestatus as availability, l_orderkey % 40 as url, 1995 + l_orderkey % 7 as year, l_orderkey * 10 + l_linenumber as line from lineitem"
+_OUTCOMES = "select l_partkey as p_partkey, l_orderkey, l_linenumber, l_suppkey, l_discount > 0.08 as scored, l_tax > 0.07 as quota, cast(l_quantity as int) % 3 as metrics, l_returnflag || l_linestatus as availability, l_orderkey % 40 as url, 1995 + l_orderkey % 7 as year, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey as line from lineitem"
 
 
 @query(f"""
@@ -440,13 +440,13 @@ s as (select p_partkey, count(*) as outcome_rows, count(*) filter (scored) as sc
 t as (select university, unit_key, count(*) as unit_rows, coalesce(sum(outcome_rows), 0) as outcome_rows, coalesce(sum(scored_rows), 0) as scored_rows, coalesce(sum(quota_rows), 0) as quota_rows, coalesce(sum(metric_count), 0) as metric_count,
   count(distinct grp) as n_groups, count(distinct unit_name) as n_names from u left join s using (p_partkey) group by all),
 ids as (select university, unit_key, string_agg(p_partkey, '|' order by p_partkey) as unit_ids from (select * from u qualify row_number() over (partition by university, unit_key order by p_partkey) <= 12) group by all),
-names as (select university, unit_key, string_agg(unit_name || ':' || n, '|' order by n desc, f) as names from (select university, unit_key, unit_name, count(*) as n, min(p_partkey) as f from u group by all qualify row_number() over (partition by university, unit_key order by n desc, f) <= 2) group by all),
+names as (select university, unit_key, string_agg(unit_name || ':' || n, '|' order by n desc, f) as names from (select university, unit_key, unit_name, count(*) as n, min(p_partkey) as f from u group by university, unit_key, unit_name qualify row_number() over (partition by university, unit_key order by n desc, f) <= 2) group by all),
 grps as (select university, unit_key, string_agg(grp || ':' || n, '|' order by n desc, f) as grps from (select university, unit_key, grp, count(*) as n, min(p_partkey) as f from u where grp is not null group by all) group by all),
 ys as (select university, unit_key, list_sort(list_filter(list(distinct year), lambda y: y between 1995 and 2001)) as recent from u group by all),
 j as (select u.university, u.unit_key, u.p_partkey as k, o.* exclude (p_partkey) from u join o using (p_partkey)),
-urls as (select university, unit_key, string_agg(url, '|' order by f) as urls from (select university, unit_key, url, min((k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by f) <= 5) group by all),
-av as (select university, unit_key, string_agg(availability || ':' || n, '|' order by n desc, f) as availability from (select university, unit_key, availability, count(*) as n, min((k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by n desc, f) <= 3) group by all),
-smp as (select university, unit_key, string_agg(l_suppkey, '|' order by y desc, f) as samples from (select university, unit_key, l_suppkey, max(year) as y, arg_min((k, line), (-year, k, line)) as f from j group by all qualify row_number() over (partition by university, unit_key order by y desc, f) <= 4) group by all)
+urls as (select university, unit_key, string_agg(url, '|' order by f) as urls from (select university, unit_key, url, min((k, line)) as f from j group by university, unit_key, url qualify row_number() over (partition by university, unit_key order by f) <= 5) group by all),
+av as (select university, unit_key, string_agg(availability || ':' || n, '|' order by n desc, f) as availability from (select university, unit_key, availability, count(*) as n, min((k, line)) as f from j group by university, unit_key, availability qualify row_number() over (partition by university, unit_key order by n desc, f) <= 3) group by all),
+smp as (select university, unit_key, string_agg(l_suppkey, '|' order by y desc, f) as samples from (select university, unit_key, l_suppkey, max(year) as y, arg_min((k, line), (-year, k, line)) as f from j group by university, unit_key, l_suppkey qualify row_number() over (partition by university, unit_key order by y desc, f) <= 4) group by all)
 select university, unit_key, unit_rows, outcome_rows::bigint as outcome_rows, scored_rows::bigint as scored_rows, quota_rows::bigint as quota_rows, metric_count::bigint as metric_count, unit_ids, names, coalesce(grps, '') as grps, coalesce(urls, '') as urls, coalesce(availability, '') as availability, coalesce(samples, '') as samples,
   array_to_string(recent, '|') as recent_years, array_to_string(list_filter({list(range(1995, 2002))}, lambda y: not list_contains(recent, y)), '|') as missing_years, case when len(recent) >= 5 then 'high' when len(recent) >= 3 then 'medium' else 'low' end as continuity,
   concat_ws('|', case when len(recent) >= 5 then 'has_recent_5plus_years' end, case when len(recent) = 7 then 'has_full_coverage' end, case when len(recent) < 7 then 'has_recent_year_gaps' end, case when scored_rows > 0 then 'has_score_outcomes' end, case when quota_rows > 0 then 'has_quota_competition' end,
