@@ -77,9 +77,20 @@ def years(text: Column, low: int, high: int) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda y: y.between(low, high))))
 
 
+# --- fixed values: forms of dates ---
+FULL_DATE = r"(?:20[0-9]{2}|['′][0-9]{2})\s*[.\-년]\s*(?:1[0-2]|0?[1-9])\s*[.\-월]\s*(?:[12][0-9]|3[01]|0?[1-9])(?![0-9])\s*[.\-일]?(?:\s*\([^)]{1,8}\))?(?:\s*[0-9]{1,2}:[0-9]{2})?"
+SHORT_DATE = r"(?<![0-9])(?:1[0-2]|0?[1-9])\s*[.월]\s*(?:[12][0-9]|3[01]|0?[1-9])(?![0-9])\s*[.일]?(?:\s*\([^)]{1,8}\))?(?:\s*[0-9]{1,2}:[0-9]{2})?"
+# --- end of fixed values ---
+
+
 def dates(text: Column, most: int = 80) -> Column:
-    """Distinct dates by position: full dates first in the pattern, so that shorter ones within them don't count."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:20[0-9]{2}[.\-/][0-9]{1,2}[.\-/][0-9]{1,2})|(?:[0-9]{1,2}[.\-/][0-9]{1,2}))"), 1)), 1, most)
+    """Distinct dates by position, at most `most`: with a year, or month and day outside of such a date. White space is single, signs at the ends are gone.
+
+    The full form comes first in the alternation and takes its whole span, so that what lies inside it isn't found again.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"({FULL_DATE}|{SHORT_DATE})"), F.lit(1))
+    tidy = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ ,;]+|[ ,;]+$", ""))
+    return F.slice(F.array_distinct(F.filter(tidy, lambda x: x != "")), 1, most)
 
 
 def quotas(text: Column, most: int = 80) -> Column:
@@ -88,6 +99,15 @@ def quotas(text: Column, most: int = 80) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda n: n.between(1, 500))), 1, most)
 
 
+def quota_numbers(text: Column, given: Column, terms: str, most: int = 80) -> Column:
+    """Distinct whole numbers of 1 to 500, at most `most`: the given ones; if there are none and the text has one of the terms, those that stand alone in it (no part of a decimal, no percentage)."""
+    fits = lambda numbers: F.filter(numbers, lambda n: n.between(1, 500))
+    own = fits(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda x: F.trim(x).try_cast("int")))
+    alone = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([1-9][0-9]{0,2}|0)(?![0-9.%])"), F.lit(1)), lambda x: x.cast("int"))
+    chosen = F.when(F.size(own) > 0, own).when(text.rlike(terms), fits(alone)).otherwise(F.array().cast("array<int>"))
+    return F.slice(F.array_distinct(chosen), 1, most)
+
+
 def plain_text(html: Column) -> Column:
     """Visible text of markup: scripts, styles, comments and tags out, common entities decoded, control characters out."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")

@@ -39,9 +39,10 @@ def merged_by_name(df: DataFrame, name: str, id_col: str, count_col: str, rank_c
     ).select(name, "ids", count_col, rank_col, *(F.col(f"_a.{a}").alias(a) for a in attributes))
 
 
-def value_counts(df: DataFrame, array: Column, name: str = "value") -> DataFrame:
-    """How often each array element occurs."""
-    return df.select(F.explode(array).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, array: Column, name: str = "value", by: list[str] | None = None) -> DataFrame:
+    """How often each array element occurs, for each key of `by`."""
+    keys = by or []
+    return df.select(*keys, F.explode(array).alias(name)).groupBy(*keys, name).agg(F.count("*").alias("n"))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:

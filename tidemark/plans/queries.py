@@ -408,7 +408,7 @@ select p_brand, value, count(*) as n from (select p_brand, unnest([lower(p_type)
 """)
 def reason_frequency(spark, sf):
     codes = F.array(F.lower("p_type"), F.concat(F.lit("size"), (F.col("p_size") % 3).cast("string")))
-    return table(spark, sf, "part").select("p_brand", F.explode(codes).alias("value")).groupBy("p_brand", "value").agg(F.count("*").alias("n"))
+    return aggregates.value_counts(table(spark, sf, "part"), codes, by=["p_brand"])
 
 
 @query("""
@@ -509,7 +509,27 @@ def hash31_key(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", keys.hash31(F.col("s_name")).alias("h"))
 
 
-@query(None)
+def _horner_sql(x: str, terms) -> str:
+    out = f"{terms[0]!r}::double"
+    for t in terms[1:]:
+        out = f"({out} * {x} + ({t!r}::double))"
+    return out
+
+
+_PROBIT = f"""
+case when p < {numeric.QUANTILE_TAIL} then {_horner_sql("sqrt(-2 * ln(p))", numeric.QUANTILE_C)} / {_horner_sql("sqrt(-2 * ln(p))", (*numeric.QUANTILE_D, 1.0))}
+  when p > 1 - {numeric.QUANTILE_TAIL} then -({_horner_sql("sqrt(-2 * ln(1 - p))", numeric.QUANTILE_C)} / {_horner_sql("sqrt(-2 * ln(1 - p))", (*numeric.QUANTILE_D, 1.0))})
+  else {_horner_sql("((p - 0.5) * (p - 0.5))", numeric.QUANTILE_A)} * (p - 0.5) / {_horner_sql("((p - 0.5) * (p - 0.5))", (*numeric.QUANTILE_B, 1.0))} end"""
+
+
+@query(f"""
+with parts as (select c_custkey, unnest([{{'x': (c_acctbal + 1000) / 110, 'w': 0.6::double}}, {{'x': 100 - (c_acctbal + 1000) / 110, 'w': 0.2::double}}, {{'x': case when c_custkey % 2 = 0 then 50.0::double end, 'w': 0.2::double}}]) as r from customer),
+ps as (select c_custkey, r.w as w, least(greatest(r.x, 0.6), 99.4) / 100 as p from parts where r.x is not null),
+z as (select c_custkey, sum(w * ({_PROBIT})) / sum(w) as z from ps group by c_custkey),
+t as (select c_custkey, z, abs(z) / sqrt(2.0::double) as x, 1 / (1 + {numeric.ERF_P} * (abs(z) / sqrt(2.0::double))) as t from z),
+e as (select *, 1 - {_horner_sql("t", (*reversed(numeric.ERF_A), 0.0))} * exp(-x * x) as erf from t)
+select c_custkey, floor(case when z < 0 then 0.5 * (1 - erf) else 0.5 * (1 + erf) end * 100 * 100 + 0.5) / 100 as composite from e
+""")
 def probit_composite(spark, sf):
     x = (F.col("c_acctbal") + 1000) / 110
     return table(spark, sf, "customer").select("c_custkey", numeric.round2(numeric.composite_percentile([(x, 0.6), (100 - x, 0.2), (F.when(F.col("c_custkey") % 2 == 0, F.lit(50.0)), 0.2)])).alias("composite"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as texts
 from tidemark.functions.text import compact, group_key
-from tidemark.operators import clusters, containment, matrix
+from tidemark.operators import clusters, containment, guards, matrix
 from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
 from tidemark.plans.queries import _ANALYSIS, _CASES, YEARS, _candidates, query, table
 
@@ -477,3 +478,59 @@ def unit_clusters(spark, sf):
         "university", "unit_key", "unit_rows", "outcome_rows", "scored_rows", "quota_rows", "metric_count", text("unit_ids", False), text("names", True), text("grps", True), text("urls", False), text("availability", True), text("samples", False),
         F.array_join("recent_years", "|").alias("recent_years"), F.array_join("missing_years", "|").alias("missing_years"), "continuity", F.array_join("flags", "|").alias("flags"), F.col("priority").cast("long").alias("priority"),
     )
+
+
+# --- text guards, dates and quotas ---
+
+_TERMS = {
+    "licence": r"[Ll]icensed?|MIT|Apache",
+    "mail": r"[a-z0-9._]+@[a-z0-9.]+",
+    "link": r"https?://[a-z0-9./_-]+",
+    "insult": r"idiot|loser|pathetic|disgusting",
+    "table": r" \| ",
+    "signs": r"\*\*\*|###|%%%|\$\$\$|&&&",
+    "article": r"\b(?:the|der|die|les|las)\b",
+    "number": r"[0-9]+(?:\.[0-9]+)?",
+}
+_RULES = [
+    guards.Rule("licence_near_link", near=(guards.Near("licence", "link", 60),)),
+    guards.Rule("contact", some=("mail", "link"), none=("licence",)),
+    guards.Rule("junk_table", every=("table",), none=("article",)),
+    guards.Rule("junk_signs", every=("signs",), none=("table",), also=lambda t: F.char_length(t) > 400),
+    guards.Rule("insulting_prose", every=("insult", "article"), none=("signs", "table")),
+    guards.Rule("numbers_only", every=("number",), none=("article", "licence")),
+]
+
+
+@query(f"""
+with h as (select doc_id, text, list_distinct(regexp_extract_all(coalesce(text, ''), '({"|".join(f"(?:{p})" for p in _TERMS.values())})', 1)) as f from documents),
+g as (select doc_id, text, list_filter([{", ".join(f"case when len(list_filter(f, lambda x: regexp_full_match(x, '{p}'))) > 0 then '{n}' end" for n, p in _TERMS.items())}], lambda x: x is not null) as groups from h)
+select doc_id, array_to_string(groups, '|') as groups, case when list_contains(groups, 'licence') and list_contains(groups, 'link') and regexp_matches(text, '(?s)(?:{_TERMS["licence"]}).{{0,60}}(?:{_TERMS["link"]})') then 'licence_near_link'
+  when (list_contains(groups, 'mail') or list_contains(groups, 'link')) and not list_contains(groups, 'licence') then 'contact' when list_contains(groups, 'table') and not list_contains(groups, 'article') then 'junk_table'
+  when list_contains(groups, 'signs') and not list_contains(groups, 'table') and length(text) > 400 then 'junk_signs' when list_contains(groups, 'insult') and list_contains(groups, 'article') and not list_contains(groups, 'signs') and not list_contains(groups, 'table') then 'insulting_prose'
+  when list_contains(groups, 'number') and not list_contains(groups, 'article') and not list_contains(groups, 'licence') then 'numbers_only' else 'clean' end as verdict from g
+""")
+def text_guards(spark, sf):
+    return guards.guarded(table(spark, sf, "documents").select("doc_id", "text"), "text", _TERMS, _RULES).select("doc_id", F.array_join("groups", "|").alias("groups"), "verdict")
+
+
+_NOTICES = """select o_orderkey, case o_orderkey % 5 when 4 then 'nothing dated, 33.5 of 120%' else '접수 ' || (year(o_orderdate) + 26) || '. ' || month(o_orderdate) || '.  ' || day(o_orderdate) || '. (월) 10:00 ~ ' || (1 + o_orderkey % 12) || '.' || (1 + o_orderkey % 28) || ', 발표 ' ||
+  (1 + o_custkey % 12) || '월 ' || (1 + o_custkey % 28) || '일; 모집 ' || (o_custkey % 700) || ' 및 ' || (o_orderkey % 90) || ' / 13.' || (o_custkey % 10) || ' ' || (o_orderkey % 40) || '%' || ' 접수 ' || (year(o_orderdate) + 26) || '. ' || month(o_orderdate) || '. ' || day(o_orderdate) || '. (월) 10:00' end as notice,
+  case when o_orderkey % 6 = 0 then (o_custkey % 900) || '|x|' || (o_orderkey % 3) || '|7' else '' end as given from orders"""
+
+
+@query(f"""
+with n as ({_NOTICES}),
+d as (select o_orderkey, notice, given, array_to_string(list_transform(list_filter(['(' || regexp_extract(notice, '접수 (20[0-9]{{2}}\\. [0-9]+\\.  [0-9]+\\. \\(월\\) 10:00)', 1) || ')',
+    '(' || regexp_extract(notice, '~ ([0-9]+\\.[0-9]+)', 1) || ')', '(' || regexp_extract(notice, '발표 ([0-9]+월 [0-9]+일)', 1) || ')'], lambda x: x <> '()'), lambda x: regexp_replace(x[2:-2], ' +', ' ', 'g')), '|') as dates from n),
+q as (select *, list_filter(list_transform(string_split(given, '|'), lambda x: try_cast(x as int)), lambda x: x between 1 and 500) as own,
+  list_filter(list_transform([regexp_extract(notice, '모집 ([0-9]+)', 1), regexp_extract(notice, '및 ([0-9]+)', 1)], lambda x: try_cast(x as int)), lambda x: x between 1 and 500) as picked,
+  list_filter(list_transform([regexp_extract(notice, '발표 ([0-9]+)월', 1), regexp_extract(notice, '월 ([0-9]+)일', 1)], lambda x: try_cast(x as int)), lambda x: x is not null) as said from d),
+u as (select o_orderkey, dates, case when len(own) > 0 then own when contains(notice, '모집') then list_concat(list_concat(list_concat(case when notice <> '' then [10] end, said), picked), [10]) else [] end as raw from q)
+select o_orderkey, dates, array_to_string(list_filter(list_transform(range(1, len(raw) + 1), lambda i: case when list_position(raw, raw[i]) = i then raw[i] end), lambda x: x is not null), '|') as quotas from u
+""")
+def dates_and_quotas(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    notices, notice = spark.sql(_NOTICES), F.col("notice")
+    numbers = texts.quota_numbers(notice, F.split("given", r"\|"), "모집")
+    return notices.select("o_orderkey", F.array_join(texts.dates(notice), "|").alias("dates"), F.array_join(F.transform(numbers, lambda x: x.cast("string")), "|").alias("quotas"))
