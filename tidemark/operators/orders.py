@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,22 @@ def by_series(years: str, rows: str, names: list[str]) -> list[Column]:
 
 def by_draft(bucket: Column, year: str, name: str, priority: str, id_col: str) -> list[Column]:
     return [bucket.asc(), F.desc(year), F.asc(name), F.desc(priority), F.asc(id_col)]
+
+
+def collated(name: str, language: str = "ko") -> Column:
+    """A name as the language sorts it: for Korean, Hangul before Latin letters, without regard to code points."""
+    return F.collate(F.col(name), language)
+
+
+def by_unit(tier: Column, readiness: Column, display: str, names: list[str], id_col: str) -> list[Column]:
+    """Tier, readiness, display order, then the names as Korean sorts them; the id decides where these are equal."""
+    return [tier.asc(), readiness.asc(), F.asc(display), *(collated(n).asc() for n in names), F.asc(id_col)]
+
+
+def by_match(match: str, tier: Column, display: str, name: str, id_col: str) -> list[Column]:
+    return [F.asc(match), tier.asc(), F.asc(display), collated(name).asc(), F.asc(id_col)]
+
+
+def cut(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows with their rank from 1. The limit is taken in tasks first; only what is left is ranked in one place."""
+    return df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as texts
 from tidemark.functions.text import compact, group_key
 from tidemark.operators import clusters, containment, guards, matrix
+from tidemark.operators import orders as listing
 from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
-from tidemark.plans.queries import _ANALYSIS, _CASES, YEARS, _candidates, query, table
+from tidemark.plans.queries import _ANALYSIS, _CASES, NAMES, YEARS, _candidates, query, table
+from tidemark.plans.worklists import listing_parts
 
 # --- simulation ---
 
@@ -534,3 +538,51 @@ def dates_and_quotas(spark, sf):
     notices, notice = spark.sql(_NOTICES), F.col("notice")
     numbers = texts.quota_numbers(notice, F.split("given", r"\|"), "모집")
     return notices.select("o_orderkey", F.array_join(texts.dates(notice), "|").alias("dates"), F.array_join(F.transform(numbers, lambda x: x.cast("string")), "|").alias("quotas"))
+
+
+# --- listings with their ranks ---
+
+_SYLLABLES = ("가", "각", "나 다", "나다", "힣", "Ab", "ab", "B", "é", "z", "1", "한국", "한 국")
+_LIST = f"[{', '.join(repr(x) for x in _SYLLABLES)}]"
+_NAMED = f"select s_suppkey, {_LIST}[s_suppkey % 13 + 1] || {_LIST}[s_suppkey * 5 % 13 + 1] as university, {_LIST}[s_suppkey * 7 % 13 + 1] || {_LIST}[s_suppkey // 13 % 13 + 1] as unit, case s_nationkey % 4 when 0 then 'core' when 1 then 'extended' end as tier, s_acctbal > 4000 as ready, s_nationkey // 5 as display from supplier"
+_TIER_RANK = "coalesce(list_position(['core', 'extended'], tier) - 1, 2)"
+_MATCH = "case when k = 'ab' then 0 when starts_with(k, 'ab') then 1 when contains(k, 'ab') then 2 end"
+
+
+def _named(spark, sf):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _SYLLABLES)), (i % 13 + 1).cast("int"))
+    names = [F.concat(pick(k), pick(k * 5)).alias("university"), F.concat(pick(k * 7), pick(F.floor(k / 13))).alias("unit")]
+    return table(spark, sf, "supplier").select("s_suppkey", *names, F.when(n % 4 == 0, "core").when(n % 4 == 1, "extended").alias("tier"), (F.col("s_acctbal") > 4000).alias("ready"), F.floor(n / 5).alias("display"))
+
+
+@query(f"""
+with u as ({_NAMED}), m as (select *, {_MATCH} as match from (select *, lower(regexp_replace(university, '[\\s()\\[\\]{{}}·.,-]+', '', 'g')) as k from u))
+select 'units' as mode, s_suppkey, row_number() over (order by {_TIER_RANK}, not ready, display, university collate ko, unit collate ko, s_suppkey)::int as rank from u qualify rank <= 80
+union all select 'universities', s_suppkey, row_number() over (order by match, {_TIER_RANK}, display, university collate ko, s_suppkey)::int from m where match is not null qualify row_number() over (order by match, {_TIER_RANK}, display, university collate ko, s_suppkey) <= 50
+""")
+def collated_listings(spark, sf):
+    named = _named(spark, sf)
+    tier = listing.rank_in(F.col("tier"), ("core", "extended"))
+    units = listing.cut(named, listing.by_unit(tier, F.when(F.col("ready"), 0).otherwise(1), "display", ["university", "unit"], "s_suppkey"), 80)
+    found = named.withColumn("match", texts.search_rank(F.lit("ab"), F.array("university"))).filter("match is not null")
+    universities = listing.cut(found, listing.by_match("match", tier, "display", "university", "s_suppkey"), 50)
+    return units.select(F.lit("units").alias("mode"), "s_suppkey", "rank").unionByName(universities.select(F.lit("universities").alias("mode"), "s_suppkey", "rank"))
+
+
+def _ranked_sql(sql: str) -> str:
+    """The listings' SQL with the row number of each cut in its own order."""
+    head, _, body = sql.partition("select 'gap'")
+    parts = re.split(r"\s*union all (?=select ')", "select 'gap' " + body.strip())
+    numbered = [re.sub(r"^select ('\w+')(?: as mode)?, id from (.*)$", r"select \1 as mode, id, (row_number() over ())::int as rank from \2", p, flags=re.S) for p in parts]
+    assert len(parts) == 8 and all("row_number()" in p for p in numbered)
+    return head + " union all ".join(numbered)
+
+
+@query(_ranked_sql(NAMES["listings"][1]))
+def listing_ranks(spark, sf):
+    parts = [listing.cut(df, order, most).select(F.lit(name).alias("mode"), F.col(key).alias("id"), "rank") for name, (df, order, key, most) in listing_parts(spark, sf).items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

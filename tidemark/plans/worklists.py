@@ -290,13 +290,18 @@ union all select 'actions', id from (select o_orderkey as id from orders order b
 union all select 'drafts', id from (select o_orderkey as id from orders order by year(o_orderdate) < 1999, year(o_orderdate) desc, o_orderstatus, o_totalprice desc, o_orderkey limit 70)
 """)
 def listings(spark, sf):
+    return _modes({name: df.orderBy(*order).limit(k).select(F.col(id_col).alias("id")) for name, (df, order, id_col, k) in listing_parts(spark, sf).items()})
+
+
+def listing_parts(spark, sf) -> dict:
+    """Of each listing: rows, order, id column and limit."""
     s, o, e = (table(spark, sf, t) for t in ("supplier", "orders", "events"))
     tiers = ("1-URGENT", "2-HIGH", "3-MEDIUM")
     o = o.withColumn("year", _year("o_orderdate"))
     e = e.withColumn("priority", F.when(F.col("event_type") != "error", F.col("value")))
     series = o.groupBy("o_custkey").agg(F.count_distinct("year").alias("years"), F.count("*").alias("rows"))
     tier = orders.rank_in(F.col("o_orderpriority"), tiers)
-    parts = {
+    return {
         "gap": (s.withColumn("gap", F.nullif(F.col("s_acctbal"), F.lit(0.0))), orders.by_gap("gap", "s_suppkey"), "s_suppkey", filters.limit_of(40, 20, 80)),
         "readiness": (o, orders.by_readiness(tier, F.col("o_totalprice") > 200000, "o_orderdate", ["o_orderstatus"], "o_orderkey"), "o_orderkey", filters.limit_of(400, 20, 80)),
         "queue": (e, orders.by_priority_or_last("priority", "event_type", "event_id"), "event_id", filters.limit_of(None, 500, 2000)),
@@ -306,7 +311,6 @@ def listings(spark, sf):
         "actions": (o, [*orders.by_gap_action("o_orderpriority", tiers, "o_totalprice", "year", "o_orderstatus", "o_orderkey")], "o_orderkey", 90),
         "drafts": (o, orders.by_draft((F.col("year") < 1999).cast("int"), "year", "o_orderstatus", "o_totalprice", "o_orderkey"), "o_orderkey", 70),
     }
-    return _modes({name: df.orderBy(*order).limit(k).select(F.col(id_col).alias("id")) for name, (df, order, id_col, k) in parts.items()})
 
 
 @query("with c as (select o_custkey, unnest([o_orderstatus, o_orderpriority]) as code from orders), n as (select o_custkey, code, count(*) as n from c group by all) select o_custkey, code, n from n qualify row_number() over (partition by o_custkey order by n desc, code) <= 5")
