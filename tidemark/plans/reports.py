@@ -399,7 +399,7 @@ def rule_shapes(spark, sf):
 
 @query("""
 with l as (select count(*) as rows, count(*) filter (o_orderkey is null) as line_orders_missing, count(*) filter (p_partkey is null) as line_parts_missing, count(*) filter (s_suppkey is null) as line_suppliers_missing,
-  count(*) filter (l_quantity <= 0) as line_quantity_not_positive, count(*) filter (l_shipdate >= timestamp '2001-06-01') as line_late_rows from lineitem left join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey left join (select * from supplier where s_suppkey % 10 <> 3) on l_suppkey = s_suppkey),
+  count(*) filter (l_quantity <= 0) as line_quantity_not_positive, count(*) filter (l_shipdate >= timestamp '2001-06-01') as line_late_rows from lineitem left join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey left join (select * from supplier where s_acctbal >= 500) on l_suppkey = s_suppkey),
 o as (select count(*) as rows, count(*) filter (c_custkey is null) as order_customers_missing, count(*) filter (o_orderstatus not in ('O', 'F', 'P')) as order_status_unknown, count(*) filter (o_totalprice > 450000) as order_high_totals from orders left join customer on o_custkey = c_custkey),
 e as (select count(*) as rows, count(*) filter (json_type(try_cast(props as json), '$.k') is null) as event_props_without_k, count(*) filter (event_type = 'error') as event_errors from events),
 m as (select list_filter([case when line_orders_missing > 0 then 'lineitem: missing orders: ' || line_orders_missing end, case when line_parts_missing > 0 then 'lineitem: missing parts: ' || line_parts_missing end, case when line_suppliers_missing > 0 then 'lineitem: missing suppliers: ' || line_suppliers_missing end,
@@ -415,7 +415,7 @@ def seed_audit(spark, sf):
     lines = [
         ref("line_orders_missing", "l_orderkey", of("orders"), "o_orderkey", "missing orders"),
         ref("line_parts_missing", "l_partkey", of("part"), "p_partkey", "missing parts"),
-        ref("line_suppliers_missing", "l_suppkey", of("supplier").filter("s_suppkey % 10 <> 3"), "s_suppkey", "missing suppliers"),
+        ref("line_suppliers_missing", "l_suppkey", of("supplier").filter("s_acctbal >= 500"), "s_suppkey", "missing suppliers"),
         check("line_quantity_not_positive", F.col("l_quantity") <= 0, "quantities not above 0"),
         check("line_late_rows", F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"), "rows of the second half of 2001 or later", "warning"),
     ]
