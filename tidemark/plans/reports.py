@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as texts
 from tidemark.functions.text import compact, group_key
-from tidemark.operators import clusters, containment, guards, matrix
+from tidemark.operators import clusters, containment, grids, guards, matrix
 from tidemark.operators import orders as listing
 from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
 from tidemark.plans.queries import _ANALYSIS, _CASES, NAMES, YEARS, _candidates, query, table
@@ -586,3 +586,45 @@ def listing_ranks(spark, sf):
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+# --- sheets of several blocks ---
+
+_CELLS = """with n as (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as i from lineitem)
+select l_suppkey as sheet, i as line, case when i % 9 = 1 and i % 4 > 0 then {array}('grade', case when i % 2 = 0 then 'S' || (l_partkey % 50) else '' end, '', '', 'T' || (l_partkey % 7), '', '')
+  when i % 9 = 1 then {array}('grade', '', ' ') when i % 9 = 5 and i % 2 = 0 then {array}('', 'Korean' || (i % 3), '', '', '', case when i % 4 = 0 then 'Math' else '' end, '', '')
+  when i % 9 = 6 and i % 2 = 1 then {array}('', 'score', 'm', 'f', '', 'score', 'm', 'f') when i % 9 = 8 and i % 5 = 0 then {array}('total', '1', '2') when i % 9 = 7 and i % 7 = 0 then {array}('', ' ', '')
+  else {array}(cast(cast(l_quantity as int) % 12 as varchar(9)), cast(l_partkey % 150 as varchar(9)), case when l_partkey % 3 = 0 then '1,' || (100 + l_orderkey % 800) else '' end, case when l_tax > 0.03 then '12.5' else '' end, cast(100 + l_orderkey % 40 as varchar(9)), case when l_partkey % 2 = 0 then '77' else 'x' end) end as cells from n"""
+_DUCK_CELLS, _SPARK_CELLS = _CELLS.format(array="list_value"), _CELLS.format(array="array")
+_AT = "nullif(trim(cells[{}]), '')"
+
+
+def _whole_sql(x: str) -> str:
+    return f"try_cast(case when regexp_full_match(replace({x}, ',', ''), '[+-]?[0-9]+') then replace({x}, ',', '') end as int)"
+
+
+@query(f"""
+with g as ({_DUCK_CELLS}), h as (select *, case when {_AT.format(1)} = 'grade' then line end as mark, case when {_AT.format(1)} = 'grade' then list_filter(list_transform(range(2, len(cells) + 1), lambda i: {{'col': i, 'name': trim(cells[i])}}), lambda b: b.name <> '') end as bs from g),
+c as (select *, last_value(mark ignore nulls) over w as header_row, last_value(bs ignore nulls) over w as own from h window w as (partition by sheet order by line rows between unbounded preceding and 1 preceding)),
+x as (select sheet, line, header_row, cells, unnest(own) as b, {_whole_sql(_AT.format(1))} as grade from c where mark is null and header_row is not null),
+r as (select sheet, line, header_row, b.name as name, grade, {_AT.format("b.col")} as cut, {_AT.format("b.col + 1")} as takers, {_AT.format("b.col + 2")} as ratio from x where grade between 1 and 9)
+select sheet, line, header_row, name, grade, cut, {_whole_sql('takers')} as takers, try_cast(ratio as double) as ratio from r where cut is not null or takers is not null or ratio is not null
+""")
+def sheet_grade_cuts(spark, sf):
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    return grids.grade_cuts(spark.sql(_SPARK_CELLS.replace("varchar(9)", "string")), "sheet", "line", "cells", "grade")
+
+
+@query(f"""
+with g as ({_DUCK_CELLS}), a as (select *, lag(cells) over (partition by sheet order by line) as above from g),
+h as (select *, list_filter(list_transform(range(1, len(cells) + 1), lambda i: {{'col': i, 'name': nullif(trim(above[i]), ''), 'ok': trim(cells[i]) = 'score' and coalesce(trim(cells[i + 1]), '') = 'm'}}), lambda b: b.ok) as bs,
+  list_contains(list_transform(cells, lambda x: trim(x)), 'score') or len(list_filter(cells, lambda x: trim(x) <> '')) = 0 or coalesce(trim(cells[1]), '') = 'total' as ends from a),
+m as (select *, case when len(bs) > 0 then {{'row': line, 'bs': bs}} when ends then {{'row': null, 'bs': null}} end as state, len(bs) > 0 or ends as is_mark from h),
+c as (select *, last_value(case when is_mark then line end ignore nulls) over w as at from m window w as (partition by sheet order by line rows between unbounded preceding and 1 preceding)),
+x as (select c.sheet, c.line, c.cells, unnest(m.bs) as b from c join m on m.sheet = c.sheet and m.line = c.at where not c.is_mark and len(m.bs) > 0),
+r as (select sheet, line, b.name as name, {", ".join(f"{_whole_sql(_AT.format(f'b.col + {i}'))} as {n}" for i, n in enumerate(("score", "first", "second", "both", "running")))} from x where b.name is not null)
+select * from r where score is not null
+""")
+def sheet_distributions(spark, sf):
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
+    return grids.distributions(spark.sql(_SPARK_CELLS.replace("varchar(9)", "string")), "sheet", "line", "cells", "score", "m", "total")
