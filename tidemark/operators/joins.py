@@ -165,9 +165,21 @@ def by_indexes(gaps: DataFrame, key: str, indexes: list[tuple[DataFrame, list[st
     return found.unionByName(more.distinct())
 
 
-def first_scoped(rows: DataFrame, tracks: DataFrame, key: str, id_col: str, scopes: list[Column], order: list) -> DataFrame:
-    """Each row with the first track of its key by the first scope condition that holds; a row that none fits keeps null."""
+def first_scoped(rows: DataFrame, tracks: DataFrame, key: str, id_col: str, scopes: list[Column], order: list, *, both: bool = False) -> DataFrame:
+    """Each row with the first track of its key by the first scope condition that holds; a row that none fits keeps null.
+
+    Scopes and order read the tracks' columns, so tracks are ranked by key before they meet the rows. With `both` they may read
+    the rows' columns, too: then each row meets all tracks of its key, and id_col identifies rows.
+    """
     scope = F.coalesce(*(F.when(c, i) for i, c in enumerate(scopes)))
-    best = top_k(rows.join(tracks, key).withColumn("scope", scope).filter("scope is not null"), [id_col], ["scope", *order])
     extra = [c for c in tracks.columns if c != key]
+    if not both:
+        best = top_k(tracks.withColumn("scope", scope).filter("scope is not null"), [key], ["scope", *order])
+        return rows.join(best.select(key, "scope", *extra), key, "left")
+    best = top_k(rows.join(tracks, key).withColumn("scope", scope).filter("scope is not null"), [id_col], ["scope", *order])
     return rows.join(best.select(id_col, "scope", *extra), id_col, "left")
+
+
+def members(df: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """Each group with the ids of its rows, in order, once: what `siblings` repeats for each row. A row's siblings are its group's ids without its own."""
+    return df.groupBy(*group).agg(F.sort_array(F.collect_set(id_col)).alias("members"))

@@ -119,12 +119,11 @@ def same_place_ids(spark, sf):
 
 
 @query("""
-with s as (select s_suppkey, s_nationkey, s_acctbal > 5000 as rich from supplier)
-select a.s_suppkey, coalesce((select string_agg(b.s_suppkey::varchar, '|' order by b.s_suppkey) from s b where b.s_nationkey = a.s_nationkey and b.rich = a.rich and b.s_suppkey <> a.s_suppkey), '') as siblings from s a
+select s_nationkey, s_acctbal > 5000 as rich, string_agg(s_suppkey::varchar, '|' order by s_suppkey) as members from supplier group by all
 """)
 def cluster_siblings(spark, sf):
     s = table(spark, sf, "supplier").withColumn("rich", F.col("s_acctbal") > 5000)
-    return joins.siblings(s, ["s_nationkey", "rich"], "s_suppkey").select("s_suppkey", F.array_join(F.col("siblings").cast("array<string>"), "|").alias("siblings"))
+    return joins.members(s, ["s_nationkey", "rich"], "s_suppkey").select("s_nationkey", "rich", F.array_join(F.col("members").cast("array<string>"), "|").alias("members"))
 
 
 @query("""
