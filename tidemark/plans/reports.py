@@ -628,3 +628,78 @@ select * from r where score is not null
 def sheet_distributions(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     return grids.distributions(spark.sql(_SPARK_CELLS.replace("varchar(9)", "string")), "sheet", "line", "cells", "score", "m", "total")
+
+
+# --- the promotion queue ---
+
+_COMMON = ("artifact", "id", "entity", "year", "strength", "confidence", "candidate_confidence", "flags", "quality", "year_status", "area_flag", "match_status", "has_score", "has_quota", "recent_count", "review_score")
+_ARTIFACTS = {
+    "outcomes": ("lineitem", {"id": "l_orderkey * 10 + l_linenumber", "year": "year(l_shipdate) + 23", "confidence": "case when l_quantity > 40 then 'high' when l_quantity > 20 then 'medium' when l_quantity < 5 then 'limited' else 'low' end", "has_score": "l_discount > 0.04", "has_quota": "l_tax > 0.03", "flags": "case when l_returnflag = 'R' then 'scale_review_required|ok' else '' end"}),
+    "units": ("orders", {"id": "o_orderkey", "year": "case when o_orderpriority <> '5-LOW' then year(o_orderdate) + 22 end", "match_status": "case o_orderstatus when 'P' then 'ambiguous' when 'F' then 'matched_by_unv_cd' end", "candidate_confidence": "case when o_totalprice < 100000 then 'low' end"}),
+    "csat_rule_drafts": ("events", {"id": "event_id", "year": "2018 + user_id % 12", "strength": "case event_type when 'view' then 'high' when 'click' then 'medium' when 'error' then 'limited' else '' end", "flags": "case when value > 90 then 'has_noise_signals|has_table' when value > 70 then 'low_structured_text|x' else 'has_table' end", "quality": "case when value < 10 then 'ocr_text|fine|title_like' else '' end", "year_status": "case when user_id % 9 = 0 then 'unknown' end", "area_flag": "case when user_id % 8 = 0 then 'source_area_review' else '' end"}),
+    "unit_clusters": ("part", {"id": "p_partkey", "recent_count": "case when p_size % 9 < 8 then p_size % 9 end", "flags": "case when p_size = 7 then 'full_recent_2021_2027_coverage' else 'missing_years' end"}),
+    "outcome_series": ("part", {"id": "p_partkey", "recent_count": "p_size % 8", "flags": "case when p_brand = 'Brand#3' then 'converted_score_scale_review_required' else '' end"}),
+    "office_evidence": ("supplier", {"id": "s_suppkey", "review_score": "case when s_acctbal > 1000 then cast(floor(s_acctbal / 50) as int) end", "entity": "'AdmissionRule'"}),
+    "policy_evidence": ("customer", {"id": "c_custkey", "entity": "case c_mktsegment when 'BUILDING' then 'AdmissionSchedule' when 'MACHINERY' then 'HistoricalOutcome' when 'HOUSEHOLD' then 'GradeCutReference' when 'FURNITURE' then 'ExamScoreReference' end", "year": "2019 + c_nationkey % 10", "confidence": "case when c_acctbal > 5000 then 'medium' end"}),
+    "universities": ("nation", {"id": "n_nationkey"}),
+    "other": ("customer", {"id": "c_custkey", "confidence": "case when c_acctbal > 8000 then 'high' when c_acctbal > 2000 then '' end", "candidate_confidence": "case when c_acctbal < 4000 then 'medium' else 'limited' end"}),
+}
+_TYPES_OF = {"year": "int", "recent_count": "int", "review_score": "int", "has_score": "boolean", "has_quota": "boolean", "id": "bigint"}
+
+
+def _artifact_sql(name: str, text: str) -> str:
+    source, own = _ARTIFACTS[name]
+    columns = [f"cast({own.get(c, 'null') if c != 'artifact' else repr(name)} as {_TYPES_OF.get(c, text)}) as {c}" for c in _COMMON]
+    return f"select {', '.join(columns)} from {source}"
+
+
+def _queue_oracle() -> str:
+    from tidemark.plans import promotion as p
+
+    rows = " union all ".join(_artifact_sql(n, "varchar") for n in _ARTIFACTS)
+    now = "coalesce(year between 2021 and 2027, false)"
+    weak = "('limited', 'low')"
+    points = lambda c, t: "case " + " ".join(f"when {c} = '{k}' then {v}" for k, v in t.items()) + " else 0 end"
+    return f"""
+with r as ({rows}), f as (select * exclude (flags, quality), list_filter(string_split(coalesce(flags, ''), '|'), lambda x: x <> '') as flags, list_filter(string_split(coalesce(quality, ''), '|'), lambda x: x <> '') as quality from r),
+b as (select *, list_filter(list_concat(list_concat(list_concat([case when year_status = 'unknown' then 'unknown_admission_year' end, nullif(area_flag, '')], list_filter(flags, lambda x: regexp_matches(x, '{p.DRAFT_BLOCKERS}'))), list_filter(quality, lambda x: regexp_matches(x, '{p.QUALITY_BLOCKERS}'))),
+  [case when match_status in ('unmatched_or_ambiguous', 'ambiguous') then 'unmatched_or_ambiguous_university' end, case when confidence in {weak} then confidence || '_confidence' end, case when candidate_confidence in {weak} then candidate_confidence || '_candidate_confidence' end]), lambda x: x is not null) as raw from f),
+t as (select *, case when artifact = 'universities' then 'p0' when artifact = 'units' then case when {now} then 'p0' else 'p2' end
+  when artifact = 'unit_clusters' then case when list_contains(flags, 'full_recent_2021_2027_coverage') or coalesce(recent_count >= 5, false) then 'p0' when coalesce(recent_count > 0, false) then 'p1' else 'p2' end
+  when artifact = 'outcomes' then case when has_score and has_quota and {now} then 'p0' when has_score and {now} then 'p1' else 'p2' end
+  when artifact = 'outcome_series' then case when list_contains(flags, 'converted_score_scale_review_required') then 'p1' when coalesce(recent_count >= 5, false) then 'p0' when coalesce(recent_count > 0, false) then 'p1' else 'p2' end
+  when entity in ('GradeCutReference', 'StandardScoreDistributionReference') then case when {now} then 'p0' else 'p2' end when entity in ('ExamScoreReference', 'ExamScoreReferenceEvidence') then case when {now} then 'p1' else 'p2' end
+  when artifact = 'csat_rule_drafts' then case when list_contains(raw, 'unknown_admission_year') or list_contains(flags, 'has_noise_signals') then case when {now} then 'p2' else 'p3' end
+    when strength in ('high', 'medium') then case when {now} then 'p0' else 'p1' end when strength in ('low', 'limited') and {now} then 'p2' else 'p3' end
+  when artifact = 'office_evidence' then case when coalesce(review_score >= 100, false) then 'p1' else 'p2' end when artifact = 'policy_evidence' then case when coalesce(entity in ('AdmissionRule', 'AdmissionSchedule'), false) then 'p1' else 'p2' end
+  when coalesce(coalesce(nullif(confidence, ''), candidate_confidence) in ('high', 'medium'), false) then 'p1' else 'p2' end as tier from b)
+select artifact, id, tier, array_to_string(list_filter(list_transform(range(1, len(raw) + 1), lambda i: case when list_position(raw, raw[i]) = i then raw[i] end), lambda x: x is not null), '|') as blockers,
+  coalesce(review_score, {points('tier', p.TIER_POINTS)} + case when {now} then 10 else 0 end + {points('strength', p.STRENGTH_POINTS)} + {points('confidence', p.CONFIDENCE_POINTS)} + case when has_score then 10 else 0 end + case when has_quota then 10 else 0 end) as score from t
+"""
+
+
+@query(_queue_oracle())
+def promotion_queue(spark, sf):
+    from tidemark.plans import promotion
+
+    for source in {s for s, _ in _ARTIFACTS.values()}:
+        table(spark, sf, source).createOrReplaceTempView(source)
+    rows = spark.sql(" union all ".join(_artifact_sql(n, "string") for n in _ARTIFACTS))
+    lists = {c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: x != "") for c in ("flags", "quality")}
+    return promotion.queue(rows.withColumns(lists)).select("artifact", "id", "tier", F.array_join("blockers", "|").alias("blockers"), "score")
+
+
+_TARGETS = """select o_orderkey, case o_custkey % 3 when 0 then 'AdmissionRule' when 1 then 'HistoricalOutcome' else 'AdmissionUnit' end as target, case when o_orderpriority = '1-URGENT' and o_totalprice > 300000 then 'rule_schedule_2027' else 'other' end as lane,
+  case o_orderstatus when 'F' then 'adiga' else 'office' end as provider, case o_orderkey % 4 when 0 then 'pdf_text_manifest' when 1 then 'raw_binary' when 2 then 'raw_text' else 'source_text' end as kind, o_totalprice > 200000 as has_quota, o_orderpriority <> '2-HIGH' as has_paths from orders"""
+
+
+@query(f"""
+select o_orderkey, case when lane = 'rule_schedule_2027' or target = 'AdmissionRule' then 'admission_rule_2027_formula_human_review_required' when target = 'HistoricalOutcome' and kind = 'pdf_text_manifest' then 'office_pdf_outcome_column_reconstruction_required'
+  when target = 'HistoricalOutcome' and kind = 'raw_binary' then 'office_workbook_outcome_strict_mismatch' when target = 'AdmissionUnit' and provider = 'adiga' and kind = 'raw_text' then case when not has_quota then 'adiga_admission_unit_identity_only_missing_quota' else 'admission_unit_source_text_strict_row_mismatch' end
+  when target = 'AdmissionUnit' and kind = 'source_text' then case when not has_quota then 'admission_unit_source_text_missing_quota' when not has_paths then 'admission_unit_source_text_missing_source_paths' else 'admission_unit_source_text_strict_row_mismatch' end else 'unclassified_pending_review' end as class from ({_TARGETS})
+""")
+def residual_classes(spark, sf):
+    from tidemark.plans.promotion import residual_class
+
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_TARGETS).select("o_orderkey", residual_class(*(F.col(c) for c in ("target", "lane", "provider", "kind", "has_quota", "has_paths"))).alias("class"))
