@@ -25,7 +25,7 @@ def test_checksums_go_on_from_what_precedes(rows):
 def vocabulary(rng, alphabet, n):
     """Words of which many are one or two edits apart."""
     out = {"".join(rng.choices(alphabet, k=rng.randint(5, 9))) for _ in range(n)}
-    for w in list(out):
+    for w in sorted(out):
         for _ in range(rng.randint(0, 3)):
             i, kind = rng.randrange(len(w) + 1), rng.randrange(3)
             w = w[:i] + (rng.choice(alphabet) if kind < 2 else "") + w[i + (kind > 0) :]
@@ -51,6 +51,7 @@ def test_digest_equals_plain_python(spark):
     text = lambda: ", ".join(rng.choices(words, often, k=rng.randint(0, 80))) + "×1÷Ā" + rng.choice(words)
     rows = [(i, text(), "x") for i in range(150)] + [(900, None, "x"), (901, "", "x"), (None, text(), "x")]
     rows += [rows[3]] * 4  # repeated rows count
+    rows.append((950, "zzzza " * 5 + "Zzzzb " * 12 + "zzzbb " * 30, "x"))  # a chain of two forms
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(4)
     got = sorted(map(tuple, op.digest(docs).collect()))
     want = brute.spelling([r[:2] for r in rows])
