@@ -127,9 +127,10 @@ def same_place(chosen: DataFrame, places: DataFrame, keys: list[str], id_col: st
 
 
 def siblings(df: DataFrame, group: list[str], id_col: str) -> DataFrame:
-    """Each row with the ids of the other rows of its group, in order; rows alone have none. Groups are gathered once, not paired."""
+    """Each row with the ids of the other rows of its group, in order; rows alone, or with a null in their group, have none. Groups are gathered once, not paired."""
     every = df.groupBy(*group).agg(F.sort_array(F.collect_set(id_col)).alias("siblings"))
-    return df.join(every, group).withColumn("siblings", F.array_remove("siblings", F.col(id_col)))
+    others = F.array_remove("siblings", F.col(id_col))
+    return df.join(every, group, "left").withColumn("siblings", F.coalesce(others, F.array().cast(df.select(F.array(id_col)).schema[0].dataType)))
 
 
 def with_each_latest(left: DataFrame, sides: dict[str, tuple[DataFrame, list]], key: str) -> DataFrame:
@@ -178,8 +179,3 @@ def first_scoped(rows: DataFrame, tracks: DataFrame, key: str, id_col: str, scop
         return rows.join(best.select(key, "scope", *extra), key, "left")
     best = top_k(rows.join(tracks, key).withColumn("scope", scope).filter("scope is not null"), [id_col], ["scope", *order])
     return rows.join(best.select(id_col, "scope", *extra), id_col, "left")
-
-
-def members(df: DataFrame, group: list[str], id_col: str) -> DataFrame:
-    """Each group with the ids of its rows, in order, once: what `siblings` repeats for each row. A row's siblings are its group's ids without its own."""
-    return df.groupBy(*group).agg(F.sort_array(F.collect_set(id_col)).alias("members"))
