@@ -113,3 +113,41 @@ def test_pairs_of_a_bucket_that_are_like_none_of_its_hubs(spark, monkeypatch):
     for most in (op.BROADCAST_SHINGLES, 0):
         monkeypatch.setattr(op, "BROADCAST_SHINGLES", most)
         assert {r.id: r["class"] for r in op.classes(docs, sketches=6, sampled=1).collect()} == want
+
+
+def test_a_pair_that_shares_only_what_its_large_bucket_shares(spark):
+    passage = [f"p{i}" for i in range(100)]
+    data = [(i, " ".join(passage + [f"d{i}x{j}" for j in range(60)])) for i in range(200) if i not in (77, 140)]
+    # 0.8 of each of the two is the passage, 0.63 of any other text
+    data += [(i, " ".join(passage + [f"e{i}x{j}" for j in range(25)])) for i in (77, 140)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute.near_classes(data)
+    assert sum(i != c for i, c in want.items()) == 1
+    assert {r.id: r["class"] for r in op.classes(docs, sketches=4, sampled=1).collect()} == want
+
+
+def joined(n, links):
+    """The least member of each one's component."""
+    of = list(range(n))
+    while any(of[a] != of[b] for a, b in links):
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
+    return of
+
+
+def test_tiles_link_the_classes_of_all_pairs():
+    rng = random.Random(9)
+    base = [rng.choices(range(300), k=40) for _ in range(12)]
+    texts = []
+    for i in range(160):
+        words = list(base[i % 12])
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = rng.randrange(300)
+        texts.append(np.array(words[: rng.randint(34, 40)], dtype=np.int64))
+    ids = np.arange(160)
+    near = lambda a, b: brute.distance(list(a), list(b)) <= 0.2 * max(len(a), len(b)) + 1e-9
+    want = joined(160, [(i, j) for i in range(160) for j in range(i) if near(texts[i], texts[j])])
+    tile = lambda lo, hi: (ids[lo:hi], ids[lo:hi], texts[lo:hi])
+    links = [*op.tile_links(tile(0, 90), tile(0, 90), True, 0.8), *op.tile_links(tile(90, 160), tile(90, 160), True, 0.8), *op.tile_links(tile(0, 90), tile(90, 160), False, 0.8)]
+    assert joined(160, links) == want
+    assert len(links) < 480 and 1 < len(set(want)) < 120

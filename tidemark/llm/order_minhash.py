@@ -19,14 +19,15 @@ not just the sets.
    memory linear in the texts).
 5. Classes are the connected components of verified pairs (alternating stars).
 6. A bucket that still holds several classes compares all its pairs of different
-   classes if it has at most SMALL members. A larger one holds texts around a
-   common passage: its members are sketched anew over the shingles that at most
-   SMALL of all such members have, so that no new bucket has more, and meet there.
-   Members without such shingles meet among themselves by all of theirs.
-
-Pairs of one class or of lengths too far apart are passed over. So a pair is a
-candidate if it agrees in one sketch and, where that one's bucket is large and
-mixed, in one of what is rare in the two. With 24 sketches of 2, a pair whose
+   classes. One of at most SMALL members does so by a join. A larger one holds texts
+   around a common passage: its members are dealt into tiles by length, and tiles
+   meet where lengths allow. Counts of hashed words bound the edit distance from
+   below, what is left is verified, and classes joined meanwhile are passed over.
+
+Pairs of one class or of lengths too far apart are passed over. So every pair that
+agrees in one sketch is a candidate, whatever the size of the bucket; a tile pair is
+bounded in memory, their number grows with the square of the texts of like length
+that share a passage. With 24 sketches of 2, a pair whose
 shingles have a Jaccard share of 0.42 (one word in ten substituted, scattered)
 agrees in one with a probability of 0.99, one of 0.67 (shingle edit similarity 0.8)
 with 0.999999.
@@ -40,6 +41,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -55,9 +57,13 @@ SHINGLE_WORDS = 5
 SKETCHES = 24
 SAMPLED = 2
 SIMILARITY = 0.8
-#: Members up to which a bucket of several classes compares all pairs; of larger ones only what at most as many texts share counts.
+#: Members up to which a bucket of several classes compares all pairs by a join; larger ones do so by tiles.
 SMALL = 48
-#: Common shingles up to which they are sent to every task; more are joined.
+#: Members and words of a tile, on average.
+TILE, TILE_WORDS = 1024, 1 << 18
+#: Counts of hashed words of a text, and how many of them are added up for the first look.
+BINS, FOLD = 1024, 16
+#: No longer read: large buckets have no common shingles to send. Callers may still set it.
 BROADCAST_SHINGLES = 1 << 20
 CHUNK_BYTES = 1 << 19
 
@@ -315,83 +321,97 @@ def _compare_all(own: DataFrame, verifier: Verifier) -> None:
     verifier.add(verifier.links(written(pairs, "pairs")))
 
 
-def _shingles_of(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles, their texts' places in the batch, whether each stands in its text for the first time), in text order."""
-    raw, offsets = text_buffer(batch.column("w"))
-    size = np.diff(offsets) // 4
-    grams, doc = shingles_of(np.ascontiguousarray(raw).view("<u4").astype(np.uint64), np.repeat(np.arange(len(size)), size), len(size), k)
-    order = np.lexsort((np.arange(len(grams)), grams, doc))
-    first = np.ones(len(grams), dtype=bool)
-    first[order[1:]] = (grams[order[1:]] != grams[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-    return grams, doc, first
+def _counts(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each text's hashed words, up to 255, and sums of FOLD of them."""
+    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    fine = np.bincount(doc * BINS + np.concatenate(words) % BINS, minlength=len(words) * BINS).reshape(len(words), BINS)
+    fine = np.minimum(fine, 255).astype(np.int16)
+    return fine, fine.reshape(len(words), FOLD, -1).sum(1, dtype=np.int16)
+
+
+def _bound(x: np.ndarray, y: np.ndarray, size: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray, chunk: int) -> np.ndarray:
+    """At least as few edits as pairs (i, j) need: a substitution changes two counts by one, any other edit one count and the length."""
+    out = np.abs(size[0][i] - size[1][j])
+    for at in range(0, len(i), chunk):
+        out[at : at + chunk] += np.abs(x[i[at : at + chunk]] - y[j[at : at + chunk]]).sum(1, dtype=np.int64)
+    return (out + 1) // 2
+
+
+def tile_links(left: tuple, right: tuple, same: bool, similarity: float):
+    """Pairs (a, b) of similar texts of two tiles (ids, classes, words) that join different classes; none between classes joined before."""
+    (ids, own, words), (others, theirs, that) = left, right
+    size = np.array([len(w) for w in words]), np.array([len(w) for w in that])
+    (x, xs), (y, ys) = _counts(words), _counts(that)
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    most_of = lambda i, j: ((1 - similarity) * np.maximum(size[0][i], size[1][j]) + 1e-9).astype(np.int64)
+    rows = max(1, (1 << 18) // len(others))
+    for at in range(0, len(ids), rows):
+        cut = slice(at, at + rows)
+        near = own[cut, None] != theirs[None]
+        if same:
+            near &= np.arange(len(ids))[cut, None] < np.arange(len(others))[None]
+        i, j = np.nonzero(near)
+        i += at
+        most = most_of(i, j)
+        keep = np.abs(size[0][i] - size[1][j]) <= most
+        i, j, most = i[keep], j[keep], most[keep]
+        keep = _bound(xs, ys, size, i, j, 1 << 15) <= most
+        i, j, most = i[keep], j[keep], most[keep]
+        least = _bound(x, y, size, i, j, 1 << 11)
+        # the likeliest first, since classes that they join need no further look
+        order = np.argsort(least, kind="stable")
+        for p, q in ((i[n], j[n]) for n in order[least[order] <= most[order]]):
+            a, b = find(int(own[p])), find(int(theirs[q]))
+            if a != b and similar(words[p], that[q], similarity):
+                root[max(a, b)] = min(a, b)
+                yield int(ids[p]), int(others[q])
+
+
+def _meet(similarity: float):
+    def members(tile: pa.Array, row: int) -> tuple:
+        ids, own, words = tile[row].values.flatten()
+        return np.asarray(ids), np.asarray(own), [np.frombuffer(w.as_buffer(), dtype="<u4").astype(np.int64) for w in words]
 
-
-def _grams(k: int):
-    def run(batches):
-        for batch in batches:
-            grams, doc, first = _shingles_of(batch, k)
-            ids = np.asarray(batch.column("id"))[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(len(grams), dtype=np.int64)), pa.array(grams.view(np.int64)), pa.array(first)], names=["id", "p", "g", "first"])
-
-    return run
-
-
-RESKETCHED = "id long, some boolean, codes array<long>"
-
-
-def _sketched(ids: pa.Array, some: np.ndarray, grams: np.ndarray, doc: np.ndarray, sketches: int, sampled: int) -> pa.RecordBatch:
-    codes = sketch(grams, doc, len(ids), sketches, sampled).view(np.int64)
-    return pa.RecordBatch.from_arrays([ids, pa.array(some), pa.array(list(codes.T), pa.list_(pa.int64()))], names=["id", "some", "codes"])
-
-
-def _resketch(common, k: int, sketches: int, sampled: int):
-    """Sketches over the shingles that aren't common, or over all of a text if all are."""
-
-    def run(batches):
-        for batch in batches:
-            grams, doc, _ = _shingles_of(batch, k)
-            rare = ~np.isin(grams, common.value)
-            some = np.bincount(doc, weights=rare, minlength=batch.num_rows) > 0
-            stay = rare | ~some[doc]
-            yield _sketched(batch.column("id"), some, grams[stay], doc[stay], sketches, sampled)
-
-    return run
-
-
-def _sketch_lists(sketches: int, sampled: int):
     def run(batches):
         for batch in batches:
-            lists = [np.array([x["g"] for x in sorted(own, key=lambda x: x["p"])], dtype=np.int64).view(np.uint64) for own in batch.column("own").to_pylist()]
-            doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            yield _sketched(batch.column("id"), np.asarray(batch.column("some")), np.concatenate(lists), doc, sketches, sampled)
+            for row, same in enumerate(batch.column("same").to_pylist()):
+                left = members(batch.column("left"), row)
+                links = list(tile_links(left, left if same else members(batch.column("right"), row), same, similarity))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _rare(large: DataFrame, verifier: Verifier, k: int, sketches: int, sampled: int) -> DataFrame:
-    """(s, id, k) of the members of large buckets, sketched over the shingles that few of them have, or over all if none is such."""
-    own = verifier.words.join(large, "id", "left_semi")
-    grams = own.mapInArrow(_grams(k), "id long, p long, g long, first boolean")
-    common = written(grams.filter("first").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("g", F.lit(True).alias("common")), "common")
-    if common.count() <= BROADCAST_SHINGLES:
-        known = own.sparkSession.sparkContext.broadcast(np.asarray(common.toArrow()["g"]).view(np.uint64))
-        codes = own.mapInArrow(_resketch(known, k, sketches, sampled), RESKETCHED)
-    else:
-        lists = grams.join(common, "g", "left").groupBy("id").agg(F.collect_list(F.when(F.col("common").isNull(), F.struct("p", "g"))).alias("rare"), F.collect_list(F.struct("p", "g")).alias("all"))
-        some = F.size("rare") > 0
-        codes = lists.select("id", some.alias("some"), F.when(some, F.col("rare")).otherwise(F.col("all")).alias("own")).mapInArrow(_sketch_lists(sketches, sampled), RESKETCHED)
-    return codes.join(large, "id").select("id", "k", "some", F.posexplode("codes").alias("j", "c")).select(F.xxhash64("some", "j", "c").alias("s"), "id", "k")
-
-
-def settle(met: DataFrame, verifier: Verifier, k: int, sketches: int, sampled: int) -> None:
+def _tiled(own: DataFrame, verifier: Verifier) -> DataFrame:
+    """Links (a, b) within each bucket of `own` (s, id, k, class) by tiles of like length; lengths of one level or the next may be near."""
+    level = F.floor(F.log("k") / (-math.log(min(verifier.similarity, 0.99)) * (1 + 1e-6)))
+    own = own.withColumn("level", level)
+    sizes = own.groupBy("s", "level").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("k") / TILE_WORDS)).alias("tiles"))
+    dealt = own.join(sizes, ["s", "level"]).select("s", "level", F.pmod(F.xxhash64("id", F.lit(1)), "tiles").alias("t"), "id", "class").join(verifier.words, "id")
+    tiles = written(dealt.groupBy("s", "level", "t").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.collect_list(F.struct("id", "class", "w")).alias("members")), "tiles")
+    names = tiles.select("s", "level", "t", "low", "high")
+    a = names.select("s", "level", F.col("t").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.array("level", F.col("level") + 1)).alias("next"))
+    b = names.select("s", F.col("level").alias("next"), F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    met = a.join(b, ["s", "next"]).filter("(level <> next or ta <= tb) and least(la, lb) <> greatest(ha, hb)").withColumn("same", F.expr("level = next and ta = tb"))
+    met = met.join(tiles.select("s", "level", F.col("t").alias("ta"), F.col("members").alias("left")), ["s", "level", "ta"])
+    of = tiles.select("s", F.col("level").alias("next"), F.col("t").alias("tb"), F.col("members").alias("right"))
+    met = met.join(of, ["s", "next", "tb"]).select("same", "left", F.when(~F.col("same"), F.col("right")).alias("right"))
+    return met.mapInArrow(_meet(verifier.similarity), "a long, b long")
+
+
+def settle(met: DataFrame, verifier: Verifier) -> None:
     """Links the classes within each bucket of `met` (s, id, k, n), see step 6."""
-    own = _mixed(met, verifier)
-    _compare_all(own.filter(F.col("n") <= SMALL), verifier)
-    large = written(own.filter(F.col("n") > SMALL).select("id", "k").distinct(), "large")
+    _compare_all(_mixed(met, verifier).filter(F.col("n") <= SMALL), verifier)
+    large = _mixed(met.filter(F.col("n") > SMALL), verifier)
     if not large.isEmpty():
-        met, pairs = starred(written(_rare(large, verifier, k, sketches, sampled), "rare"))
-        verifier.add(verifier.links(written(verifier.apart(pairs), "pairs")))
-        _compare_all(_mixed(met, verifier), verifier)
+        verifier.add(_tiled(large, verifier))
 
 
 def node_key(id_col: str, text_col: str) -> Column:
@@ -424,7 +444,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     best = written(best, "best")
     verifier.add(verifier.links(best))
     verifier.add(verifier.links(written(verifier.apart(pairs.join(best, ["a", "b"], "left_anti")), "pairs")))
-    settle(met, verifier, k, sketches, sampled)
+    settle(met, verifier)
     named = nodes.select("_x", "_b", "_m", F.col("id").alias("node")).join(verifier.joined.withColumnRenamed("id", "node"), "node", "left")
     of = named.select("_x", "_b", "_m", F.coalesce("class", "node").alias("class"))
     return rows.select(F.col("name").alias("id"), "_n", "_x", "_b", "_m").distinct().join(of, ["_x", "_b", "_m"])
