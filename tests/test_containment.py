@@ -60,3 +60,21 @@ def test_verified_equals_plain_python(spark):
     rows = spark.createDataFrame([(t,) for t in ROWS], "row_text string")
     got = {r.id: (r.status, r.matched_rows, r.lacking) for r in op.verified(outcomes, rows, key="id").collect()}
     assert got == {o[0]: brute(o) for o in OUTCOMES} and len({v[0] for v in got.values()}) == 6
+
+
+def test_texts_and_outcomes_of_a_name_never_meet(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [f"{name}과 {group} {rng.randint(1, 4)} {rng.randint(1, 4) / 2}{rng.choice(('', ' 7 2.0'))}" for name in ("갑", "을") for group in ("가", "나") for _ in range(20)]
+    wanted = [(i, f"{rng.choice('갑을병')}과", rng.choice((None, "가", "다")), rng.choice((None, 1.0, 2.0, 9.0)), rng.choice((None, 0.5, 1.0, 1.5))) for i in range(120)]
+    monkeypatch.setattr("tests.test_containment.ROWS", texts)
+    needed = op.required({"quota": (F.col("quota"), 0.001), "rate": (F.col("rate"), F.lit(0.03))})
+    outcomes = spark.createDataFrame(wanted, "id int, name string, group string, quota double, rate double").withColumn("needed", needed)
+    df = op.verified(outcomes, spark.createDataFrame([(t,) for t in texts], "row_text string"), key="id")
+    assert {r.id: (r.status, r.matched_rows, r.lacking) for r in df.collect()} == {o[0]: brute(o) for o in wanted}
+
+    def outputs(node):
+        yield {node.output().apply(i).name() for i in range(node.output().size())}
+        for i in range(node.children().size()):
+            yield from outputs(node.children().apply(i))
+
+    assert not any({"_needed", "_numbers"} <= names for names in outputs(df._jdf.queryExecution().analyzed()))

@@ -60,10 +60,24 @@ def required(fields: dict[str, tuple[Column, float | Column]]) -> Column:
     return F.array_compact(F.array(*rows))
 
 
-def missing(needed: Column, found: Column) -> Column:
-    """The fields of `needed` that no number of `found` comes near enough to."""
-    lacking = F.filter(needed, lambda r: ~F.exists(found, lambda x: F.abs(x - r["value"]) <= r["tolerance"]))
-    return F.transform(lacking, lambda r: r["field"])
+def hits(wanted: Column, found: Column) -> Column:
+    """Sets of at most one of `wanted` a field, sorted by field, that have near enough numbers in `found`: each as the places in `wanted`, from 1."""
+    places = F.transform(wanted, lambda r, i: F.struct(r["field"].alias("field"), F.concat((i + 1).cast("string"), F.lit(",")).alias("at"), r["value"].alias("value"), r["tolerance"].alias("tolerance")))
+    near = F.filter(places, lambda r: F.exists(found, lambda x: F.abs(x - r["value"]) <= r["tolerance"]))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("last"), F.lit("").alias("key")))
+    more = lambda sets, r: F.transform(F.filter(sets, lambda s: ~s["last"].eqNullSafe(r["field"])), lambda s: F.struct(r["field"].alias("last"), F.concat(s["key"], r["at"]).alias("key")))
+    return F.transform(F.aggregate(near, none, lambda sets, r: F.concat(sets, more(sets, r))), lambda s: s["key"])
+
+
+def _subset(at: Column, mask: Column) -> Column:
+    """The key, as of `hits`, of the places whose bit is set."""
+    return F.array_join(F.transform(F.array_sort(F.filter(at, lambda _, i: F.getbit(mask, i) == 1)), lambda x: F.concat(x.cast("string"), F.lit(","))), "")
+
+
+def _exactly(counts: Column, mask: Column) -> Column:
+    """Rows that meet these requirements and no other, from the rows that meet at least those of each mask (by place)."""
+    more = F.filter(F.transform(counts, lambda c, i: F.struct(c.alias("c"), i.cast("long").alias("m"))), lambda x: x["m"].bitwiseAND(mask) == mask)
+    return F.aggregate(more, F.lit(0).cast("long"), lambda t, x: t + F.when(F.bit_count(x["m"].bitwiseXOR(mask)) % 2 == 1, -x["c"]).otherwise(x["c"]))
 
 
 def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "name", group: str = "group", needed: str = "needed", text: str = "row_text") -> DataFrame:
@@ -71,18 +85,35 @@ def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "nam
 
     status: missing_unit_name, unit_not_in_source_row, group_not_in_source_row, missing_required_values, matched or
     source_row_values_missing; lacking is then the most frequent set of fields without a number (the first in order on ties).
-    Equal texts are read once and count as often as they occur.
+    Equal texts are read once and count as often as they occur. Texts and outcomes of a name never meet: texts are counted by the
+    sets of the name's requirements that they meet, and an outcome looks up the sets of its own (2 to the number of its fields).
     """
     own = outcomes.select(key, compact(F.coalesce(F.col(name), F.lit(""))).alias("_n"), F.coalesce(F.col(group), F.lit("")).alias("_g"), F.col(needed).alias("_needed"))
     sheet = rows.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows")).filter("_text is not null").withColumn("_t", compact(F.col("_text")))
     pairs = contained(sheet, own, key="_text", text="_t", needle="_n").join(sheet.select("_text", "_rows", numbers(F.col("_text")).alias("_numbers")), "_text")
     # outcomes that ask for the same are asked once
-    met = own.filter("_n <> ''").select("_n", "_g", "_needed").distinct().join(pairs, "_n")
-    grouped = (F.col("_g") == "") | F.contains("_text", "_g")
-    lacks = F.when(grouped, F.array_join(missing(F.col("_needed"), F.col("_numbers")), "|"))
-    by_lack = met.groupBy("_n", "_g", "_needed", lacks.alias("_lacks")).agg(F.sum("_rows").alias("_c"))
-    worst = F.min(F.when(F.col("_lacks") != "", F.struct((-F.col("_c")).alias("c"), F.col("_lacks").alias("l"))))
-    found = by_lack.groupBy("_n", "_g", "_needed").agg(F.max(F.col("_lacks").isNotNull()).alias("_grouped"), F.sum(F.when(F.col("_lacks") == "", F.col("_c"))).alias("matched_rows"), worst["l"].alias("_worst"))
+    asked = own.filter("_n <> ''").select("_n", "_g", "_needed").distinct()
+    # a requirement's place is that in the sorted list of its name's
+    wanted = asked.groupBy("_n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_needed")))).alias("_wanted"), F.collect_set("_g").alias("_groups"))
+    met = pairs.join(wanted, "_n").select("_n", "_rows", F.filter("_groups", lambda g: (g == "") | F.contains("_text", g)).alias("_gs"), hits(F.col("_wanted"), F.col("_numbers")).alias("_sets"))
+    by_set = met.select("_n", "_rows", F.explode_outer("_gs").alias("_g"), "_sets").select("_n", "_rows", "_g", F.explode("_sets").alias("_set")).groupBy("_n", "_g", "_set").agg(F.sum("_rows").alias("_c"))
+    there = pairs.select("_n").distinct().withColumn("_there", F.lit(True))
+    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("_needed")).cast("long") - 1)
+    looked = asked.join(wanted.select("_n", "_wanted"), "_n").withColumn("_at", F.transform("_needed", lambda r: F.array_position(F.col("_wanted"), r))).select("_n", "_g", "_needed", "_at", F.explode(masks).alias("_m"))
+    looked = looked.withColumn("_set", _subset(F.col("_at"), F.col("_m"))).join(by_set, ["_n", "_g", "_set"], "left")
+    counts = looked.groupBy("_n", "_g", "_needed").agg(F.transform(F.array_sort(F.collect_list(F.struct("_m", F.coalesce("_c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("_counts"))
+    every = F.size("_counts").cast("long") - 1
+    lacks = lambda m: F.array_join(F.transform(F.filter("_needed", lambda _, i: F.getbit(m, i) == 0), lambda r: r["field"]), "|")
+    exact = F.transform(F.sequence(F.lit(0).cast("long"), every), lambda m: F.struct((-_exactly(F.col("_counts"), m)).alias("c"), lacks(m).alias("l"), m.alias("m")))
+    found = counts.withColumn("_exact", F.filter(exact, lambda x: x["c"] < 0)).select(
+        "_n",
+        "_g",
+        "_needed",
+        (F.get("_counts", F.lit(0)) > 0).alias("_any"),
+        F.get(F.filter("_exact", lambda x: x["m"] == every), F.lit(0))["c"].alias("_all"),
+        F.array_min(F.filter("_exact", lambda x: x["m"] < every))["l"].alias("_worst"),
+    )
+    found = found.join(there, "_n", "left").withColumn("_grouped", F.when(F.col("_there"), F.col("_any"))).withColumn("matched_rows", -F.col("_all"))
     status = (
         F.when(F.col("_n") == "", "missing_unit_name")
         .when(F.col("_grouped").isNull(), "unit_not_in_source_row")
@@ -91,5 +122,5 @@ def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "nam
         .when(F.col("matched_rows").isNotNull(), "matched")
         .otherwise("source_row_values_missing")
     )
-    out = own.join(found, ["_n", "_g", "_needed"], "left").withColumn("status", status)
+    out = own.join(found.drop("_there", "_any", "_all"), ["_n", "_g", "_needed"], "left").withColumn("status", status)
     return out.select(key, "status", F.when(F.col("status") == "matched", F.col("matched_rows")).alias("matched_rows"), F.when(F.col("status") == "source_row_values_missing", F.col("_worst")).alias("lacking"))
