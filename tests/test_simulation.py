@@ -58,3 +58,21 @@ def test_results_equal_a_run_for_each_scenario(spark):
 def test_one_engine_run_and_no_join_of_runs(spark):
     plan = sim.results(sim.compared(candidates(spark), ["exam_id"], "unit"), ["exam_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FullOuter") == 0 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
+
+
+def test_units_of_one_rule_share_its_run(spark):
+    """Each different rule meets an examinee once, and results equal those of a row a unit."""
+    plain = candidates(spark).filter("exam_id < 4").withColumn("unit", F.explode(F.array("unit", F.col("unit") + 8))).cache()
+    # rules without any field and missing ones differ too
+    plain = plain.withColumn("rule", F.when(F.col("unit") != 9, F.when(F.col("unit") == 11, sc.rule_struct()).otherwise(F.col("rule"))))
+    units = plain.filter("exam_id = 1").select("unit", "rule", "history", "quota", "prev_quota")
+    people = plain.filter("unit = 0").select("exam_id", "subjects", "changes", "exam_type")
+    lists = sc.by_rule(plain.select("exam_id", "unit"), units, "exam_id", "unit").join(people, "exam_id")
+    kinds = units.select(F.to_json("rule").alias("j")).distinct().count()
+    sizes = lists.select("exam_id", F.size("units").alias("n")).collect()
+    assert kinds < 16 and len(sizes) == 3 * kinds and sum(r.n for r in sizes) == 3 * 16
+    columns = ["exam_id", "unit", "kind", "converted_score", "reference_score", "score_gap", "band", "confidence", "reason_codes", "warnings"]
+    rows = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert rows(sc.analyzed(lists)) == rows(sc.analyzed(plain)) and len(rows(sc.analyzed(lists))) == 48
+    pairs = lambda df: sorted((tuple(r) for r in sim.compared(df, ["exam_id"], "unit", target=F.col("unit") % 3 == 0).collect()), key=repr)
+    assert pairs(lists) == pairs(plain) and len({r[3] for r in pairs(lists)}) > 2

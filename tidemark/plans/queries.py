@@ -572,13 +572,22 @@ def _rules(spark, sf) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", rule.alias("rule"), past.alias("history"), (5 + k % 30).cast("int").alias("quota"), (5 + k % 23).cast("int").alias("prev_quota"))
 
 
-def _candidates(spark, sf) -> DataFrame:
-    """Customers as examinees, each with a list of candidate units: the suppliers of its orders, so that pairs grow with the rows."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
-    lists = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(lines, "l_orderkey").groupBy("c_custkey").agg(F.collect_set("s_suppkey").alias("units"))
+#: Pairs of one task, so that its memory doesn't grow with the tables.
+PAIRS_PER_TASK = 1_000_000
+
+
+def _candidates(spark, sf, units: DataFrame | None = None) -> DataFrame:
+    """Customers as examinees, each with a list of candidate units: the suppliers of its orders, so that pairs grow with the rows.
+
+    A row is an examinee and a rule, with the array `units` of the candidate units that have it. units: those of _rules by default.
+    """
+    items = table(spark, sf, "lineitem")
+    lines = items.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(lines, "l_orderkey").select("c_custkey", "s_suppkey")
     # pairs cost far more than rows, so people are dealt to all tasks however few files hold them; later groups by person stay in place
-    people = lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey").select("c_custkey", _subjects(F.col("c_custkey")).alias("subjects"), F.lit("june_mock").alias("exam_type"), "units")
-    return people.withColumn("s_suppkey", F.explode("units")).drop("units").join(_rules(spark, sf), "s_suppkey")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // PAIRS_PER_TASK)
+    rows = scoring.by_rule(pairs.repartition(tasks, "c_custkey").distinct(), _rules(spark, sf) if units is None else units, "c_custkey", "s_suppkey")
+    return rows.withColumn("subjects", _subjects(F.col("c_custkey"))).withColumn("exam_type", F.lit("june_mock"))
 
 
 _ANALYSIS = """

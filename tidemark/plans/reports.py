@@ -11,7 +11,7 @@ from tidemark.functions.text import compact, group_key
 from tidemark.operators import clusters, containment, grids, guards, matrix
 from tidemark.operators import orders as listing
 from tidemark.plans import audits, coverage, ruledocs, scoring, simulation
-from tidemark.plans.queries import _ANALYSIS, _CASES, NAMES, YEARS, _candidates, query, table
+from tidemark.plans.queries import _ANALYSIS, _CASES, NAMES, YEARS, _candidates, _rules, query, table
 from tidemark.plans.worklists import listing_parts
 
 # --- simulation ---
@@ -93,7 +93,7 @@ def _simulation_candidates(spark, sf):
         )
     )
     risk = F.col("rule").withField("inquiry_policy.conversion_risk", F.col("s_suppkey") % 5 == 0)
-    return _candidates(spark, sf).withColumn("rule", risk).withColumn("changes", F.map_from_entries(rows))
+    return _candidates(spark, sf, _rules(spark, sf).withColumn("rule", risk)).withColumn("changes", F.map_from_entries(rows))
 
 
 @query(_simulation_oracle())
@@ -389,7 +389,7 @@ def rule_shapes(spark, sf):
     chosen = lambda name: F.when(name == "math", F.when(c % 2 == 1, "미적분").otherwise("확률과 통계")).when(name == "inquiry1", F.when(c % 3 != 0, "물리학Ⅰ").otherwise("생활과 윤리")).when(name == "inquiry2", F.when(c % 2 == 0, "화학Ⅱ").otherwise("경제"))
     cut = F.when(shape.isin(0, 7), 250.0 + k % 40).when(shape == 1, 120.0 + k % 40).otherwise(500.0 + k % 100)
     past = F.when(k % 9 != 0, F.struct(cut.alias("cut_score"), F.lit(80.0).alias("percentile_cut"), (k % 40).cast("int").alias("additional_pass")))
-    rows = _candidates(spark, sf).withColumn("rule", _shaped(k)).withColumn("history", past).withColumn("exam_type", F.lit("csat"))
+    rows = _candidates(spark, sf, _rules(spark, sf).withColumn("rule", _shaped(k)).withColumn("history", past)).withColumn("exam_type", F.lit("csat"))
     rows = rows.withColumn("subjects", F.transform_values("subjects", lambda name, v: F.struct(chosen(name).alias("selection"), v["standard"].alias("standard"), v["percentile"].alias("percentile"), v["grade"].alias("grade"))))
     return scoring.analyzed(rows).select("c_custkey", "s_suppkey", "kind", "converted_score", "band", F.array_join("reason_codes", "|").alias("reasons"), F.array_join("warnings", "|").alias("warnings"))
 

@@ -1,9 +1,9 @@
-"""What changed scores would do: one run of the engine over (scenario, candidate), and results per examinee.
+"""What changed scores would do: one run of the engine over the scenarios of a candidate, and results per examinee.
 
 Scenarios are the scores as they are, all changes together, and each changed
-subject alone. They are exploded inside the candidates' rows, so that the rules are
-joined once, and brought together again by (examinee, unit); a pair's scenarios lie
-in one task, so partial aggregation leaves one row a pair before any shuffle.
+subject alone. They are an array inside the candidate's row, or inside that of an
+examinee and a rule that several units have, so that nothing is grouped to bring
+the scenarios of a pair together again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import round2
 from tidemark.plans import scoring
 
 # --- fixed values: reasons that remain a subject's weakness, with the subjects ---
@@ -43,26 +44,44 @@ def scenarios(changes: Column) -> Column:
 
 
 def compared(candidates: DataFrame, keys: list[str], unit: str, *, target: Column | None = None) -> DataFrame:
-    """One row per (keys, unit): the bands before and after all changes and after each alone, null where a unit can't be analysed.
+    """One row per candidate, (keys, unit): the bands before and after all changes and after each alone, null where a unit can't be analysed.
 
-    candidates: those of scoring.analyzed, with `changes` (map of subject to CHANGE). target: whether the unit is one
-    that the examinee aims at. Columns: target, before, after, alone (map of subject to band), weak (subjects of remaining
-    weaknesses that the examinee has scores of), subjects_changed.
+    candidates: those of scoring.analyzed, with `changes` (map of subject to CHANGE); each pair once, or in the `units` of a
+    rule's row. target: whether the unit is one that the examinee aims at. Columns: target, before, after, alone (map of subject
+    to band), weak (subjects of remaining weaknesses that the examinee has scores of), subjects_changed (array).
     """
-    rows = candidates.withColumn("_target", F.coalesce(target, F.lit(False)) if target is not None else F.lit(False)).withColumn("_s", F.explode(scenarios(F.col("changes"))))
-    rows = rows.withColumn("subjects", scoring.simulated(F.col("subjects"), F.col("_s.changes"))).withColumn("scenario", F.col("_s.scenario")).drop("_s")
-    # the weaknesses are all warnings
-    run = scoring.analyzed(rows, codes=False, warn=True)
-    weak = F.array_compact(F.array(*(F.when(F.array_contains("warnings", code) & F.map_contains_key(F.col("subjects"), F.lit(s)), s) for code, names in WEAKNESS.items() for s in names)))
-    of = lambda name: F.max(F.when(F.col("scenario") == name, F.col("band")))
-    single = ~F.col("scenario").isin("baseline", "all") & F.col("band").isNotNull()
-    return run.groupBy(*keys, unit).agg(
-        F.max("_target").alias("target"),
-        of("baseline").alias("before"),
-        of("all").alias("after"),
-        F.map_from_entries(F.collect_list(F.when(single, F.struct("scenario", "band")))).alias("alone"),
-        F.max(F.when(F.col("scenario") == "all", F.coalesce(weak, F.array().cast("array<string>")))).alias("weak"),
-        F.max(F.array_join(changed_subjects(F.col("changes")), "|")).alias("subjects_changed"),
+    rule, subjects = F.col("rule"), F.col("subjects")
+    moved = F.transform(scenarios(F.col("changes")), lambda x: F.struct(x["scenario"].alias("scenario"), scoring.simulated(subjects, x["changes"]).alias("subjects")))
+    runs = F.transform(moved, lambda x: F.struct(x["scenario"].alias("scenario"), scoring.scored(rule, x["subjects"]).alias("run")))
+    # one-element generators keep the optimizer from copying long expressions
+    aimed = F.coalesce(target, F.lit(False)) if target is not None else F.lit(False)
+    rows = candidates.withColumn("_runs", F.explode(F.array(runs)))
+    # the weaknesses are warnings that a rule's units share
+    full = F.get("_runs", F.lit(1))["run"]["warnings"]
+    weak = F.array_compact(F.array(*(F.when(F.array_contains(full, code) & F.map_contains_key(subjects, F.lit(s)), s) for code, names in WEAKNESS.items() for s in names)))
+    run = lambda n: F.get(F.filter("_runs", lambda x: x["scenario"] == n), F.lit(0))["run"]
+    rows = rows.withColumns({"_weak": weak, "subjects_changed": changed_subjects(F.col("changes")), **{f"_run_{n}": run(n) for n in ("baseline", "all", *scoring.SUBJECTS)}})
+    if "units" in candidates.columns:
+        rows = rows.select(*(c for c in rows.columns if c not in ("rule", "subjects", "changes", "units", "_runs")), F.inline("units"))
+    rows = rows.withColumn("target", aimed)
+
+    # a column a scenario, null where the candidate hasn't it; `apart` as the selects are long
+    names = ("baseline", "all", *scoring.SUBJECTS)
+    rows = rows.withColumns({"quota": scoring.apart(F.col("quota")), **{f"_gap_{n}": round2(F.col(f"_run_{n}")["c"]["score"] - scoring.reference_score(F.col(f"_run_{n}"))) for n in names}})
+    settled = {f"_{x}_{n}": y for n in names for x, y in (("ok", scoring.kind_of(F.col(f"_run_{n}"), F.col(f"_gap_{n}")) == "ok"), ("trust", scoring.unit_confidence(F.col(f"_run_{n}"))))}
+    rows = rows.withColumns({"quota": scoring.apart(F.col("quota")), **settled})
+    rows = rows.withColumns({f"_band_{n}": F.when(F.col(f"_ok_{n}"), scoring.unit_band(F.col(f"_run_{n}"), F.col(f"_gap_{n}"), F.col(f"_trust_{n}"))) for n in names})
+    alone = F.filter(F.array(*(F.struct(F.lit(s).alias("scenario"), F.col(f"_band_{s}").alias("band")) for s in scoring.SUBJECTS)), lambda x: x["band"].isNotNull())
+    return rows.select(
+        *keys,
+        unit,
+        "target",
+        F.col("_band_baseline").alias("before"),
+        F.col("_band_all").alias("after"),
+        F.map_from_entries(alone).alias("alone"),
+        # warnings stand where kind is ok
+        F.when(F.col("_ok_all"), F.col("_weak")).otherwise(F.array().cast("array<string>")).alias("weak"),
+        "subjects_changed",
     )
 
 
@@ -77,6 +96,11 @@ def _approach(band: str) -> Column:
     return F.coalesce(F.try_element_at(names, best + 1), F.lit("limited"))
 
 
+def band_changes(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of `compared` rows: how many units changed bands and how many came to match or better; keys without changes have no row."""
+    return pairs.filter(~F.col("before").eqNullSafe(F.col("after"))).groupBy(*keys).agg(F.count("*").alias("changed"), F.count_if(_favourable(F.col("after")) & ~_favourable(F.col("before"))).alias("moved_to_match_or_better"))
+
+
 def results(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per examinee of `compared` rows: both distributions, changes, approach to the targets, the most efficient subject and those to mind.
 
@@ -94,13 +118,12 @@ def results(pairs: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(_favourable(after) & ~_favourable(before)).alias("moved_to_match_or_better"),
         _approach("before").alias("approach_before"),
         _approach("after").alias("approach_after"),
-        F.max("subjects_changed").alias("_names"),
+        *(F.max(F.array_contains("subjects_changed", s)).alias(f"_changed_{s}") for s in scoring.SUBJECTS),
         *(better(s).alias(f"_better_{s}") for s in scoring.SUBJECTS),
         *(mind(s) for s in scoring.SUBJECTS),
     )
-    names = F.split("_names", r"\|")
     # array_max takes the first in order on ties by the negated place
-    scored = F.array_compact(F.array(*(F.when(F.array_contains(names, s), F.struct(F.col(f"_better_{s}").alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s"))) for i, s in enumerate(scoring.SUBJECTS))))
+    scored = F.array_compact(F.array(*(F.when(F.col(f"_changed_{s}"), F.struct(F.col(f"_better_{s}").alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s"))) for i, s in enumerate(scoring.SUBJECTS))))
     efficient = F.array_max(scored)
     caution = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"_mind_{s}"), s) for s in scoring.SUBJECTS))), "|")
     return found.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, filters, joins, orders
-from tidemark.plans import coverage, scoring, validation
+from tidemark.plans import coverage, simulation, validation
 from tidemark.plans.queries import _ANALYSIS, NAMES, YEARS, _candidates, _year, cross_validate, query, table
 
 
@@ -439,8 +439,5 @@ c as (select ck, x.band as before, y.band as after from x full join y using (ck,
 select ck as c_custkey, count(*) as changed, count(*) filter (after in ('stable', 'match') and coalesce(before not in ('stable', 'match'), true)) as moved_to_match_or_better from c group by ck
 """)
 def simulated_changes(spark, sf):
-    delta = F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in (("standard", None, "double"), ("percentile", None, "double"), ("grade", None, "int"), ("standard_delta", 6, "double"), ("percentile_delta", 4, "double"), ("grade_delta", None, "int"))))
-    before = _candidates(spark, sf)
-    after = before.withColumn("subjects", scoring.simulated(F.col("subjects"), F.create_map(F.lit("math"), delta)))
-    runs = [scoring.analyzed(x, codes=False).filter("kind = 'ok'").select("c_custkey", "s_suppkey", "band") for x in (before, after)]
-    return scoring.band_changes(*runs, ["c_custkey"], "s_suppkey")
+    rows = _candidates(spark, sf).withColumn("changes", F.create_map(F.lit("math"), simulation.change(standard_delta=6, percentile_delta=4)))
+    return simulation.band_changes(simulation.compared(rows, ["c_custkey"], "s_suppkey"), ["c_custkey"])
