@@ -78,3 +78,30 @@ def test_texts_and_outcomes_of_a_name_never_meet(spark, monkeypatch):
             yield from outputs(node.children().apply(i))
 
     assert not any({"_needed", "_numbers"} <= names for names in outputs(df._jdf.queryExecution().analyzed()))
+
+
+def test_texts_of_few_needles_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choices("ab é한\v", k=rng.choice((3, 30, op.PLACES // 40))))) for i in range(60)] + [(60, "x" * op.PLACES + "needle over the edge")]
+    needles = [t[a : a + k] for _, t in texts for a, k in ((0, 1), (1, 2), (2, 9), (5, 20))] + ["needle over", "xneedle ove", "absent"]
+    t, n = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in needles], "needle string")
+    want = sorted((i, x) for i, t in texts for x in set(needles) if x and x in t)
+    df = op.contained(t, n, key="id")
+    assert sorted(map(tuple, df.collect())) == want
+    nodes, shuffled = [df._jdf.queryExecution().executedPlan().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())] + ([node.plan()] if node.nodeName().endswith("QueryStage") else [])
+        if node.nodeName() == "Exchange":
+            shuffled.append({node.output().apply(i).name() for i in range(node.output().size())})
+    assert shuffled and not any("t" in names for names in shuffled) and "regexp_extract_all" not in df._jdf.queryExecution().toString()
+    # beyond the size of a broadcast, with a table of bits that has most of them set
+    monkeypatch.setattr(op, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(op, "LEAST_BITS", 8)
+    monkeypatch.setattr(op, "MOST_BITS", 8)
+    assert sorted(map(tuple, op.contained(t, n, key="id").collect())) == want
+
+
+def test_compact_leaves_out_ascii_white_space_only(spark):
+    text = "a \t\n\v\f\rb\x1c\x85\xa0　c  "
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(op.compact(F.col("t")).alias("t"), F.regexp_replace("t", r"\s+", "").alias("r")).collect() == [("ab\x1c\x85\xa0　c",) * 2, (None, None)]

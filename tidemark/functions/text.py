@@ -15,7 +15,10 @@ def collapsed(text: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", "")
+    """Without ASCII white space, as of `\\s`. Plain replacements take a small part of the time of a regular expression."""
+    for blank in " \t\n\v\f\r":
+        text = F.replace(text, F.lit(blank))
+    return text
 
 
 def search_key(text: Column) -> Column:

@@ -1,52 +1,152 @@
 """Joins on containment: short texts that stand inside long ones, and numbers that must stand there too.
 
-An inverted index instead of a nested loop: each needle offers its grams of one length,
-each text its different grams of the lengths in use; of a needle's grams the one that
-fewest texts hold makes the candidates, and `contains` decides. A needle with a gram
-that no text holds has none. Only ids and grams are shuffled until then. Needles are
-different ones, so that a name that many rows share is looked up once.
-
-The grams asked for are broadcast if their counted size is below BROADCAST_BYTES, so
-that grams of texts that nobody asks for don't travel; beyond that they are joined.
+An inverted index instead of a nested loop: each needle offers its grams of one length
+in UTF-8 bytes, each text its different grams of the lengths in use; of a needle's grams the
+one that fewest texts hold makes the candidates, and `contains` decides. A needle with a
+gram that no text holds has none. Needles are different ones, so that a name that many
+rows share is looked up once.
+
+A text's grams are looked up in a table of bits of the grams asked for, of at most
+2 ** MOST_BITS bits, so that those that nobody asks for are not made rows. Texts stay
+where they are if the grams and needles, by their counted sizes, are below
+BROADCAST_BYTES and so are broadcast; beyond that ids and grams are shuffled and joined.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tidemark.functions.text import compact
 
-#: Lengths of grams for needles that are at least as long; a shorter needle is a gram itself.
-SIZES = (3, 6)
+#: Lengths in bytes of grams for needles that are at least as long, at most 7; a shorter needle is a gram itself.
+SIZES = (3, 7)
+#: Bits of the table of grams, at least and at most; in between 16 or more a gram.
+LEAST_BITS, MOST_BITS = 16, 25
+#: Places of a text that are looked at together.
+PLACES = 1 << 17
 BROADCAST_BYTES = 32 << 20
 NUMBER = r"-?\d+(?:\.\d+)?"
 
 
-def grams(text: Column, size: int) -> Column:
-    """The different grams of a length; none of a shorter text. The look-ahead matches at every place, in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after another, null ones empty, and where each starts and the last one ends."""
+    texts = pa.array(texts.cast(pa.large_string()).fill_null(""))
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return raw, offsets - offsets[0]
+
+
+def _codes(raw: np.ndarray, size: int) -> np.ndarray:
+    """The gram of `size` bytes from each place but the last 8: its bytes, and its size above them."""
+    places = np.ndarray(len(raw) - 8, dtype="<u8", buffer=raw, strides=(1,))
+    return places & np.uint64((1 << 8 * size) - 1) | np.uint64(size << 56)
+
+
+def _place(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each gram in a table of 2 ** bits."""
+    return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def _grams(texts: pa.Array, sizes: list[int], asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram): the different grams of each text, in order; those that `asked`, a table of bits, may have, or if None those of the size that a needle offers."""
+    raw, offsets = _buffer(texts)
+    own = np.diff(offsets)
+    offered = np.minimum(own, SIZES[0])
+    for s in SIZES[1:]:
+        offered[own >= s] = s
+    rows, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    for lo in range(0, len(raw), PLACES):
+        part = np.zeros(min(PLACES, len(raw) - lo) + 8, dtype=np.uint8)
+        there = raw[lo : lo + len(part)]
+        part[: len(there)] = there
+        for size in sizes:
+            codes = _codes(part, size)
+            if asked is None:
+                at = np.arange(len(codes))
+            else:
+                bit = _place(codes, len(asked).bit_length() + 2)
+                at = np.flatnonzero(asked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            row = np.searchsorted(offsets, lo + at, "right") - 1
+            keep = lo + at + size <= offsets[row + 1]
+            if asked is None:
+                keep &= offered[row] == size
+            rows.append(row[keep])
+            grams.append(codes[at[keep]])
+    row, gram = np.concatenate(rows), np.concatenate(grams)
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    return row[new], gram[new].view(np.int64)
+
+
+def _listed(sizes: list[int], asked: np.ndarray | None = None):
+    """The rows with their grams as a further column; the text is the last column before."""
+
+    def run(batches):
+        for batch in batches:
+            row, gram = _grams(batch.column(batch.num_columns - 1), sizes, asked)
+            cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(gram))], names=[*batch.schema.names, "gs"])
+
+    return run
+
+
+def _counted(sizes: list[int], asked: np.ndarray):
+    """Of the texts of a batch: each gram and how many hold it."""
+
+    def run(batches):
+        for batch in batches:
+            gram, c = np.unique(_grams(batch.column(0), sizes, asked)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(c, pa.int64())], names=["g", "c"])
+
+    return run
+
+
+def _marked(bits: int):
+    """The bytes of the table of bits that have one of the grams."""
+
+    def run(batches):
+        for batch in batches:
+            bit = _place(batch.column(0).to_numpy().astype(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(3)).astype(np.int32)), pa.array(np.left_shift(1, (bit & np.uint64(7)).astype(np.int32), dtype=np.int32))], names=["at", "m"])
+
+    return run
+
+
+def _table(asked: DataFrame, count: int) -> np.ndarray:
+    """The table of bits of the grams."""
+    bits = min(max(LEAST_BITS, (16 * count).bit_length()), MOST_BITS)
+    marks = asked.mapInArrow(_marked(bits), "at int, m int").groupBy("at").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    out[marks.column("at").to_numpy()] = marks.column("m").to_numpy()
+    return out
 
 
 def contained(texts: DataFrame, needles: DataFrame, *, key: str, text: str = "text", needle: str = "needle") -> DataFrame:
     """(key, needle): the texts, by their unique key, and the different needles that stand in them. Empty needles and nulls stand nowhere."""
+    with_grams = lambda df: StructType([*df.schema.fields]).add("gs", ArrayType(LongType()))
     t = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
     n = needles.select(F.col(needle).alias("n")).filter("n <> ''").distinct()
-    size = F.greatest(*(F.when(F.char_length("n") >= s, s) for s in SIZES), F.least(F.char_length("n"), F.lit(min(SIZES))))
-    n = n.withColumn("size", size)
-    sizes = sorted(r["size"] for r in n.select("size").distinct().collect())  # of at most min(SIZES) - 1 + len(SIZES) lengths
-    pick = F.array().cast("array<string>")
-    for s in sizes:
-        pick = F.when(F.col("size") == s, grams(F.col("n"), s)).otherwise(pick)
-    offers = n.select("n", F.explode(pick).alias("g"))
-    asked = offers.select("g").distinct()
+    offers = n.mapInArrow(_listed([*range(1, SIZES[0]), *SIZES]), with_grams(n)).select("n", F.size("gs").alias("of"), F.explode("gs").alias("g"))
+    asked = offers.groupBy("g").agg(F.sum((F.octet_length("n") + 64) / F.col("of")).alias("bytes"))
+    count, size, sizes = asked.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.collect_set(F.shiftright("g", 56))).first()
+    sizes, table = sorted(sizes), _table(asked.select("g"), count)
     # what is counted of texts has at most as many rows as grams are asked for
-    sent = F.broadcast if asked.count() * 64 <= BROADCAST_BYTES else lambda df: df
-    every = F.flatten(F.array(*(grams(F.col("t"), s) for s in sizes))) if sizes else F.array().cast("array<string>")
-    postings = t.select("k", F.explode(every).alias("g")).join(sent(asked), "g", "left_semi")
-    often = postings.groupBy("g").agg(F.count("*").alias("c"))
-    rarest = offers.join(sent(often), "g", "left").groupBy("n").agg(F.count_if(F.col("c").isNull()).alias("gone"), F.min(F.struct("c", "g"))["g"].alias("g")).filter("gone = 0")
-    return rarest.select("n", "g").join(postings, "g").join(t, "k").filter(F.contains("t", "n")).select(F.col("k").alias(key), F.col("n").alias(needle))
+    few = count * 64 <= BROADCAST_BYTES
+    sent = F.broadcast if few else lambda df: df
+    often = t.select("t").mapInArrow(_counted(sizes, table), "g long, c long").join(sent(asked.select("g")), "g", "left_semi").groupBy("g").agg(F.sum("c").alias("c"))
+    rarest = offers.join(sent(often), "g", "left").groupBy("n").agg(F.count_if(F.col("c").isNull()).alias("gone"), F.min(F.struct("c", "g"))["g"].alias("g")).filter("gone = 0").select("n", "g")
+    held = t.mapInArrow(_listed(sizes, table), with_grams(t))
+    if few and size <= BROADCAST_BYTES:
+        pairs = held.select("k", "t", F.explode("gs").alias("g")).join(F.broadcast(rarest), "g")
+    else:
+        pairs = rarest.join(held.select("k", F.explode("gs").alias("g")), "g").join(t, "k")
+    return pairs.filter(F.contains("t", "n")).select(F.col("k").alias(key), F.col("n").alias(needle))
 
 
 def numbers(text: Column) -> Column:
