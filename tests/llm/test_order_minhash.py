@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -151,3 +152,32 @@ def test_tiles_link_the_classes_of_all_pairs():
     links = [*op.tile_links(tile(0, 90), tile(0, 90), True, 0.8), *op.tile_links(tile(90, 160), tile(90, 160), True, 0.8), *op.tile_links(tile(0, 90), tile(90, 160), False, 0.8)]
     assert joined(160, links) == want
     assert len(links) < 480 and 1 < len(set(want)) < 120
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_components_equal_those_of_a_plain_search_and_small_ones_shuffle_little(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(op, "BROADCAST_BYTES", limit)
+    rng = random.Random(4)
+    edges = [(a, a + 1) for a in range(100, 130)] + [(200, b) for b in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(7, 7), (9, 5), (5, 9)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    plans, real = [], op.written
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(op, "written", spy)
+    got = sorted(map(tuple, op.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == sorted((x, find(x)) for x in {x for a, b in edges if a != b for x in (a, b)})
+    # of a round: two minima (one stands twice in the text of the plan) and the different edges
+    assert limit == 0 or all(p.count("Exchange hashpartitioning") <= 4 for p in plans)

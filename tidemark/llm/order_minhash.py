@@ -63,6 +63,8 @@ SMALL = 48
 TILE, TILE_WORDS = 1024, 1 << 18
 #: Counts of hashed words of a text, and how many of them are added up for the first look.
 BINS, FOLD = 1024, 16
+#: Nodes' least neighbours are broadcast up to this size, at so many bytes an edge: its two nodes in a hashed table.
+BROADCAST_BYTES, EDGE_BYTES = 32 << 20, 128
 #: No longer read: large buckets have no common shingles to send. Callers may still set it.
 BROADCAST_SHINGLES = 1 << 20
 CHUNK_BYTES = 1 << 19
@@ -261,12 +263,15 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class")).distinct())
         before = now
+        # a node's least neighbour is broadcast if their counted size allows, so that edges stay where they are
+        sent = F.broadcast if now[0] * EDGE_BYTES <= BROADCAST_BYTES else lambda df: df
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # edges that occur twice here go with the small stars'
+        large = both.join(sent(least), "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = large.join(sent(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.u", "e.v").filter("u != v").distinct(), "edges")
 
 
 class Verifier:
