@@ -105,3 +105,39 @@ def test_texts_of_few_needles_stay_where_they_are(spark, monkeypatch):
 def test_compact_leaves_out_ascii_white_space_only(spark):
     text = "a \t\n\v\f\rb\x1c\x85\xa0　c  "
     assert spark.createDataFrame([(text,), (None,)], "t string").select(op.compact(F.col("t")).alias("t"), F.regexp_replace("t", r"\s+", "").alias("r")).collect() == [("ab\x1c\x85\xa0　c",) * 2, (None, None)]
+
+
+def test_requirements_meet_different_numbers_and_not_texts(spark):
+    rng = random.Random(13)
+    number = lambda: rng.choice((str(rng.randint(0, 60)), f"{rng.randint(0, 9)}.{rng.randint(0, 99):02}", f"-{rng.randint(1, 5)}.5", "1,234.5", "9" * 25))
+    texts = [f"{rng.choice('갑을')}과 {rng.choice(('가', '나'))} {number()} {number()} " + rng.choice(("", number())) for _ in range(150)]
+    fields = [("a", 0.001), ("b", 0.03), ("c", 2.5), ("d", None)]
+    wanted = []
+    for i in range(200):
+        own = [(f, rng.choice((30.0, 1234.5, 0.0, -2.5, 1e25, rng.randint(0, 60) + rng.choice((0.0, 0.001, 0.03, -0.03, 0.02)))), rng.choice((e, 0.0, 7.0)) if e else 40.0) for f, e in fields if rng.random() < 0.6]
+        wanted.append((i, f"{rng.choice('갑을병')}과", rng.choice((None, "가", "다")), own))
+    outcomes = spark.createDataFrame(wanted, "id int, name string, group string, needed array<struct<field:string,value:double,tolerance:double>>")
+    df = op.verified(outcomes, spark.createDataFrame([(t,) for t in texts], "row_text string"), key="id")
+    want = {}
+    for i, name, group, own in wanted:
+        rows = [t for t in texts if name in t]
+        if there := bool(rows):
+            rows = [t for t in rows if not group or group in t]
+        lacks = [(tuple(f for f, v, e in own if not any(abs(float(x) - v) <= e for x in re.findall(op.NUMBER, t.replace(",", ""))))) for t in rows]
+        if not rows:
+            want[i] = ("group_not_in_source_row" if there else "unit_not_in_source_row", None, None)
+        elif not own:
+            want[i] = ("missing_required_values", None, None)
+        elif () in lacks:
+            want[i] = ("matched", lacks.count(()), None)
+        else:
+            want[i] = ("source_row_values_missing", None, min({"|".join(x) for x in lacks}, key=lambda x: (-lacks.count(tuple(x.split("|"))), x)))
+    assert {r.id: (r.status, r.matched_rows, r.lacking) for r in df.collect()} == want and len({v[0] for v in want.values()}) == 5
+
+    def outputs(node):
+        yield {node.output().apply(i).name() for i in range(node.output().size())}
+        for i in range(node.children().size()):
+            yield from outputs(node.children().apply(i))
+
+    # a name's requirements are held against each different list of numbers once, however many texts have it
+    assert not any("_text" in names and names & {"_wanted", "_steps", "_needed"} for names in outputs(df._jdf.queryExecution().analyzed()))

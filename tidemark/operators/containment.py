@@ -127,10 +127,13 @@ def _table(asked: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def contained(texts: DataFrame, needles: DataFrame, *, key: str, text: str = "text", needle: str = "needle") -> DataFrame:
-    """(key, needle): the texts, by their unique key, and the different needles that stand in them. Empty needles and nulls stand nowhere."""
+def contained(texts: DataFrame, needles: DataFrame, *, key: str, text: str = "text", needle: str = "needle", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, needle): the texts, by their unique key, and the different needles that stand in them. Empty needles and nulls stand nowhere.
+
+    keep: further columns of the texts that the rows have too.
+    """
     with_grams = lambda df: StructType([*df.schema.fields]).add("gs", ArrayType(LongType()))
-    t = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    t = texts.select(F.col(key).alias("k"), *keep, F.col(text).alias("t"))
     n = needles.select(F.col(needle).alias("n")).filter("n <> ''").distinct()
     offers = n.mapInArrow(_listed([*range(1, SIZES[0]), *SIZES]), with_grams(n)).select("n", F.size("gs").alias("of"), F.explode("gs").alias("g"))
     asked = offers.groupBy("g").agg(F.sum((F.octet_length("n") + 64) / F.col("of")).alias("bytes"))
@@ -143,15 +146,15 @@ def contained(texts: DataFrame, needles: DataFrame, *, key: str, text: str = "te
     rarest = offers.join(sent(often), "g", "left").groupBy("n").agg(F.count_if(F.col("c").isNull()).alias("gone"), F.min(F.struct("c", "g"))["g"].alias("g")).filter("gone = 0").select("n", "g")
     held = t.mapInArrow(_listed(sizes, table), with_grams(t))
     if few and size <= BROADCAST_BYTES:
-        pairs = held.select("k", "t", F.explode("gs").alias("g")).join(F.broadcast(rarest), "g")
+        pairs = held.select("k", *keep, "t", F.explode("gs").alias("g")).join(F.broadcast(rarest), "g")
     else:
         pairs = rarest.join(held.select("k", F.explode("gs").alias("g")), "g").join(t, "k")
-    return pairs.filter(F.contains("t", "n")).select(F.col("k").alias(key), F.col("n").alias(needle))
+    return pairs.filter(F.contains("t", "n")).select(F.col("k").alias(key), F.col("n").alias(needle), *keep)
 
 
 def numbers(text: Column) -> Column:
     """All numbers of a text, thousands' commas left out."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(text, ",", ""), F.lit(f"({NUMBER})")), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(f"({NUMBER})")), lambda x: x.cast("double"))
 
 
 def required(fields: dict[str, tuple[Column, float | Column]]) -> Column:
@@ -160,12 +163,32 @@ def required(fields: dict[str, tuple[Column, float | Column]]) -> Column:
     return F.array_compact(F.array(*rows))
 
 
-def hits(wanted: Column, found: Column) -> Column:
-    """Sets of at most one of `wanted` a field, sorted by field, that have near enough numbers in `found`: each as the places in `wanted`, from 1."""
-    places = F.transform(wanted, lambda r, i: F.struct(r["field"].alias("field"), F.concat((i + 1).cast("string"), F.lit(",")).alias("at"), r["value"].alias("value"), r["tolerance"].alias("tolerance")))
-    near = F.filter(places, lambda r: F.exists(found, lambda x: F.abs(x - r["value"]) <= r["tolerance"]))
+def _step(value: Column, width: Column) -> Column:
+    """The step of `width` that a number lies in, from -10 ** 15 to 10 ** 15."""
+    return F.floor(F.greatest(F.least(F.nanvl(value / width, F.lit(0.0)), F.lit(1e15)), F.lit(-1e15)))
+
+
+def _steps(wanted: DataFrame) -> DataFrame:
+    """Of each name's requirements, those that may be near a number of a step: (_n, _width, _steps: map of step to array of struct(place, field, value, tolerance)).
+
+    A step is at least twice as wide as any tolerance, so that a requirement lies in few of them.
+    """
+    width = F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform("_wanted", lambda r: r["tolerance"])) * 2, F.lit(1.0)))
+    single = wanted.withColumn("_width", width).select("_n", "_width", F.posexplode("_wanted").alias("place", "r"))
+    # a little more on each side, as it is the rounded distance that is compared
+    reach = F.col("r")["tolerance"] * (1 + 1e-9) + F.abs(F.col("r")["value"]) * 1e-15
+    first, last = _step(F.col("r")["value"] - reach, F.col("_width")), _step(F.col("r")["value"] + reach, F.col("_width"))
+    placed = single.select("_n", "_width", F.struct((F.col("place") + 1).alias("place"), *(F.col("r")[f].alias(f) for f in ("field", "value", "tolerance"))).alias("r"), F.explode(F.sequence(first, last)).alias("step"))
+    lists = placed.groupBy("_n", "_width", "step").agg(F.collect_list("r").alias("rs"))
+    return lists.groupBy("_n", "_width").agg(F.map_from_entries(F.collect_list(F.struct("step", "rs"))).alias("_steps"))
+
+
+def hits(steps: Column, width: Column, found: Column) -> Column:
+    """Sets of at most one requirement a field, sorted by field, that have near enough numbers in `found`: each as the requirements' places, from 1."""
+    close = lambda x: F.filter(F.coalesce(F.try_element_at(steps, _step(x, width)), F.array()), lambda r: F.abs(x - r["value"]) <= r["tolerance"])
+    near = F.sort_array(F.array_distinct(F.transform(F.flatten(F.transform(found, close)), lambda r: F.struct(r["place"].alias("place"), r["field"].alias("field")))))
     none = F.array(F.struct(F.lit(None).cast("string").alias("last"), F.lit("").alias("key")))
-    more = lambda sets, r: F.transform(F.filter(sets, lambda s: ~s["last"].eqNullSafe(r["field"])), lambda s: F.struct(r["field"].alias("last"), F.concat(s["key"], r["at"]).alias("key")))
+    more = lambda sets, r: F.transform(F.filter(sets, lambda s: ~s["last"].eqNullSafe(r["field"])), lambda s: F.struct(r["field"].alias("last"), F.concat(s["key"], r["place"].cast("string"), F.lit(",")).alias("key")))
     return F.transform(F.aggregate(near, none, lambda sets, r: F.concat(sets, more(sets, r))), lambda s: s["key"])
 
 
@@ -185,23 +208,33 @@ def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "nam
 
     status: missing_unit_name, unit_not_in_source_row, group_not_in_source_row, missing_required_values, matched or
     source_row_values_missing; lacking is then the most frequent set of fields without a number (the first in order on ties).
-    Equal texts are read once and count as often as they occur. Texts and outcomes of a name never meet: texts are counted by the
-    sets of the name's requirements that they meet, and an outcome looks up the sets of its own (2 to the number of its fields).
+    Equal texts are read once and count as often as they occur. Texts and outcomes of a name never meet: texts are counted by their
+    different numbers and the groups they have, those by the sets of the name's requirements that they meet, and an outcome looks up
+    the sets of its own (2 to the number of its fields).
     """
     own = outcomes.select(key, compact(F.coalesce(F.col(name), F.lit(""))).alias("_n"), F.coalesce(F.col(group), F.lit("")).alias("_g"), F.col(needed).alias("_needed"))
-    sheet = rows.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows")).filter("_text is not null").withColumn("_t", compact(F.col("_text")))
-    pairs = contained(sheet, own, key="_text", text="_t", needle="_n").join(sheet.select("_text", "_rows", numbers(F.col("_text")).alias("_numbers")), "_text")
+    # texts are read twice; with the count needed by both, the shuffle is done once
+    sheet = rows.groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows")).filter("_text is not null and _rows > 0").withColumn("_t", compact(F.col("_text")))
+    sheet = sheet.withColumn("_numbers", F.sort_array(F.array_distinct(numbers(F.col("_text")))))
     # outcomes that ask for the same are asked once
     asked = own.filter("_n <> ''").select("_n", "_g", "_needed").distinct()
-    # a requirement's place is that in the sorted list of its name's
-    wanted = asked.groupBy("_n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_needed")))).alias("_wanted"), F.collect_set("_g").alias("_groups"))
-    met = pairs.join(wanted, "_n").select("_n", "_rows", F.filter("_groups", lambda g: (g == "") | F.contains("_text", g)).alias("_gs"), hits(F.col("_wanted"), F.col("_numbers")).alias("_sets"))
-    by_set = met.select("_n", "_rows", F.explode_outer("_gs").alias("_g"), "_sets").select("_n", "_rows", "_g", F.explode("_sets").alias("_set")).groupBy("_n", "_g", "_set").agg(F.sum("_rows").alias("_c"))
-    there = pairs.select("_n").distinct().withColumn("_there", F.lit(True))
-    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("_needed")).cast("long") - 1)
+    # a requirement's place is that in the sorted list of its name's; all rows of a name have the group ''
+    wanted = asked.groupBy("_n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_needed")))).alias("_wanted"), F.array_sort(F.array_union(F.collect_set("_g"), F.array(F.lit("")))).alias("_groups"))
+    group_bytes, step_bytes = F.octet_length("_n") + F.octet_length(F.array_join("_groups", "")) + 32 * F.size("_groups") + 64, 256 * F.size("_wanted") + 64
+    sizes = wanted.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (group_bytes, step_bytes))).first()
+    sent = lambda df, size: F.broadcast(df) if size <= BROADCAST_BYTES else df
+    pairs = contained(sheet, own, key="_text", text="_t", needle="_n", keep=("_rows", "_numbers")).join(sent(wanted.select("_n", "_groups"), sizes[0]), "_n")
+    alike = pairs.select("_n", "_rows", "_numbers", F.filter("_groups", lambda g: (g == "") | F.contains("_text", g)).alias("_gs")).groupBy("_n", "_gs", "_numbers").agg(F.sum("_rows").alias("_rows"))
+    met = alike.join(sent(_steps(wanted), sizes[1]), "_n", "left").select("_n", "_rows", "_gs", F.when(F.col("_steps").isNull(), F.array(F.lit(""))).otherwise(hits(F.col("_steps"), F.col("_width"), F.col("_numbers"))).alias("_sets"))
+    # explode_outer, as the optimizer adds a filter by the whole array before explode, which makes the sets again; none is empty
+    by_set = met.select("_n", "_rows", F.explode_outer("_gs").alias("_of"), "_sets").select("_n", "_rows", "_of", F.explode_outer("_sets").alias("_set")).groupBy("_n", "_of", "_set").agg(F.sum("_rows").alias("_c"))
+    # the mask -1 stands for all rows of the name
+    masks = F.sequence(F.lit(-1).cast("long"), F.pow(F.lit(2), F.size("_needed")).cast("long") - 1)
     looked = asked.join(wanted.select("_n", "_wanted"), "_n").withColumn("_at", F.transform("_needed", lambda r: F.array_position(F.col("_wanted"), r))).select("_n", "_g", "_needed", "_at", F.explode(masks).alias("_m"))
-    looked = looked.withColumn("_set", _subset(F.col("_at"), F.col("_m"))).join(by_set, ["_n", "_g", "_set"], "left")
-    counts = looked.groupBy("_n", "_g", "_needed").agg(F.transform(F.array_sort(F.collect_list(F.struct("_m", F.coalesce("_c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("_counts"))
+    all_rows = F.col("_m") < 0
+    looked = looked.withColumns({"_of": F.when(all_rows, "").otherwise(F.col("_g")), "_set": F.when(all_rows, "").otherwise(_subset(F.col("_at"), F.col("_m")))}).join(by_set, ["_n", "_of", "_set"], "left")
+    counts = looked.groupBy("_n", "_g", "_needed").agg(F.transform(F.array_sort(F.collect_list(F.struct("_m", F.coalesce("_c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("_of_masks"))
+    counts = counts.select("_n", "_g", "_needed", (F.get("_of_masks", F.lit(0)) > 0).alias("_there"), F.slice("_of_masks", 2, F.size("_of_masks") - 1).alias("_counts"))
     every = F.size("_counts").cast("long") - 1
     lacks = lambda m: F.array_join(F.transform(F.filter("_needed", lambda _, i: F.getbit(m, i) == 0), lambda r: r["field"]), "|")
     exact = F.transform(F.sequence(F.lit(0).cast("long"), every), lambda m: F.struct((-_exactly(F.col("_counts"), m)).alias("c"), lacks(m).alias("l"), m.alias("m")))
@@ -209,11 +242,11 @@ def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "nam
         "_n",
         "_g",
         "_needed",
-        (F.get("_counts", F.lit(0)) > 0).alias("_any"),
+        F.when(F.col("_there"), F.get("_counts", F.lit(0)) > 0).alias("_grouped"),
         F.get(F.filter("_exact", lambda x: x["m"] == every), F.lit(0))["c"].alias("_all"),
         F.array_min(F.filter("_exact", lambda x: x["m"] < every))["l"].alias("_worst"),
     )
-    found = found.join(there, "_n", "left").withColumn("_grouped", F.when(F.col("_there"), F.col("_any"))).withColumn("matched_rows", -F.col("_all"))
+    found = found.withColumn("matched_rows", -F.col("_all"))
     status = (
         F.when(F.col("_n") == "", "missing_unit_name")
         .when(F.col("_grouped").isNull(), "unit_not_in_source_row")
@@ -222,5 +255,5 @@ def verified(outcomes: DataFrame, rows: DataFrame, *, key: str, name: str = "nam
         .when(F.col("matched_rows").isNotNull(), "matched")
         .otherwise("source_row_values_missing")
     )
-    out = own.join(found.drop("_there", "_any", "_all"), ["_n", "_g", "_needed"], "left").withColumn("status", status)
+    out = own.join(found.drop("_all"), ["_n", "_g", "_needed"], "left").withColumn("status", status)
     return out.select(key, "status", F.when(F.col("status") == "matched", F.col("matched_rows")).alias("matched_rows"), F.when(F.col("status") == "source_row_values_missing", F.col("_worst")).alias("lacking"))
