@@ -76,3 +76,23 @@ def test_units_of_one_rule_share_its_run(spark):
     assert rows(sc.analyzed(lists)) == rows(sc.analyzed(plain)) and len(rows(sc.analyzed(lists))) == 48
     pairs = lambda df: sorted((tuple(r) for r in sim.compared(df, ["exam_id"], "unit", target=F.col("unit") % 3 == 0).collect()), key=repr)
     assert pairs(lists) == pairs(plain) and len({r[3] for r in pairs(lists)}) > 2
+
+
+def test_people_of_equal_scores_and_changes_share_a_row(spark, monkeypatch):
+    monkeypatch.setattr(sc, "ALIKE", 3)
+    value = "struct<standard:double,percentile:double,grade:int>"
+    people = [(None, {"math": (1.0, None, 2)}, {}), *((i, dict(sorted({"math": (1.0, None, i % 2), "korean": (None, 3.0, 1)}.items(), reverse=i % 3 == 0)), {"math": (1.0, None, 1)} if i % 5 == 0 else {}) for i in range(40)), (90, None, {}), (91, None, {}), (92, {}, None)]
+    df = spark.createDataFrame(people, f"id int, subjects map<string,{value}>, changes map<string,{value}>")
+    like = {r.id: r.like for r in sc.alike(df, "id", ["subjects", "changes"]).collect()}
+    told = {i: (s, c) for i, s, c in people}
+    assert set(like) == set(told) and all(told[i] == told[j] for i, j in like.items())
+    sizes = {j: sum(x == j for x in like.values()) for j in like.values()}
+    # 16, 16, 4 and 4 equal ones by threes, the two without subjects, and two alone
+    assert sorted(sizes.values()) == sorted([3, 3, 3, 3, 3, 1] * 2 + [3, 1] * 2 + [2, 1, 1])
+
+
+def test_bands_are_not_made_inside_a_lambda(spark):
+    plan = sim.compared(candidates(spark), ["exam_id"], "unit")._jdf.queryExecution().optimizedPlan()
+    top = plan.expressions().mkString(" ")
+    # the topmost select reads the bands of each scenario as columns
+    assert "_band_korean" in top and "_gap_korean" not in top and "_run_korean" not in top

@@ -576,18 +576,26 @@ def _rules(spark, sf) -> DataFrame:
 PAIRS_PER_TASK = 1_000_000
 
 
-def _candidates(spark, sf, units: DataFrame | None = None) -> DataFrame:
+def _candidates(spark, sf, units: DataFrame | None = None, changes: Callable[[Column], Column] | None = None) -> DataFrame:
     """Customers as examinees, each with a list of candidate units: the suppliers of its orders, so that pairs grow with the rows.
 
     A row is an examinee and a rule, with the array `units` of the candidate units that have it. units: those of _rules by default.
+    changes: of an examinee's key, for simulation.compared; a row is then of the examinees with equal scores and changes, at most
+    scoring.ALIKE of them, so that their scenarios run once, and `units` has their keys.
     """
     items = table(spark, sf, "lineitem")
-    lines = items.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
-    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(lines, "l_orderkey").select("c_custkey", "s_suppkey")
-    # pairs cost far more than rows, so people are dealt to all tasks however few files hold them; later groups by person stay in place
+    # pairs cost far more than rows, so people are dealt to all tasks however few files hold them; later groups by the key stay in place
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // PAIRS_PER_TASK)
-    rows = scoring.by_rule(pairs.repartition(tasks, "c_custkey").distinct(), _rules(spark, sf) if units is None else units, "c_custkey", "s_suppkey")
-    return rows.withColumn("subjects", _subjects(F.col("c_custkey"))).withColumn("exam_type", F.lit("june_mock"))
+    lines = items.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    key, columns = "c_custkey", {"subjects": _subjects, **({"changes": changes} if changes else {})}
+    if changes:
+        people = orders.select("c_custkey").distinct().withColumns({n: f(F.col("c_custkey")) for n, f in columns.items()})
+        # a key that is null stands for itself
+        key, orders = "like", orders.join(scoring.alike(people, "c_custkey", [*columns]).repartition(tasks, "c_custkey"), "c_custkey", "left")
+    pairs = orders.join(lines, "l_orderkey").drop("l_orderkey")
+    rows = scoring.by_rule(pairs.repartition(tasks, key).distinct(), _rules(spark, sf) if units is None else units, key, "s_suppkey")
+    return rows.withColumns({n: f(F.col(key)) for n, f in columns.items()}).withColumn("exam_type", F.lit("june_mock")).drop("like")
 
 
 _ANALYSIS = """

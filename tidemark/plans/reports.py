@@ -78,9 +78,9 @@ select ck as c_custkey, {", ".join(f"{n}_{b}" for n in ("baseline", "simulated")
 from z"""
 
 
-def _simulation_candidates(spark, sf):
-    """Candidates with changes: three to five subjects, or only English for one examinee in ten."""
-    k, d = F.col("c_custkey"), simulation.change
+def _changes(k):
+    """Changes of three to five subjects, or only of English for one examinee in ten."""
+    d = simulation.change
     entry = lambda name, on, **values: F.when(on, F.struct(F.lit(name).alias("k"), d(**values).alias("v")))
     many, odd = k % 10 != 0, (k % 2 == 1) & (k % 10 != 0)
     rows = F.array_compact(
@@ -92,8 +92,12 @@ def _simulation_candidates(spark, sf):
             entry("english", k % 2 == 0, grade_delta=-1),
         )
     )
+    return F.map_from_entries(rows)
+
+
+def _simulation_candidates(spark, sf):
     risk = F.col("rule").withField("inquiry_policy.conversion_risk", F.col("s_suppkey") % 5 == 0)
-    return _candidates(spark, sf, _rules(spark, sf).withColumn("rule", risk)).withColumn("changes", F.map_from_entries(rows))
+    return _candidates(spark, sf, _rules(spark, sf).withColumn("rule", risk), _changes)
 
 
 @query(_simulation_oracle())

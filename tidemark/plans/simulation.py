@@ -71,7 +71,8 @@ def compared(candidates: DataFrame, keys: list[str], unit: str, *, target: Colum
     settled = {f"_{x}_{n}": y for n in names for x, y in (("ok", scoring.kind_of(F.col(f"_run_{n}"), F.col(f"_gap_{n}")) == "ok"), ("trust", scoring.unit_confidence(F.col(f"_run_{n}"))))}
     rows = rows.withColumns({"quota": scoring.apart(F.col("quota")), **settled})
     rows = rows.withColumns({f"_band_{n}": F.when(F.col(f"_ok_{n}"), scoring.unit_band(F.col(f"_run_{n}"), F.col(f"_gap_{n}"), F.col(f"_trust_{n}"))) for n in names})
-    alone = F.filter(F.array(*(F.struct(F.lit(s).alias("scenario"), F.col(f"_band_{s}").alias("band")) for s in scoring.SUBJECTS)), lambda x: x["band"].isNotNull())
+    # each band is named twice, so that the optimizer doesn't move its formula into the array's lambda, where it would be interpreted
+    alone = F.array_compact(F.array(*(F.when(F.col(f"_band_{s}").isNotNull(), F.struct(F.lit(s).alias("scenario"), F.col(f"_band_{s}").alias("band"))) for s in scoring.SUBJECTS)))
     return rows.select(
         *keys,
         unit,

@@ -439,5 +439,5 @@ c as (select ck, x.band as before, y.band as after from x full join y using (ck,
 select ck as c_custkey, count(*) as changed, count(*) filter (after in ('stable', 'match') and coalesce(before not in ('stable', 'match'), true)) as moved_to_match_or_better from c group by ck
 """)
 def simulated_changes(spark, sf):
-    rows = _candidates(spark, sf).withColumn("changes", F.create_map(F.lit("math"), simulation.change(standard_delta=6, percentile_delta=4)))
+    rows = _candidates(spark, sf, changes=lambda _: F.create_map(F.lit("math"), simulation.change(standard_delta=6, percentile_delta=4)))
     return simulation.band_changes(simulation.compared(rows, ["c_custkey"], "s_suppkey"), ["c_custkey"])
